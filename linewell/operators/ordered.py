@@ -179,13 +179,16 @@ def attach_per_file(
     last_line: str,
     by: Sequence[str] = FILE,
     order: str = "line_no",
+    how: str = "inner",
     chunk: int = CHUNK,
 ) -> DataFrame:
     """Join one row per file onto its lines without gathering a file in one task.
 
-    ``last_line`` names the column of ``per_file`` with the file's highest line
-    number; the row is repeated once per chunk and joined on (file, chunk).
+    ``last_line`` names the column of ``per_file`` with the highest line number
+    that needs the row; it is repeated once per chunk and joined on (file, chunk).
     """
     chunks = F.sequence(F.lit(0).cast("bigint"), chunk_of(last_line, chunk))
     spread = per_file.withColumn("_chunk", F.explode(chunks))
-    return _keys(df, by, order, chunk).join(spread, [*by, "_chunk"]).drop("_chunk")
+    return _keys(df, by, order, chunk).join(
+        spread, [*by, "_chunk"], how
+    ).drop("_chunk")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linewell.functions.patterns import Term, any_matches, as_term, check_pattern, line_matches
 from linewell.functions.text import visible_length
+from linewell.operators.ordered import CHUNK, attach_per_file
 
 KEY = ["file", "line_no"]
 
@@ -59,9 +60,9 @@ def matches_max_length(matches: DataFrame) -> DataFrame:
 
 def search_update(
     previous: DataFrame, lines: DataFrame, processed: int | DataFrame, pattern: Term | str,
-    **options,
+    chunk: int = CHUNK, **options,
 ) -> DataFrame:
-    """Matches after growth, reading only what is new.
+    """Matches after growth, searching only what is new.
 
     ``processed`` is the number of lines already searched: one number, or a
     (file, processed) table.  The last of them may have been incomplete, so it
@@ -75,11 +76,12 @@ def search_update(
         kept = previous.filter(F.col("line_no") < limit)
         fresh = lines.filter(F.col("line_no") >= limit)
     else:
-        done = processed.select("file", (F.col("processed") - 1).alias("_from"))
-        old_side = previous.join(done, "file", "left")
-        kept = old_side.filter(F.col("line_no") < F.col("_from")).select(*cols)
-        new_side = lines.join(done, "file", "left")
-        fresh = new_side.filter(
-            F.col("line_no") >= F.coalesce(F.col("_from"), F.lit(0))
-        ).select(*lines.columns)
-    return kept.unionByName(search(fresh, term).select(*cols))
+        done = processed.filter("processed > 0").select(
+            "file", (F.col("processed") - 1).alias("_from")
+        )
+        old = attach_per_file(previous, done, "_from", how="inner", chunk=chunk)
+        kept = old.filter(F.col("line_no") < F.col("_from"))
+        # Chunks past the last searched line have no partner: all new.
+        new = attach_per_file(lines, done, "_from", how="left", chunk=chunk)
+        fresh = new.filter(F.col("_from").isNull() | (F.col("line_no") >= F.col("_from")))
+    return kept.select(*cols).unionByName(search(fresh, term).select(*cols))
