@@ -18,8 +18,11 @@ def count_nodes(df: DataFrame, name: str) -> int:
 
 def unpartitioned_windows(df: DataFrame) -> list[str]:
     """Window nodes that would gather all rows in one task."""
-    found = re.findall(r"Window \[.*", physical_plan(df))
-    return [w for w in found if not re.search(r"\], \[[^\]]+#\d+[^\]]*\], \[", w)]
+    first_args = re.findall(r"(windowspecdefinition\(([^,]*),.*)", physical_plan(df))
+    return [
+        whole for whole, first in first_args
+        if first.startswith("specifiedwindowframe") or re.search(r" (ASC|DESC) ", first + " ")
+    ]
 
 
 def uses_python(df: DataFrame) -> bool:
