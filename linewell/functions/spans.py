@@ -19,9 +19,9 @@ OPEN, CLOSE, NEUTRAL = "\ufdd0", "\ufdd1", "\ufdd2"
 SPANS_TYPE = "array<struct<start:int,len:int>>"
 
 
-def marked(line: Column, term: Term | str) -> Column:
+def marked(line: Column, regex: Column) -> Column:
     clean = F.translate(line, OPEN + CLOSE, NEUTRAL + NEUTRAL)
-    return F.regexp_replace(clean, F.lit(regex_of(term)), F.lit(f"{OPEN}$0{CLOSE}"))
+    return F.regexp_replace(clean, regex, F.lit(f"{OPEN}$0{CLOSE}"))
 
 
 def match_spans(line: Column | str, term: Term | str) -> Column:
@@ -33,7 +33,12 @@ def match_spans(line: Column | str, term: Term | str) -> Column:
     line = F.col(line) if isinstance(line, str) else line
     if term.text == "":
         return F.when(line.isNotNull(), F.array().cast(SPANS_TYPE))
-    parts = F.split(marked(line, term), OPEN, -1)
+    return regex_spans(line, F.lit(regex_of(term)))
+
+
+def regex_spans(line: Column, regex: Column) -> Column:
+    """``match_spans`` of a full Java regex that may differ from row to row."""
+    parts = F.split(marked(line, regex), OPEN, -1)
     # Each later part is "match CLOSE gap"; (length - 1) is what it adds to the position.
     begin = F.struct(
         F.length(F.element_at(parts, 1)).alias("pos"),
@@ -68,7 +73,12 @@ def last_span(line: Column, term: Term | str) -> Column:
     term = as_term(term)
     if term.text == "":
         return F.lit(None).cast("struct<start:int,len:int>")
-    text = marked(line, term)
+    return last_regex_span(line, F.lit(regex_of(term)))
+
+
+def last_regex_span(line: Column, regex: Column) -> Column:
+    """``last_span`` of a full Java regex that may differ from row to row."""
+    text = marked(line, regex)
     tail = F.substring_index(text, OPEN, -1)
     found = F.struct(
         (F.length(line) - F.length(tail) + 1).cast("int").alias("start"),

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewell.functions.patterns import Term, as_term, check_pattern, first_span, line_matches
-from linewell.functions.spans import last_span, match_spans
+from linewell.functions.spans import last_regex_span, last_span, match_spans, regex_spans
 from linewell.functions.text import expand_tabs, portion, word_at
-from linewell.operators.ordered import CHUNK, as_of
+from linewell.operators.ordered import CHUNK, as_of, attach_per_file
 from linewell.operators.search import KEY
 
 
@@ -148,29 +148,56 @@ def _bulk(anchors, lines, term, direction, chunk) -> DataFrame:
 
 
 def find_selected(
-    lines: DataFrame, file: str, line_no: int, column: int, end_column: int | None = None,
-    direction: str = "next",
+    lines: DataFrame, line_no: int, column: int, end_column: int | None = None,
+    direction: str = "next", chunk: int = CHUNK,
 ) -> DataFrame:
-    """Next or previous occurrence, in the same file, of the selected text.
+    """Next or previous occurrence, in each file, of the text selected there.
 
     The selection is the word under (line_no, column), or the portion up to
-    ``end_column``.  It is searched as literal text from just after (next) or
-    just before (previous) the selection.
+    ``end_column``; files without one give no row.  It is searched as literal
+    text from just after (next) or just before (previous) the selection.
     """
-    here = lines.filter((F.col("file") == file) & (F.col("line_no") == line_no))
+    if direction not in ("next", "prev"):
+        raise ValueError("direction must be 'next' or 'prev'")
+    onward = direction == "next"
+    here = lines.filter(F.col("line_no") == line_no)
     if end_column is None:
-        picked = here.select(word_at("line", column).alias("w")).select("w.*")
+        picked = here.select("file", word_at("line", column).alias("w")).select("file", "w.*")
     else:
         low, high = sorted((column, end_column))
         picked = here.select(
-            portion("line", low, high).alias("word"), F.lit(low).alias("start"),
-            F.lit(high).alias("end"),
+            "file", portion("line", low, high).alias("word"),
+            F.lit(low).alias("start"), F.lit(high).alias("end"),
         )
-    row = picked.filter(F.col("word").isNotNull()).first()  # one line, by key
-    own = lines.filter(F.col("file") == file)
-    if row is None:
-        return find_next(own, "", line_no)
-    term = Term(row["word"], syntax="fixed")
-    if direction == "next":
-        return find_next(own, term, line_no, row["end"] + 1)
-    return find_prev(own, term, line_no, max(row["start"] - 1, 0))
+    picked = picked.filter("word != ''")
+    quoted = F.replace("word", F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    wanted = picked.select(
+        "file", "word", F.concat(F.lit("(?dU)\\Q"), quoted, F.lit("\\E")).alias("_regex"),
+        (F.col("end") + 1 if onward else F.greatest(F.col("start") - 1, F.lit(0))).alias("_col"),
+    )
+    # The selection travels to its file's lines chunk by chunk, not file by file.
+    if onward:
+        ends = lines.groupBy("file").agg(F.max("line_no").alias("_last"))
+        wanted = wanted.join(ends, "file")
+    else:
+        wanted = wanted.withColumn("_last", F.lit(line_no).cast("bigint"))
+    beyond = F.col("line_no") >= line_no if onward else F.col("line_no") <= line_no
+    shown = lines.filter(beyond).select(*KEY, expand_tabs("line").alias("line"))
+    tried = attach_per_file(shown, wanted, "_last", chunk=chunk)
+    line, regex, col = F.col("line"), F.col("_regex"), F.col("_col")
+    on_anchor = F.col("line_no") == line_no
+    if onward:
+        at = F.when(on_anchor, col + 1).otherwise(1)
+        hit = F.call_function("locate", F.col("word"), line, at)
+        span = F.when(hit > 0, F.struct(
+            (hit - 1).alias("start"), F.length("word").alias("len")
+        ))
+        return _nearest_per_file(_hit(tried.withColumn("span", span)), F.min, F.min_by)
+    earlier = F.filter(regex_spans(line, regex), lambda s: s["start"] + s["len"] < col)
+    span = F.when(on_anchor & (col > 0) & (F.size(earlier) > 0), F.element_at(earlier, -1)).when(
+        ~on_anchor, last_regex_span(line, regex)
+    )
+    has_word = F.contains(line, F.col("word"))
+    return _nearest_per_file(
+        _hit(tried.filter(has_word).withColumn("span", span)), F.max, F.max_by
+    )
