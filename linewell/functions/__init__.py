@@ -1,5 +1,5 @@
-from linewell.functions.patterns import Term, first_span, line_matches, regex_of
-from linewell.functions.spans import last_span, match_spans, span_count
+from linewell.functions.patterns import Term, line_matches, regex_of
+from linewell.functions.spans import first_span, last_span, match_spans, span_count
 from linewell.functions.text import expand_tabs, portion, visible_length, word_at
 
 __all__ = [

@@ -92,41 +92,3 @@ def shift_backrefs(body: str, by: int) -> str:
         return f"\\{int(m.group(1)) + by}" if m.group(1) else m.group(0)
 
     return _BACKREF.sub(renumber, body)
-
-
-def first_span(line: Column, term: Term | str, at: Column | int = 0) -> Column:
-    """``struct(start, len)`` of the first match starting at or after column ``at``.
-
-    The regex is applied to the whole line, so ``^`` and lookbehind see what
-    lies before ``at``.  NULL when there is none.  ``at`` may be a column.
-    """
-    term = as_term(term)
-    if term.text == "":
-        return F.lit(None).cast("struct<start:int,len:int>")
-    if term.syntax == "fixed" and not term.ignore_case:
-        hit = F.locate(term.text, line) if isinstance(at, int) and at == 0 else F.when(
-            _as_col(at) <= F.length(line),
-            F.call_function("locate", F.lit(term.text), line, _as_col(at) + 1),
-        )
-        found = F.struct(
-            (hit - 1).cast("int").alias("start"), F.lit(len(term.text)).alias("len")
-        )
-        return F.when(hit > 0, found)
-    flags = flags_of(term.ignore_case)
-    tail = f"(?:{shift_backrefs(body_of(term), 1)})"
-    if isinstance(at, int):
-        whole: Column = F.lit(f"{flags}^((?s:.{{{at},}}?)){tail}")
-    else:
-        whole = F.concat(
-            F.lit(flags + "^((?s:.{"), at.cast("string"), F.lit(",}?))" + tail)
-        )
-    prefix = F.length(F.call_function("regexp_extract", line, whole, F.lit(1)))
-    end = F.length(F.call_function("regexp_extract", line, whole, F.lit(0)))
-    found = F.struct(
-        prefix.cast("int").alias("start"), (end - prefix).cast("int").alias("len")
-    )
-    return F.when(F.rlike(line, whole), found)
-
-
-def _as_col(value: Column | int) -> Column:
-    return F.lit(value) if isinstance(value, int) else value

@@ -1,9 +1,13 @@
 """All matches in a line: where they start and how long they are.
 
-One ``regexp_replace`` puts a marker character before and after every match
-(empty matches included); positions are then read off the marked string with
-built-in string functions.  The markers are Unicode noncharacters; should a
-line hold them, they are replaced by a third one of the same length first.
+One ``regexp_replace`` puts a marker character before and after a match (empty
+matches included); positions are then read off the marked string with built-in
+string functions, so a regex runs once per line.  The markers are Unicode
+noncharacters; should a line hold them, they are replaced by a third one first.
+
+Each function has a ``mark_*`` half and a half that reads the marked string.
+DataFrame code keeps the marked string in a column of its own, because an
+expression used twice inside one column would be evaluated twice.
 """
 
 from __future__ import annotations
@@ -11,34 +15,76 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linewell.functions.patterns import Term, as_term, regex_of
+from linewell.functions.patterns import Term, as_term, body_of, flags_of, regex_of, shift_backrefs
 
 # Noncharacters used as "match begins", "match ends", "was a marker".
 OPEN, CLOSE, NEUTRAL = "\ufdd0", "\ufdd1", "\ufdd2"
 
-SPANS_TYPE = "array<struct<start:int,len:int>>"
+SPAN_TYPE = "struct<start:int,len:int>"
+SPANS_TYPE = f"array<{SPAN_TYPE}>"
 
 
-def marked(line: Column, regex: Column) -> Column:
-    clean = F.translate(line, OPEN + CLOSE, NEUTRAL + NEUTRAL)
-    return F.regexp_replace(clean, regex, F.lit(f"{OPEN}$0{CLOSE}"))
+def _clean(line: Column) -> Column:
+    for mark in (OPEN, CLOSE):
+        line = F.replace(line, F.lit(mark), F.lit(NEUTRAL))
+    return line
 
 
-def match_spans(line: Column | str, term: Term | str) -> Column:
-    """``array<struct<start,len>>`` of all non-overlapping matches, left to right.
+def mark_all(line: Column, term: Term | str | Column) -> Column:
+    """The line with every match marked.  A Column is a full Java regex per row."""
+    if not isinstance(term, Column):
+        term = as_term(term)
+        if term.text == "":
+            return _clean(line)
+        term = F.lit(regex_of(term))
+    return F.regexp_replace(_clean(line), term, F.lit(f"{OPEN}$0{CLOSE}"))
 
-    Pass the tab-expanded line when columns should be display columns.
+
+def mark_first(line: Column, term: Term | str, at: Column | int = 0) -> Column:
+    """The line up to and including the first match that starts at or after ``at``.
+
+    Only that match is marked.  A line without one stays as it is.  The regex
+    is applied to the whole line, so ``^`` and lookbehind see what lies before.
     """
     term = as_term(term)
-    line = F.col(line) if isinstance(line, str) else line
     if term.text == "":
-        return F.when(line.isNotNull(), F.array().cast(SPANS_TYPE))
-    return regex_spans(line, F.lit(regex_of(term)))
+        return _clean(line)
+    body = shift_backrefs(body_of(term), 2)
+    before, after = f"{flags_of(term.ignore_case)}^((?s:.{{", f",}}?))({body})(?s:.*)\\z"
+    if isinstance(at, int):
+        regex = F.lit(f"{before}{at}{after}")
+    else:
+        regex = F.concat(F.lit(before), at.cast("string"), F.lit(after))
+    return F.regexp_replace(_clean(line), regex, F.lit(f"$1{OPEN}$2{CLOSE}"))
+
+
+def has_mark(marked: Column) -> Column:
+    return F.contains(marked, F.lit(OPEN))
+
 
+def _span(marked: Column, start: Column, length: Column) -> Column:
+    found = F.struct(start.cast("int").alias("start"), length.cast("int").alias("len"))
+    return F.when(has_mark(marked), found)
 
-def regex_spans(line: Column, regex: Column) -> Column:
-    """``match_spans`` of a full Java regex that may differ from row to row."""
-    parts = F.split(marked(line, regex), OPEN, -1)
+
+def first_of(marked: Column) -> Column:
+    """``struct(start, len)`` from ``mark_first``, NULL when nothing is marked."""
+    begin = F.instr(marked, OPEN)
+    return _span(marked, begin - 1, F.length(marked) - begin - 1)
+
+
+def last_of(marked: Column) -> Column:
+    """``struct(start, len)`` of the last match from ``mark_all``, NULL when none."""
+    before = F.length(marked) - F.length(F.substring_index(marked, OPEN, -1)) - 1
+    others = F.length(marked) - F.length(F.replace(marked, F.lit(OPEN), F.lit(""))) - 1
+    # Every earlier match put two markers before this one.
+    length = F.instr(F.substring_index(marked, OPEN, -1), CLOSE) - 1
+    return _span(marked, before - 2 * others, length)
+
+
+def all_of(marked: Column) -> Column:
+    """``array<struct(start, len)>`` of all matches from ``mark_all``."""
+    parts = F.split(marked, OPEN, -1)
     # Each later part is "match CLOSE gap"; (length - 1) is what it adds to the position.
     begin = F.struct(
         F.length(F.element_at(parts, 1)).alias("pos"),
@@ -55,8 +101,25 @@ def regex_spans(line: Column, regex: Column) -> Column:
         )
 
     rest = F.slice(parts, F.lit(2), F.size(parts))
-    folded = F.aggregate(rest, begin, step, lambda acc: acc["spans"])
-    return folded.cast(SPANS_TYPE)
+    return F.aggregate(rest, begin, step, lambda acc: acc["spans"]).cast(SPANS_TYPE)
+
+
+def match_spans(line: Column | str, term: Term | str) -> Column:
+    """``array<struct<start,len>>`` of all non-overlapping matches, left to right.
+
+    Pass the tab-expanded line when columns should be display columns.
+    """
+    return all_of(mark_all(F.col(line) if isinstance(line, str) else line, term))
+
+
+def first_span(line: Column, term: Term | str, at: Column | int = 0) -> Column:
+    """``struct(start, len)`` of the first match starting at or after ``at``, or NULL."""
+    return first_of(mark_first(line, term, at))
+
+
+def last_span(line: Column, term: Term | str) -> Column:
+    """``struct(start, len)`` of the last match in the line, or NULL."""
+    return last_of(mark_all(line, term))
 
 
 def span_count(line: Column | str, term: Term | str) -> Column:
@@ -66,22 +129,3 @@ def span_count(line: Column | str, term: Term | str) -> Column:
     if term.text == "":
         return F.lit(0)
     return F.regexp_count(line, F.lit(regex_of(term)))
-
-
-def last_span(line: Column, term: Term | str) -> Column:
-    """``struct(start, len)`` of the last match in the line, NULL when none."""
-    term = as_term(term)
-    if term.text == "":
-        return F.lit(None).cast("struct<start:int,len:int>")
-    return last_regex_span(line, F.lit(regex_of(term)))
-
-
-def last_regex_span(line: Column, regex: Column) -> Column:
-    """``last_span`` of a full Java regex that may differ from row to row."""
-    text = marked(line, regex)
-    tail = F.substring_index(text, OPEN, -1)
-    found = F.struct(
-        (F.length(line) - F.length(tail) + 1).cast("int").alias("start"),
-        (F.instr(tail, CLOSE) - 1).cast("int").alias("len"),
-    )
-    return F.when(F.contains(text, F.lit(OPEN)), found)

@@ -15,16 +15,11 @@ def _col(c: Column | str) -> Column:
 
 def expand_tabs(line: Column | str, stop: int = TAB_STOP) -> Column:
     """The line as displayed: tabs padded to the next stop, NUL as a space."""
-    line = F.translate(_col(line), "\x00", " ")
-    cells = F.split(line, "\t", -1)
-
-    def pad(done: Column, cell: Column) -> Column:
-        gap = F.lit(stop) - (F.length(done) + F.length(cell)) % F.lit(stop)
-        return F.concat(done, cell, F.repeat(F.lit(" "), gap))
-
-    head = F.slice(cells, F.lit(1), F.size(cells) - 1)
-    padded = F.concat(F.aggregate(head, F.lit(""), pad), F.element_at(cells, -1))
-    # Lines without a tab (nearly all) skip the fold.
+    line = F.replace(_col(line), F.lit("\x00"), F.lit(" "))
+    # A cell plus one stop of spaces, cut to whole stops, ends at the next stop.
+    spaced = F.replace(line, F.lit("\t"), F.lit(" " * stop + "\t"))
+    padded = F.regexp_replace(spaced, f"((?:[^\t]{{{stop}}})*)[^\t]*\t", "$1")
+    # Lines without a tab (nearly all) skip the regex.
     return F.when(F.contains(line, F.lit("\t")), padded).otherwise(line)
 
 

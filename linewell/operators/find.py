@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewell.functions.patterns import Term, as_term, check_pattern, first_span, line_matches
-from linewell.functions.spans import last_regex_span, last_span, match_spans, regex_spans
+from linewell.functions.patterns import Term, as_term, check_pattern, line_matches
+from linewell.functions.spans import all_of, first_of, has_mark, last_of, mark_all, mark_first
 from linewell.functions.text import expand_tabs, portion, word_at
 from linewell.operators.ordered import CHUNK, as_of, attach_per_file
 from linewell.operators.search import KEY
@@ -27,16 +27,18 @@ def spans(lines: DataFrame, pattern: Term | str, **options) -> DataFrame:
     """Lines with ``spans``, the array of all matches in the displayed line."""
     term = as_term(pattern, **options)
     check_pattern(lines.sparkSession, term)
-    return lines.withColumn("spans", match_spans(expand_tabs("line"), term))
+    marked = lines.withColumn("_marked", mark_all(expand_tabs("line"), term))
+    return marked.withColumn("spans", all_of(F.col("_marked"))).drop("_marked")
 
 
 def explode_spans(lines: DataFrame, pattern: Term | str, **options) -> DataFrame:
     """One row per occurrence: file, line_no, nth, start, len, text."""
     term = as_term(pattern, **options)
-    shown = _shown(lines, term).filter(line_matches("line", term))
-    each = shown.select(
-        *KEY, "line", F.posexplode(match_spans(F.col("line"), term)).alias("nth", "span")
+    marked = F.col("_marked")
+    hits = _shown(lines, term).withColumn("_marked", mark_all(F.col("line"), term)).filter(
+        has_mark(marked)
     )
+    each = hits.select(*KEY, "line", F.posexplode(all_of(marked)).alias("nth", "span"))
     text = F.substring("line", F.col("span.start") + 1, F.col("span.len"))
     return each.select(*KEY, "nth", "span.start", "span.len", text.alias("text"))
 
@@ -62,10 +64,11 @@ def find_next(
     term = as_term(pattern, **options)
     shown = _shown(lines.filter(F.col("line_no") >= line_no), term)
     line = F.col("line")
-    span = F.when(F.col("line_no") > line_no, first_span(line, term)).otherwise(
-        first_span(line, term, column)
+    marked = F.when(F.col("line_no") > line_no, mark_first(line, term)).otherwise(
+        mark_first(line, term, column)
     )
-    return _nearest_per_file(_hit(shown.withColumn("span", span)), F.min, F.min_by)
+    found = shown.withColumn("_marked", marked).withColumn("span", first_of(F.col("_marked")))
+    return _nearest_per_file(_hit(found), F.min, F.min_by)
 
 
 def find_prev(
@@ -77,11 +80,12 @@ def find_prev(
     """
     term = as_term(pattern, **options)
     shown = _shown(lines.filter(F.col("line_no") <= line_no), term)
-    line = F.col("line")
-    span = F.when(F.col("line_no") < line_no, last_span(line, term)).otherwise(
-        last_span_before(line, term, F.lit(column))
+    marked = F.col("_marked")
+    span = F.when(F.col("line_no") < line_no, last_of(marked)).otherwise(
+        last_before(marked, F.lit(column))
     )
-    return _nearest_per_file(_hit(shown.withColumn("span", span)), F.max, F.max_by)
+    found = shown.withColumn("_marked", mark_all(F.col("line"), term)).withColumn("span", span)
+    return _nearest_per_file(_hit(found), F.max, F.max_by)
 
 
 def _nearest_per_file(hits: DataFrame, pick, pick_by) -> DataFrame:
@@ -93,12 +97,10 @@ def _nearest_per_file(hits: DataFrame, pick, pick_by) -> DataFrame:
     )
 
 
-def last_span_before(line: Column, term: Term, column: Column) -> Column:
-    """Last span of the line that ends strictly before ``column``."""
-    earlier = F.filter(
-        match_spans(line, term), lambda s: s["start"] + s["len"] < column
-    )
-    return F.when((column > 0) & (F.size(earlier) > 0), F.element_at(earlier, -1))
+def last_before(marked: Column, column: Column) -> Column:
+    """Last marked span that ends strictly before ``column``."""
+    earlier = F.filter(all_of(marked), lambda s: s["start"] + s["len"] < column)
+    return F.when(has_mark(marked) & (column > 0), F.try_element_at(earlier, F.lit(-1)))
 
 
 def find_next_bulk(
@@ -117,22 +119,22 @@ def find_prev_bulk(
 
 def _bulk(anchors, lines, term, direction, chunk) -> DataFrame:
     shown = _shown(lines, term)
-    line, col = F.col("line"), F.col("col")
+    line, marked = F.col("line"), F.col("_marked")
     if direction == "after":
-        elsewhere, own = first_span(line, term), first_span(line, term, col)
+        every, elsewhere = mark_first(line, term), first_of(marked)
+        here, own = mark_first(line, term, F.col("col")), first_of(marked)
     else:
-        elsewhere, own = last_span(line, term), last_span_before(line, term, col)
+        every, elsewhere = mark_all(line, term), last_of(marked)
+        here, own = mark_all(line, term), last_before(marked, F.col("col"))
     # Only matching lines, as three numbers each, take part in the ordered lookup.
     hits = (
-        shown.filter(line_matches("line", term))
+        shown.withColumn("_marked", every)
+        .filter(has_mark(marked))
         .withColumn("span", elsewhere)
         .select(*KEY, F.col("span.start").alias("start"), _end(F.col("span")).alias("end"))
     )
-    here = (
-        anchors.join(shown, KEY, "left")
-        .withColumn("_own", own)
-        .drop("line")
-    )
+    placed = anchors.join(shown, KEY, "left").withColumn("_marked", here)
+    here = placed.withColumn("_own", own).drop("line", "_marked")
     found = as_of(here, hits, ["start", "end"], direction, "_next", chunk=chunk)
     own_hit = F.col("_own").isNotNull()
 
@@ -184,20 +186,17 @@ def find_selected(
     beyond = F.col("line_no") >= line_no if onward else F.col("line_no") <= line_no
     shown = lines.filter(beyond).select(*KEY, expand_tabs("line").alias("line"))
     tried = attach_per_file(shown, wanted, "_last", chunk=chunk)
-    line, regex, col = F.col("line"), F.col("_regex"), F.col("_col")
+    line, col = F.col("line"), F.col("_col")
     on_anchor = F.col("line_no") == line_no
+    tried = tried.filter(F.contains(line, F.col("word")))
     if onward:
         at = F.when(on_anchor, col + 1).otherwise(1)
         hit = F.call_function("locate", F.col("word"), line, at)
-        span = F.when(hit > 0, F.struct(
-            (hit - 1).alias("start"), F.length("word").alias("len")
-        ))
-        return _nearest_per_file(_hit(tried.withColumn("span", span)), F.min, F.min_by)
-    earlier = F.filter(regex_spans(line, regex), lambda s: s["start"] + s["len"] < col)
-    span = F.when(on_anchor & (col > 0) & (F.size(earlier) > 0), F.element_at(earlier, -1)).when(
-        ~on_anchor, last_regex_span(line, regex)
-    )
-    has_word = F.contains(line, F.col("word"))
-    return _nearest_per_file(
-        _hit(tried.filter(has_word).withColumn("span", span)), F.max, F.max_by
-    )
+        found = tried.withColumn("_hit", hit).filter("_hit > 0").withColumn(
+            "span", F.struct((F.col("_hit") - 1).alias("start"), F.length("word").alias("len"))
+        )
+        return _nearest_per_file(_hit(found), F.min, F.min_by)
+    marked = F.col("_marked")
+    span = F.when(on_anchor, last_before(marked, col)).otherwise(last_of(marked))
+    found = tried.withColumn("_marked", mark_all(line, F.col("_regex"))).withColumn("span", span)
+    return _nearest_per_file(_hit(found), F.max, F.max_by)
