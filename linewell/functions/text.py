@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Fixed value: tab stops are eight columns apart.
 TAB_STOP = 8
 
+# The word characters a text ends in, tried once per run of word characters.
+_WORD_TAIL = "(?<![A-Za-z0-9_])[A-Za-z0-9_]*+$"
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -16,9 +19,10 @@ def _col(c: Column | str) -> Column:
 def expand_tabs(line: Column | str, stop: int = TAB_STOP) -> Column:
     """The line as displayed: tabs padded to the next stop, NUL as a space."""
     line = F.replace(_col(line), F.lit("\x00"), F.lit(" "))
-    # A cell plus one stop of spaces, cut to whole stops, ends at the next stop.
+    # A cell plus one stop of spaces, cut to whole stops, ends at the next stop.  \G
+    # and possessive quantifiers keep the regex linear in the length of the line.
     spaced = F.replace(line, F.lit("\t"), F.lit(" " * stop + "\t"))
-    padded = F.regexp_replace(spaced, f"((?:[^\t]{{{stop}}})*)[^\t]*\t", "$1")
+    padded = F.regexp_replace(spaced, f"\\G((?:[^\t]{{{stop}}})*+)[^\t]*+\t", "$1")
     # Lines without a tab (nearly all) skip the regex.
     return F.when(F.contains(line, F.lit("\t")), padded).otherwise(line)
 
@@ -44,7 +48,7 @@ def word_at(line: Column | str, column: Column | int) -> Column:
     """
     column = F.lit(column) if isinstance(column, int) else column
     shown = expand_tabs(line)
-    left = F.regexp_extract(F.substring(shown, F.lit(1), column), "[A-Za-z0-9_]*$", 0)
+    left = F.regexp_extract(F.substring(shown, F.lit(1), column), _WORD_TAIL, 0)
     rest = F.substring(shown, column + 1, F.length(shown))
     right = F.regexp_extract(rest, "^[A-Za-z0-9_]*", 0)
     start = column - F.length(left)

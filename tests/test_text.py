@@ -35,6 +35,20 @@ def test_tabs_and_lengths(spark):
     assert values(df, visible_length("line")) == [len(shown(s)) for s in LINES]
 
 
+def test_long_lines_stay_cheap(spark):
+    """Quadratic work on these lines would take minutes."""
+    word = "w" * 400_000
+    lines = [word, word + "\t" + word, " ".join(["foo"] * 100_000), "\t" * 20_000]
+    df = frame(spark, lines)
+    assert values(df, visible_length("line")) == [len(shown(s)) for s in lines]
+    got = values(df, word_at("line", 399_999))
+    assert [g.word if g else None for g in got] == [word, word, None, None]
+    firsts = values(df, first_span(F.col("line"), "w$|o f", 10))
+    assert [(f.start, f.len) if f else None for f in firsts] == [
+        (399_999, 1), (len(lines[1]) - 1, 1), (10, 3), None]
+    assert values(df, last_span(F.col("line"), "foo"))[2].start == 399_996
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.text("ab\t\x00é😀", max_size=30), min_size=60, max_size=60))
 def test_tabs_property(spark, lines):
