@@ -20,6 +20,9 @@ from linewell.functions.patterns import Term, as_term, body_of, flags_of, regex_
 # Noncharacters used as "match begins", "match ends", "was a marker".
 OPEN, CLOSE, NEUTRAL = "\ufdd0", "\ufdd1", "\ufdd2"
 
+# Spans per block while they are collected.
+BLOCK = 128
+
 SPAN_TYPE = "struct<start:int,len:int>"
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
 
@@ -86,12 +89,9 @@ def all_of(marked: Column) -> Column:
     """``array<struct(start, len)>`` of all matches from ``mark_all``."""
     parts = F.split(marked, OPEN, -1)
     # Each later part is "match CLOSE gap"; (length - 1) is what it adds to the position.
-    begin = F.struct(
-        F.length(F.element_at(parts, 1)).alias("pos"),
-        F.array().cast(SPANS_TYPE).alias("spans"),
-    )
+    rest = F.slice(parts, F.lit(2), F.size(parts))
 
-    def step(acc: Column, part: Column) -> Column:
+    def add_span(acc: Column, part: Column) -> Column:
         span = F.struct(
             acc["pos"].alias("start"), (F.instr(part, CLOSE) - 1).alias("len")
         )
@@ -100,8 +100,35 @@ def all_of(marked: Column) -> Column:
             F.concat(acc["spans"], F.array(span)).alias("spans"),
         )
 
-    rest = F.slice(parts, F.lit(2), F.size(parts))
-    return F.aggregate(rest, begin, step, lambda acc: acc["spans"]).cast(SPANS_TYPE)
+    # Appending copies an array, so spans grow in short blocks that are joined at the end.
+    def in_blocks(array: Column) -> Column:
+        last = F.floor((F.size(array) - 1) / BLOCK).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last), lambda b: F.slice(array, b * BLOCK + 1, F.lit(BLOCK))
+        )
+
+    # A lambda over the one-element array evaluates the split once.
+    blocks = F.element_at(F.transform(F.array(rest), in_blocks), 1)
+
+    def add_block(acc: Column, block: Column) -> Column:
+        return F.aggregate(
+            block, F.struct(acc["pos"].alias("pos"), _none().alias("spans")), add_span,
+            lambda inner: F.struct(
+                inner["pos"].alias("pos"),
+                F.concat(acc["blocks"], F.array(inner["spans"])).alias("blocks"),
+            ),
+        )
+
+    begin = F.struct(
+        F.length(F.element_at(parts, 1)).alias("pos"),
+        F.array().cast(f"array<{SPANS_TYPE}>").alias("blocks"),
+    )
+    folded = F.aggregate(blocks, begin, add_block, lambda acc: F.flatten(acc["blocks"]))
+    return F.when(has_mark(marked), folded.cast(SPANS_TYPE)).when(marked.isNotNull(), _none())
+
+
+def _none() -> Column:
+    return F.array().cast(SPANS_TYPE)
 
 
 def match_spans(line: Column | str, term: Term | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linewell.functions.patterns import Term, as_term, check_pattern, line_matches
 from linewell.functions.text import visible_length
-from linewell.operators.ordered import CHUNK, as_of, dense_index, running_total
+from linewell.operators.ordered import CHUNK, dense_index, nearest, running_total
 from linewell.operators.search import KEY
 
 VISIBILITIES = ("MATCHES", "MARKS", "BOTH")
@@ -133,6 +133,6 @@ def prev_marked(indexed: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def _marked(indexed: DataFrame, direction: str, chunk: int) -> DataFrame:
     places = indexed.select("file", "idx", "line_no", "item_type")
-    stops = places.filter("item_type = 'MARK'").select("file", "idx")
-    found = as_of(places, stops, [], direction, "_stop", order="idx", chunk=chunk)
+    is_mark = F.col("item_type") == "MARK"
+    found = nearest(places, is_mark, [], direction, "_stop", order="idx", chunk=chunk)
     return found.select(*places.columns, F.col("_stop.idx").alias("marked_idx"))

@@ -23,6 +23,11 @@ def _shown(lines: DataFrame, term: Term) -> DataFrame:
     return lines.select(*KEY, expand_tabs("line").alias("line"))
 
 
+def _matching(lines: DataFrame, term: Term) -> DataFrame:
+    """Displayed lines with a match; the marking regex then runs on these only."""
+    return _shown(lines, term).filter(line_matches("line", term))
+
+
 def spans(lines: DataFrame, pattern: Term | str, **options) -> DataFrame:
     """Lines with ``spans``, the array of all matches in the displayed line."""
     term = as_term(pattern, **options)
@@ -34,11 +39,10 @@ def spans(lines: DataFrame, pattern: Term | str, **options) -> DataFrame:
 def explode_spans(lines: DataFrame, pattern: Term | str, **options) -> DataFrame:
     """One row per occurrence: file, line_no, nth, start, len, text."""
     term = as_term(pattern, **options)
-    marked = F.col("_marked")
-    hits = _shown(lines, term).withColumn("_marked", mark_all(F.col("line"), term)).filter(
-        has_mark(marked)
+    hits = _matching(lines, term).withColumn("_marked", mark_all(F.col("line"), term))
+    each = hits.select(
+        *KEY, "line", F.posexplode(all_of(F.col("_marked"))).alias("nth", "span")
     )
-    each = hits.select(*KEY, "line", F.posexplode(all_of(marked)).alias("nth", "span"))
     text = F.substring("line", F.col("span.start") + 1, F.col("span.len"))
     return each.select(*KEY, "nth", "span.start", "span.len", text.alias("text"))
 
@@ -47,12 +51,19 @@ def _end(span: Column) -> Column:
     return span["start"] + span["len"] - 1
 
 
-def _hit(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("span").isNotNull()).select(
+def _hits(df: DataFrame, spans_found: Column) -> DataFrame:
+    """One row per span.  A generator, since a filter on a computed span would be
+    pushed down and so compute it twice."""
+    each = df.select(*KEY, F.explode(spans_found).alias("span"))
+    return each.select(
         *KEY, F.col("span.start").alias("start"), _end(F.col("span")).alias("end")
     )
 
 
+def _one(marked: Column, span: Column) -> Column:
+    return F.when(has_mark(marked), F.array(span))
+
+
 def find_next(
     lines: DataFrame, pattern: Term | str, line_no: int, column: int = 0, **options
 ) -> DataFrame:
@@ -62,13 +73,15 @@ def find_next(
     below from their start.
     """
     term = as_term(pattern, **options)
-    shown = _shown(lines.filter(F.col("line_no") >= line_no), term)
-    line = F.col("line")
-    marked = F.when(F.col("line_no") > line_no, mark_first(line, term)).otherwise(
-        mark_first(line, term, column)
+    line, marked = F.col("line"), F.col("_marked")
+    below = _matching(lines.filter(F.col("line_no") >= line_no), term)
+    found = below.withColumn(
+        "_marked",
+        F.when(F.col("line_no") > line_no, mark_first(line, term))
+        .otherwise(mark_first(line, term, column)),
     )
-    found = shown.withColumn("_marked", marked).withColumn("span", first_of(F.col("_marked")))
-    return _nearest_per_file(_hit(found), F.min, F.min_by)
+    hits = _hits(found, _one(marked, first_of(marked)))
+    return _nearest_per_file(hits, F.min, F.min_by)
 
 
 def find_prev(
@@ -79,13 +92,18 @@ def find_prev(
     On the anchor line a hit must end strictly before the column.
     """
     term = as_term(pattern, **options)
-    shown = _shown(lines.filter(F.col("line_no") <= line_no), term)
+    above = _matching(lines.filter(F.col("line_no") <= line_no), term)
+    found = above.withColumn("_marked", mark_all(F.col("line"), term))
+    return _nearest_per_file(
+        _hits(found, _last_up_to(line_no, F.lit(column))), F.max, F.max_by
+    )
+
+
+def _last_up_to(line_no: int, column: Column) -> Column:
     marked = F.col("_marked")
-    span = F.when(F.col("line_no") < line_no, last_of(marked)).otherwise(
-        last_before(marked, F.lit(column))
+    return F.when(F.col("line_no") < line_no, _one(marked, last_of(marked))).otherwise(
+        all_before(marked, column)
     )
-    found = shown.withColumn("_marked", mark_all(F.col("line"), term)).withColumn("span", span)
-    return _nearest_per_file(_hit(found), F.max, F.max_by)
 
 
 def _nearest_per_file(hits: DataFrame, pick, pick_by) -> DataFrame:
@@ -97,10 +115,10 @@ def _nearest_per_file(hits: DataFrame, pick, pick_by) -> DataFrame:
     )
 
 
-def last_before(marked: Column, column: Column) -> Column:
-    """Last marked span that ends strictly before ``column``."""
+def all_before(marked: Column, column: Column) -> Column:
+    """Array of the last marked span that ends strictly before ``column``; or empty."""
     earlier = F.filter(all_of(marked), lambda s: s["start"] + s["len"] < column)
-    return F.when(has_mark(marked) & (column > 0), F.try_element_at(earlier, F.lit(-1)))
+    return F.when(column > 0, F.slice(earlier, F.lit(-1), F.lit(1)))
 
 
 def find_next_bulk(
@@ -118,22 +136,18 @@ def find_prev_bulk(
 
 
 def _bulk(anchors, lines, term, direction, chunk) -> DataFrame:
-    shown = _shown(lines, term)
     line, marked = F.col("line"), F.col("_marked")
     if direction == "after":
         every, elsewhere = mark_first(line, term), first_of(marked)
         here, own = mark_first(line, term, F.col("col")), first_of(marked)
     else:
         every, elsewhere = mark_all(line, term), last_of(marked)
-        here, own = mark_all(line, term), last_before(marked, F.col("col"))
+        here, own = mark_all(line, term), F.get(all_before(marked, F.col("col")), F.lit(0))
     # Only matching lines, as three numbers each, take part in the ordered lookup.
-    hits = (
-        shown.withColumn("_marked", every)
-        .filter(has_mark(marked))
-        .withColumn("span", elsewhere)
-        .select(*KEY, F.col("span.start").alias("start"), _end(F.col("span")).alias("end"))
+    hits = _hits(
+        _matching(lines, term).withColumn("_marked", every), _one(marked, elsewhere)
     )
-    placed = anchors.join(shown, KEY, "left").withColumn("_marked", here)
+    placed = anchors.join(_shown(lines, term), KEY, "left").withColumn("_marked", here)
     here = placed.withColumn("_own", own).drop("line", "_marked")
     found = as_of(here, hits, ["start", "end"], direction, "_next", chunk=chunk)
     own_hit = F.col("_own").isNotNull()
@@ -192,11 +206,9 @@ def find_selected(
     if onward:
         at = F.when(on_anchor, col + 1).otherwise(1)
         hit = F.call_function("locate", F.col("word"), line, at)
-        found = tried.withColumn("_hit", hit).filter("_hit > 0").withColumn(
-            "span", F.struct((F.col("_hit") - 1).alias("start"), F.length("word").alias("len"))
-        )
-        return _nearest_per_file(_hit(found), F.min, F.min_by)
-    marked = F.col("_marked")
-    span = F.when(on_anchor, last_before(marked, col)).otherwise(last_of(marked))
-    found = tried.withColumn("_marked", mark_all(line, F.col("_regex"))).withColumn("span", span)
-    return _nearest_per_file(_hit(found), F.max, F.max_by)
+        word = F.struct((F.col("_hit") - 1).alias("start"), F.length("word").alias("len"))
+        found = tried.withColumn("_hit", hit)
+        hits = _hits(found, F.when(F.col("_hit") > 0, F.array(word)))
+        return _nearest_per_file(hits, F.min, F.min_by)
+    found = tried.withColumn("_marked", mark_all(line, F.col("_regex")))
+    return _nearest_per_file(_hits(found, _last_up_to(line_no, col)), F.max, F.max_by)

@@ -23,7 +23,7 @@ FILE = ("file",)
 
 def chunk_of(order: Column | str, size: int = CHUNK) -> Column:
     order = F.col(order) if isinstance(order, str) else order
-    return F.floor(order / F.lit(size)).cast("bigint")
+    return F.call_function("div", order, F.lit(size))
 
 
 def _keys(df: DataFrame, by: Sequence[str], order: str, size: int) -> DataFrame:

@@ -13,12 +13,12 @@ from linewell.operators.search import KEY
 
 
 def clock_seconds(line: Column, ts_re: str, weights: Sequence[float]) -> Column:
-    """Time of a line: capture groups 1.. of ``ts_re``, each times its weight, summed."""
+    """Time of a line that matches ``ts_re``: its groups 1.., each times its weight, summed."""
     total = F.lit(0.0)
     for group, weight in enumerate(weights, start=1):
         part = F.regexp_extract(line, regex_of(ts_re), group)
-        total = total + F.when(part != "", part.cast("double")).otherwise(0.0) * F.lit(weight)
-    return F.when(F.rlike(line, F.lit(regex_of(ts_re))), total)
+        total = total + F.coalesce(part.try_cast("double"), F.lit(0.0)) * F.lit(weight)
+    return total
 
 
 def pair_durations(
@@ -41,17 +41,14 @@ def pair_durations(
     for term in (start, end, ts_re):
         check_pattern(lines.sparkSession, term)
     begins = line_matches("line", start)
-    qualifies = begins if guard is None else begins & F.coalesce(guard, F.lit(False))
-    role = F.when(begins, F.when(qualifies, "start")).when(line_matches("line", end), "end")
-    # Only start and end lines go on, without their text.
-    events = (
-        lines.withColumn("role", role)
-        .filter(F.col("role").isNotNull())
-        .select(*KEY, "role", clock_seconds(F.col("line"), ts_re, weights).alias("at"))
-        .filter(F.col("at").isNotNull())
+    counts = F.lit(True) if guard is None else F.coalesce(guard, F.lit(False))
+    wanted = F.when(begins, counts).otherwise(line_matches("line", end))
+    # Only start and end lines go on, as numbers; each regex filters once.
+    events = lines.filter(wanted & line_matches("line", ts_re)).select(
+        *KEY, begins.alias("starts"), clock_seconds(F.col("line"), ts_re, weights).alias("at")
     )
-    paired = nearest(events, F.col("role") == "start", ["at"], "before", "_start", chunk=chunk)
-    out = paired.filter("role = 'end' AND _start IS NOT NULL").select(
+    paired = nearest(events, F.col("starts"), ["at"], "before", "_start", chunk=chunk)
+    out = paired.filter("NOT starts AND _start IS NOT NULL").select(
         *KEY, F.col("_start.line_no").alias("start_line"),
         (F.col("at") - F.col("_start.at")).alias("duration"),
     )

@@ -8,6 +8,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Mark sets and match keys below this size travel to the lines, not the lines to them.
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
     # Keeps file splits the same while executors come and go.
     "spark.sql.files.minPartitionNum": "8",
     # Lets legacy code pages and UTF-16 decode in the JVM, bad bytes as U+FFFD.

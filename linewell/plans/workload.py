@@ -419,6 +419,14 @@ def _view(spark, sf_dir, visibility="BOTH") -> DataFrame:
     return ops.filtered_search(lines, PATTERN, tenth(lines), visibility)
 
 
+def _indexed(spark, sf_dir, *columns: str) -> DataFrame:
+    """The indexed view, stored once: what follows reads it more than once."""
+    path = fresh_path(spark, "view")
+    keep = columns or ("file", "line_no", "item_type", "idx")
+    src.write_lines_table(ops.filtered_index(_view(spark, sf_dir)).select(*keep), path)
+    return src.read_lines_table(spark, path)
+
+
 @job
 def filtered_both(spark, sf_dir):
     return _view(spark, sf_dir)
@@ -470,12 +478,12 @@ def line_types(spark, sf_dir):
 
 @job
 def next_marked(spark, sf_dir):
-    return ops.next_marked(ops.filtered_index(_view(spark, sf_dir)))
+    return ops.next_marked(_indexed(spark, sf_dir))
 
 
 @job
 def prev_marked(spark, sf_dir):
-    return ops.prev_marked(ops.filtered_index(_view(spark, sf_dir)))
+    return ops.prev_marked(_indexed(spark, sf_dir))
 
 
 @job

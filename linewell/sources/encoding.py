@@ -94,8 +94,10 @@ def detect_encoding(df: DataFrame, mode: str = "strict") -> DataFrame:
         valid = F.pandas_udf(_lenient, "boolean")(raw)
     else:
         raise ValueError("mode must be 'strict' or 'ref'")
-    # The first line of a file is the first row of its split at byte 0.
-    head = F.when(F.col("_split") == 0, F.hex(F.substring(raw, 1, 2)))
+    # The first line of a file is the first row of its split at byte 0.  A number
+    # rather than text, so that rows are hash-aggregated and never sorted.
+    start = F.hex(F.substring(raw, 1, 2))
+    head = F.when(start == "FFFE", 1).when(start == "FEFF", 2).otherwise(0)
     lines = df.select(
         "file", "_row", "_split", head.alias("_head"),
         (~valid).alias("_bad"),
@@ -108,8 +110,8 @@ def detect_encoding(df: DataFrame, mode: str = "strict") -> DataFrame:
         F.bool_or("_high").alias("_high"),
     )
     guess = (
-        F.when(F.col("_head") == "FFFE", "UTF16LE")
-        .when(F.col("_head") == "FEFF", "UTF16BE")
+        F.when(F.col("_head") == 1, "UTF16LE")
+        .when(F.col("_head") == 2, "UTF16BE")
         .when(F.col("_bad"), "ASCII8")
         .when(F.col("_high"), "UTF8")
         .otherwise("ASCII7")

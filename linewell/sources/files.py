@@ -8,13 +8,15 @@ text into a shuffle, and the lines themselves are never shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,18 +34,28 @@ SPLIT = ("file", "_split")
 _EMPTY = "file string, raw binary, _split bigint, _row bigint, _size bigint, _mtime timestamp"
 
 
-def _readable(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The paths that exist.  All are tried at once; only on failure one by one."""
+def _open(reader: DataFrameReader, paths: list[str]) -> DataFrame | None:
     try:
-        spark.read.text(paths)
-        return paths
+        return reader.text(paths) if paths else None
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    if len(paths) == 1:
+        return None
+
+
+def _existing(reader: DataFrameReader, paths: list[str]) -> list[str]:
+    """The paths that exist, found by halving the list."""
+    if _open(reader, paths) is not None:
+        return paths
+    if len(paths) < 2:
         return []
     half = len(paths) // 2
-    return _readable(spark, paths[:half]) + _readable(spark, paths[half:])
+    return _existing(reader, paths[:half]) + _existing(reader, paths[half:])
+
+
+def literal_path(uri: str) -> str:
+    """A file URI as Spark reports it, as a path that names just this file."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
 
 
 def raw_lines(
@@ -58,15 +70,20 @@ def raw_lines(
     ``missing_ok`` is false.  Only LF ends a line, a CR stays in it.
     """
     paths = list(dict.fromkeys([paths] if isinstance(paths, str) else paths))
-    if missing_ok:
-        paths = _readable(spark, paths) if paths else []
-    if not paths:
-        return spark.createDataFrame([], _EMPTY)
     reader = spark.read.option("lineSep", "\n")
     if encoding.upper().startswith("UTF-16"):
         # The source searches the separator in this encoding; values stay raw bytes.
         reader = reader.option("encoding", encoding)
-    return reader.text(paths).select(
+    if not paths:
+        return spark.createDataFrame([], _EMPTY)
+    if not missing_ok:
+        found = reader.text(paths)
+    else:
+        found = _open(reader, paths)
+        found = _open(reader, _existing(reader, paths)) if found is None else found
+    if found is None:
+        return spark.createDataFrame([], _EMPTY)
+    return found.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("value").cast("binary").alias("raw"),
         F.col("_metadata.file_block_start").alias("_split"),
@@ -100,10 +117,10 @@ def scan_lines(
     groups: dict[str, list[str]] = {}
     # One row per file: no more than the file listing the driver already holds.
     for row in guesses.select("file", "reader_encoding").toLocalIterator():
-        groups.setdefault(row.reader_encoding, []).append(row.file)
+        groups.setdefault(row.reader_encoding, []).append(literal_path(row.file))
     out = _scan_as(spark, [], "UTF-8", True, positions)
     for name in sorted(groups):
-        out = out.unionByName(_scan_as(spark, groups[name], name, missing_ok, positions))
+        out = out.unionByName(_scan_as(spark, groups[name], name, False, positions))
     return out
 
 

@@ -14,10 +14,9 @@ def lines_from_table(df: DataFrame, key: Column | str, text: Column | str) -> Da
     """
     key = F.col(key) if isinstance(key, str) else key
     text = F.col(text) if isinstance(text, str) else text
-    parts = F.split(text, "\n", -1)
-    whole = F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
-    ).otherwise(parts)
+    closed = F.endswith(text, F.lit("\n"))
+    body = F.when(closed, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    whole = F.when(text != "", F.split(body, "\n", -1))
     return df.select(
         key.cast("string").alias("file"), F.posexplode(whole).alias("line_no", "line")
     ).select("file", F.col("line_no").cast("bigint").alias("line_no"), "line")

@@ -10,7 +10,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from linewell.functions.patterns import Term, as_term, check_pattern, line_matches
 from linewell.functions.text import visible_length
-from linewell.operators.ordered import dense_index
+from linewell.operators.ordered import chunk_of, dense_index
 from linewell.operators.search import search
 from linewell.streaming.source import POLL
 
@@ -42,11 +42,21 @@ def follow_counts(stream: DataFrame, pattern: Term | str, **options) -> DataFram
 
 
 def latest_lines(received: DataFrame) -> DataFrame:
-    """One row per line of everything received: partial versions give way to longer ones."""
-    newest = received.groupBy(*LOG, "byte_start").agg(
-        F.max(F.struct("byte_end", "terminated", "line")).alias("_new")
+    """One row per line of everything received: partial versions give way to longer ones.
+
+    Complete lines arrive once and pass through unshuffled.  A file has at most
+    one open line, behind its last complete one.
+    """
+    complete = received.filter("terminated")
+    ends = complete.groupBy(*LOG).agg(F.max("byte_end").alias("_done"))
+    row = F.struct(*received.columns)
+    newest = (
+        received.filter("NOT terminated")
+        .groupBy(*LOG).agg(F.max_by(row, "byte_end").alias("_row"))
+        .join(ends, [*LOG], "left")
     )
-    return newest.select(*LOG, "byte_start", "_new.*")
+    is_open = F.col("_row.byte_start") >= F.coalesce("_done", F.lit(0))
+    return complete.unionByName(newest.filter(is_open).select("_row.*"))
 
 
 def current_epoch(df: DataFrame, epochs: DataFrame) -> DataFrame:
@@ -67,7 +77,7 @@ def number_batch(batch: DataFrame, before: DataFrame, chunk: int = CHUNK_BYTES)
     """Add ``line_no`` to a batch, given the (file, epoch, lines) already numbered."""
     ranked = dense_index(batch, "_rank", by=LOG, order="byte_start", chunk=chunk)
     # The counters are repeated per chunk, so one hot file spreads over tasks.
-    keyed = ranked.withColumn("_chunk", F.floor(F.col("byte_start") / chunk))
+    keyed = ranked.withColumn("_chunk", chunk_of("byte_start", chunk))
     known = keyed.select(*LOG, "_chunk").distinct().join(before, [*LOG], "left")
     return (
         keyed.join(known, [*LOG, "_chunk"], "left")

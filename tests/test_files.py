@@ -141,6 +141,15 @@ def test_auto_encoding_reads_each_file_its_own_way(spark, tmp_path):
     assert [r.line for r in got.collect()] == ["é", "x"] * 3
 
 
+def test_odd_file_names(spark, tmp_path):
+    names = ["a b.log", "c%20d.log", "e[1].log", "f{x,y}.log", "g+h.log"]
+    for name in names:
+        (tmp_path / name).write_bytes(f"é {name}\n".encode())
+    (tmp_path / "e1.log").write_bytes(b"other")
+    got = scan_lines(spark, str(tmp_path)).collect()
+    assert sorted(r.line for r in got) == sorted([f"é {n}" for n in names] + ["other"])
+
+
 def test_file_info(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"x" * 2047 + b"\n")
     row = file_info(raw_lines(spark, str(tmp_path / "a"))).first()

@@ -27,7 +27,9 @@ class Sink:
 
     def rows(self, spark):
         self.query.processAllAvailable()
-        return spark.table(self.name)
+        table = spark.table(self.name)
+        # A copy: the memory sink's own table cannot be joined with itself.
+        return spark.createDataFrame(table.collect(), table.schema)
 
     def stop(self):
         self.query.stop()
@@ -105,8 +107,6 @@ def test_truncated_replaced_and_late_files(spark, tmp_path):
             ("one", 0, "x1"), ("one", 0, "x2"), ("one", 0, "x3"), ("one", 1, "x1"),
             ("one", 1, "y2"), ("one", 2, "late"), *[("one", 2, "more")] * 5, ("two", 0, "late"),
         ]
-        # The memory sink's table cannot be joined with itself.
-        rows = spark.createDataFrame(rows.collect(), rows.schema)
         marks = rows.select("file", "epoch", F.lit(1).alias("line_no")).distinct()
         kept = current_epoch(marks, epochs_of(rows)).collect()
         assert sorted((r.file[-3:], r.epoch) for r in kept) == [("one", 2), ("two", 0)]

@@ -47,6 +47,8 @@ def test_long_lines_stay_cheap(spark):
     assert [(f.start, f.len) if f else None for f in firsts] == [
         (399_999, 1), (len(lines[1]) - 1, 1), (10, 3), None]
     assert values(df, last_span(F.col("line"), "foo"))[2].start == 399_996
+    found = values(df, match_spans("line", "foo"))[2]
+    assert [tuple(s) for s in found] == [(4 * i, 3) for i in range(100_000)]
 
 
 @settings(max_examples=5, deadline=None)
