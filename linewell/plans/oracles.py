@@ -99,6 +99,12 @@ ORACLES: dict[str, str] = {
     "scan_lines": TAGGED + f"""
 SELECT file AS doc, line_no, line, {TAG_START},
   CAST(octet_length(encode(tagged)) + 1 AS BIGINT) AS n_bytes, TRUE AS terminated FROM T""",
+    "file_info": TAGGED + """
+SELECT count(*) AS n_lines, CAST(sum(octet_length(encode(tagged)) + 1) AS BIGINT) AS n_bytes,
+  CASE WHEN bool_or(regexp_matches(line, '[^\\x00-\\x7f]')) THEN 'UTF8' ELSE 'ASCII7' END AS guess FROM T""",
+    "formatted_lines": """
+SELECT 'orders.log' AS file, o_orderkey AS line_no,
+  'this is order' || chr(9) || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS line FROM orders""",
     "scan_lines_auto": LINES + " SELECT count(*) AS n_lines FROM L",
     "lines_table": LINES + " SELECT * FROM L WHERE line_no BETWEEN 2 AND 4",
     "lines_numbered": LINES + " SELECT *, line_no + 1 AS display_no FROM L",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 RECOMMENDED = {
@@ -25,3 +29,16 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
     for key, value in RECOMMENDED.items():
         builder = builder.config(key, value)
     return builder
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers that do not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        stem = f"{tempfile.mkdtemp(prefix='linewell-ship-')}/linewell"
+        spark.sparkContext.addPyFile(shutil.make_archive(stem, "zip", root, "linewell"))
+        _shipped.add(app)

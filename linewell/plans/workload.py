@@ -8,6 +8,7 @@ files first write the corpus out as tagged lines, ``doc|line_no|line``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from linewell import sources as src
 from linewell import streaming as st
 from linewell.functions import Term, expand_tabs, portion, span_count, visible_length, word_at
 from linewell.operators.timing import duration_histogram, pair_durations
+from linewell.plans.session import ship
 from linewell.sources.shared import fresh_path
 
 PATTERN = "(the|and) "
@@ -33,8 +35,13 @@ JOBS: dict[str, Job] = {}
 
 
 def job(fn: Job) -> Job:
-    JOBS[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    JOBS[fn.__name__] = shipped
+    return shipped
 
 
 # -- inputs ------------------------------------------------------------------------
@@ -93,6 +100,23 @@ def scan_lines(spark, sf_dir):
     )
 
 
+@job
+def file_info(spark, sf_dir):
+    """Facts about the written files, summed up."""
+    info = src.file_info(src.raw_lines(spark, write_corpus(spark, sf_dir)))
+    return info.agg(
+        F.sum("n_lines").alias("n_lines"), F.sum("size").alias("n_bytes"),
+        F.max("guess").alias("guess"),
+    )
+
+
+@job
+def formatted_lines(spark, sf_dir):
+    """Generated lines, one per order."""
+    orders = table(spark, sf_dir, "orders")
+    return src.format_lines(orders, "o_orderkey", "this is order\t%07d", "orders.log")
+
+
 @job
 def scan_lines_auto(spark, sf_dir):
     """Encoding guessed per file, then one total over all files."""

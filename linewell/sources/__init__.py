@@ -4,12 +4,12 @@ from linewell.sources.files import (
     scan_lines, size_label,
 )
 from linewell.sources.listing import file_changes, listing
-from linewell.sources.synth import synth_lines
+from linewell.sources.synth import format_lines, synth_lines
 from linewell.sources.tables import lines_from_table, read_lines_table, write_lines_table
 
 __all__ = [
     "decode_column", "decode_lines", "detect_encoding", "file_changes", "file_info",
-    "file_stats", "line_positions", "lines_from_table", "listing", "number_lines",
+    "file_stats", "format_lines", "line_positions", "lines_from_table", "listing", "number_lines",
     "raw_lines", "read_lines_table", "scan_lines", "size_label", "synth_lines",
     "write_lines_table",
 ]

@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def synth_lines(
-    spark: SparkSession,
-    n: int,
-    fmt: str,
-    file: str = "synthetic",
-    first: int = 0,
-    partitions: int | None = None,
-) -> DataFrame:
-    """``n`` lines, the i-th being ``fmt`` (printf style, one integer) of ``first + i``."""
-    ids = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
-    return ids.select(
+def format_lines(df: DataFrame, number: str, fmt: str, file: str) -> DataFrame:
+    """A line per row: ``fmt`` (printf style, one integer) of its ``number`` column."""
+    return df.select(
         F.lit(file).alias("file"),
-        F.col("id").alias("line_no"),
-        F.format_string(fmt, F.col("id") + first).alias("line"),
+        F.col(number).cast("bigint").alias("line_no"),
+        F.format_string(fmt, F.col(number)).alias("line"),
     )
+
+
+def synth_lines(
+    spark: SparkSession, n: int, fmt: str, file: str = "synthetic", partitions: int | None = None
+) -> DataFrame:
+    """``n`` generated lines, the i-th being ``fmt`` of i."""
+    return format_lines(spark.range(0, n, 1, partitions), "id", fmt, file)

@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -279,6 +281,8 @@ def follow(
     if name is None or name.startswith("UTF-16"):
         raise ValueError(f"cannot follow files in encoding {encoding!r}")
     paths = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
+    # Spark's planner process for streams gets no --py-files: the class goes by value.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(FollowSource)
     return (
         spark.readStream.format(FORMAT)
