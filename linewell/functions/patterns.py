@@ -32,6 +32,10 @@ class Term:
             raise ValueError(f"syntax must be one of {SYNTAXES}, not {self.syntax!r}")
 
 
+# A quoted stretch, an escaped character, or a numbered back reference.
+_TOKEN = re.compile(r"\\Q.*?(?:\\E|$)|\\\\|\\([1-9][0-9]*)|\\.", re.S)
+
+
 def as_term(term: Term | str, ignore_case: bool = False, syntax: str = "regex") -> Term:
     return term if isinstance(term, Term) else Term(term, ignore_case, syntax)
 
@@ -42,7 +46,12 @@ def escape_text(text: str) -> str:
 
 
 def body_of(term: Term) -> str:
-    return escape_text(term.text) if term.syntax == "fixed" else term.text
+    """The term as a regex that can be put inside a group."""
+    if term.syntax == "fixed":
+        return escape_text(term.text)
+    last = [m.group(0) for m in _TOKEN.finditer(term.text)][-1:]
+    is_open = bool(last) and last[0].startswith("\\Q") and not last[0].endswith("\\E")
+    return term.text + "\\E" if is_open else term.text
 
 
 def flags_of(ignore_case: bool) -> str:
@@ -83,12 +92,9 @@ def check_pattern(spark: SparkSession, term: Term | str) -> None:
         spark.range(1).select(F.rlike(F.lit(""), F.lit(regex_of(term)))).collect()
 
 
-_BACKREF = re.compile(r"\\Q.*?(?:\\E|$)|\\\\|\\([1-9][0-9]*)|\\.", re.S)
-
-
 def shift_backrefs(body: str, by: int) -> str:
     """Renumber ``\\1``-style references for a regex that gains ``by`` leading groups."""
     def renumber(m: re.Match) -> str:
         return f"\\{int(m.group(1)) + by}" if m.group(1) else m.group(0)
 
-    return _BACKREF.sub(renumber, body)
+    return _TOKEN.sub(renumber, body)

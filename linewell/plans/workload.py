@@ -17,6 +17,7 @@ from linewell import operators as ops
 from linewell import sources as src
 from linewell import streaming as st
 from linewell.functions import Term, expand_tabs, portion, span_count, visible_length, word_at
+from linewell.operators.ordered import attach_per_file
 from linewell.operators.timing import duration_histogram, pair_durations
 from linewell.plans.session import ship
 from linewell.sources.shared import fresh_path
@@ -294,9 +295,10 @@ def search_update(spark, sf_dir):
     """The first half of each file was searched before; now the whole file is there."""
     lines = doc_lines(spark, sf_dir)
     done = lines.groupBy("file").agg(F.floor((F.max("line_no") + 1) / 2).alias("processed"))
-    earlier = ops.search(lines, PATTERN).join(done, "file").filter(
-        F.col("line_no") < F.col("processed")
-    ).drop("processed")
+    last = done.withColumn("_last", F.col("processed") - 1)
+    earlier = attach_per_file(ops.search(lines, PATTERN), last, "_last").filter(
+        "line_no < processed"
+    ).select(*lines.columns)
     return ops.search_update(earlier, lines, done, PATTERN)
 
 

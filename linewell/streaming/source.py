@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from linewell.sources.encoding import PYTHON_CODECS, READERS
-from linewell.sources.shared import fresh_path
+from linewell.sources.shared import shared_dir
 
 FORMAT = "linewell_follow"
 SCHEMA = (
@@ -171,6 +171,8 @@ class FollowReader(DataSourceStreamReader):
         out = []
         for path, new in end.items():
             old = start.get(path)
+            if old and new["epoch"] < old["epoch"]:
+                raise ValueError(f"{self.state_file} was lost; restart with a new checkpoint")
             first = old["done"] if old and old["epoch"] == new["epoch"] else 0
             limit = new["seen"] if self.partial else new["done"]
             if self.partial and old and old["epoch"] == new["epoch"] and old["seen"] == limit:
@@ -274,13 +276,16 @@ def follow(
     An unterminated last line is held back until its LF arrives; with
     ``emit_partial`` it is sent at once with ``terminated=false`` and sent again
     as it grows (see ``latest_lines``).  ``state_file`` keeps epochs across
-    restarts: give a fixed path next to the query's checkpoint, one per query.
-    Encodings must end lines with a single LF byte, so not UTF-16.
+    restarts; by default it lies in the shared folder under a name made from
+    ``paths``.  Encodings must end lines with a single LF byte, so not UTF-16.
     """
     name = READERS.get(encoding.upper())
     if name is None or name.startswith("UTF-16"):
         raise ValueError(f"cannot follow files in encoding {encoding!r}")
     paths = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
+    if state_file is None:
+        name_of = hashlib.sha1(json.dumps(paths).encode()).hexdigest()
+        state_file = f"{shared_dir(spark)}/follow-{name_of}/epochs.json"
     # Spark's planner process for streams gets no --py-files: the class goes by value.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(FollowSource)
@@ -290,6 +295,6 @@ def follow(
         .option("emitPartial", str(emit_partial).lower())
         .option("rangeBytes", str(range_bytes))
         .option("codec", PYTHON_CODECS[name])
-        .option("stateFile", state_file or fresh_path(spark, "follow") + "/epochs.json")
+        .option("stateFile", state_file)
         .load()
     )

@@ -169,6 +169,27 @@ def test_numbering_and_restart_from_checkpoint(spark, tmp_path):
     assert [(r.epoch, r.line_no) for r in rows[141:]] == [(1, 0), (1, 1), (1, 2)]
 
 
+def test_default_state_survives_a_restart(spark, tmp_path):
+    path, out, check = (str(tmp_path / n) for n in ("log", "out", "check"))
+
+    def run():
+        query = (
+            follow(spark, path).writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", check).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(120)
+
+    append(path, "same\nold\n")
+    run()
+    with open(path, "wb") as f:
+        f.write(b"same\n")
+    run()
+    append(path, "new\n")
+    run()
+    got = sorted((r.epoch, r.line) for r in spark.read.parquet(out).collect())
+    assert got == [(0, "old"), (0, "same"), (1, "new"), (1, "same")]
+
+
 def test_batch_status(spark, tmp_path):
     path = str(tmp_path / "log")
     append(path, "hit\n")

@@ -131,6 +131,14 @@ def test_backreferences_are_shifted():
     assert shift_backrefs(r"(a)\1\\1\Q\1\E\1", 1) == r"(a)\2\\1\Q\1\E\2"
 
 
+def test_open_quotes_are_closed(spark):
+    df = frame(spark, ["a+b c", "aab", "\\Q"])
+    got = values(df, first_span(F.col("line"), "\\Qa+b"))
+    assert [tuple(g) if g else None for g in got] == [(0, 3), None, None]
+    assert values(df, line_matches("line", r"\\Q")) == [False, False, True]
+    assert [bool(g) for g in values(df, first_span(F.col("line"), r"\\Q"))] == [False, False, True]
+
+
 def test_bad_arguments(spark):
     with pytest.raises(ValueError):
         Term("x", syntax="wildcard")
