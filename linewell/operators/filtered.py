@@ -80,18 +80,16 @@ def line_to_index(anchors: DataFrame, items: DataFrame, chunk: int = CHUNK) -> D
 
     Past the last item it is the last index; NULL when the file has no items.
     """
-    extra = [c for c in anchors.columns if c not in KEY]
-    left = anchors.select(*KEY, F.struct(F.lit(1).alias("_one"), *extra).alias("_anchor"))
-    both = left.unionByName(items.select(*KEY), allowMissingColumns=True)
-    item = F.col("_anchor").isNull().cast("int")
+    # Each line is counted once, however many anchors name it.
+    places = anchors.select(*KEY).distinct().withColumn("_item", F.lit(0))
+    both = places.unionByName(items.select(*KEY, F.lit(1).alias("_item")))
     # Anchors first among equals: the total before an anchor counts smaller lines only.
     counted = running_total(
-        both, item, "_below", tie=[item.asc()], total_out="_all", chunk=chunk
+        both, F.col("_item"), "_below", tie=[F.col("_item").asc()], total_out="_all", chunk=chunk
     )
     index = F.when(F.col("_all") > 0, F.least("_below", F.col("_all") - 1))
-    return counted.filter(F.col("_anchor").isNotNull()).select(
-        *KEY, *[F.col(f"_anchor.{c}").alias(c) for c in extra], index.alias("idx")
-    )
+    answers = counted.filter("_item = 0").select(*KEY, index.alias("idx"))
+    return anchors.join(answers, KEY, "left").select(*anchors.columns, "idx")
 
 
 def filtered_stats(items: DataFrame) -> DataFrame:

@@ -147,9 +147,9 @@ def _bulk(anchors, lines, term, direction, chunk) -> DataFrame:
     hits = _hits(
         _matching(lines, term).withColumn("_marked", every), _one(marked, elsewhere)
     )
-    placed = anchors.join(_shown(lines, term), KEY, "left").withColumn("_marked", here)
-    here = placed.withColumn("_own", own).drop("line", "_marked")
-    found = as_of(here, hits, ["start", "end"], direction, "_next", chunk=chunk)
+    found = as_of(anchors, hits, ["start", "end"], direction, "_next", chunk=chunk)
+    placed = found.join(_shown(lines, term), KEY, "left").withColumn("_marked", here)
+    found = placed.withColumn("_own", own)
     own_hit = F.col("_own").isNotNull()
 
     def either(mine: Column, name: str) -> Column:

@@ -29,12 +29,11 @@ def clear_marks(marks: DataFrame, file: str | None = None) -> DataFrame:
 def toggle_marks(marks: DataFrame, selected: DataFrame, lines: DataFrame) -> DataFrame:
     """Marked lines of the selection lose their mark, the others gain one."""
     real = selected.select(*KEY).join(lines.select(*KEY), KEY, "left_semi")
-    sides = (
-        marks.select(*KEY, F.lit(1).alias("side"))
-        .unionByName(real.dropDuplicates(KEY).withColumn("side", F.lit(2)))
+    sides = marks.select(*KEY, F.lit(1).alias("marked"), F.lit(0).alias("chosen")).unionByName(
+        real.select(*KEY, F.lit(0).alias("marked"), F.lit(1).alias("chosen"))
     )
-    # A key on both sides sums to 3 and drops out.
-    return sides.groupBy(*KEY).agg(F.sum("side").alias("side")).filter("side < 3").select(*KEY)
+    both = sides.groupBy(*KEY).agg(F.max("marked").alias("marked"), F.max("chosen").alias("chosen"))
+    return both.filter("marked <> chosen").select(*KEY)
 
 
 def mark_after(anchors: DataFrame, marks: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -48,7 +47,7 @@ def mark_before(anchors: DataFrame, marks: DataFrame, chunk: int = CHUNK) -> Dat
 
 
 def _mark(anchors: DataFrame, marks: DataFrame, direction: str, chunk: int) -> DataFrame:
-    found = as_of(anchors, marks.select(*KEY), [], direction, "_mark", chunk=chunk)
+    found = as_of(anchors, marks.select(*KEY).distinct(), [], direction, "_mark", chunk=chunk)
     return found.select(*anchors.columns, F.col("_mark.line_no").alias("mark_line"))
 
 

@@ -149,28 +149,21 @@ def as_of(
 ) -> DataFrame:
     """For each anchor the nearest item strictly before/after it in its file.
 
-    Anchors keep all their columns and gain ``out`` (a struct, or NULL).
+    Anchors keep all their columns and gain ``out`` (a struct, or NULL).  Items
+    are unique per (file, order).  Each anchor position is looked up once, however
+    many anchors share it, so a window partition holds at most two rows per
+    order value of its chunk.
     """
-    extra = [c for c in anchors.columns if c not in (*by, order)]
-    left = anchors.select(
-        *by, order, F.struct(F.lit(1).alias("_one"), *extra).alias("_anchor")
-    )
-    right = items.select(*by, order, *[F.col(p).alias(f"_p_{p}") for p in payload])
-    both = left.unionByName(right, allowMissingColumns=True)
-    is_item = F.col("_anchor").isNull()
+    places = anchors.select(*by, order).distinct().withColumn("_item", F.lit(0))
+    right = items.select(*by, order, *payload, F.lit(1).alias("_item"))
+    both = places.unionByName(right, allowMissingColumns=True)
     # Anchors come first among equal positions in both directions: strictness.
     found = nearest(
-        both, is_item, [f"_p_{p}" for p in payload], direction, "_found",
-        by, order, tie=is_item.cast("int"), chunk=chunk,
-    )
-    hit = F.struct(
-        F.col(f"_found.{order}").alias(order),
-        *[F.col(f"_found._p_{p}").alias(p) for p in payload],
-    )
-    return found.filter(F.col("_anchor").isNotNull()).select(
-        *by, order, *[F.col(f"_anchor.{c}").alias(c) for c in extra],
-        F.when(F.col("_found").isNotNull(), hit).alias(out),
+        both, F.col("_item") == 1, payload, direction, out, by, order,
+        tie=F.col("_item"), chunk=chunk,
     )
+    answers = found.filter("_item = 0").select(*by, order, out)
+    return anchors.join(answers, [*by, order], "left").select(*anchors.columns, out)
 
 
 def attach_per_file(
