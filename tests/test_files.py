@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from linewell.operators.ordered import dense_index
 from linewell.sources import (
-    decode_lines, detect_encoding, file_changes, file_info, line_positions, listing,
+    detect_encoding, file_changes, file_info, line_positions, listing,
     number_lines, raw_lines, read_lines_table, scan_lines, synth_lines, write_lines_table,
 )
 
