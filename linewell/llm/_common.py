@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linewell.plans.session import ship
+
 #: White space of the line and word contracts: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,3 +29,9 @@ def n_words(text: Column) -> Column:
 def uniform(*parts: Column) -> Column:
     """A double strictly between 0 and 1, decided by the values of ``parts``."""
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+
+
+def map_arrow(df: DataFrame, work, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on every executor."""
+    ship(df.sparkSession)
+    return df.mapInArrow(work, schema)
