@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewell.llm import jaccard_join, line_dedup, mixing, sharding
+from linewell.llm import html_extract, jaccard_join, licenses, line_dedup, mixing, sharding, toxicity
 from linewell.llm._common import table
 
 
@@ -25,6 +25,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select(
+        F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.with_kept_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select(
@@ -32,11 +38,23 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages")).select(
+        F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
+    "op5_toxicity": op5_toxicity,
     "op8_line_dedup": op8_line_dedup,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_license_scan": op10_license_scan,
 }
 
 #: Stripped at both ends of a line: chr(32) and chr(9) to chr(13).
