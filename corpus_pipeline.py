@@ -1,30 +1,48 @@
-"""The corpus pipeline: each stage reads the documents its predecessor kept."""
+"""The corpus pipeline: each stage reads all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linewell.llm import mixing, sharding
+from linewell.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
 from linewell.llm._common import table
 from linewell.sources.shared import fresh_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5, trained on the labels of ``sf_dir``."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the least id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark of ``sf_dir``."""
+    return decontaminate.without_matches(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeated (0 to 2 times) so that the sources come near their targets."""
     return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A shard and a slot for every row, extra to the columns of ``docs``."""
+    """All rows, with their shard as a last column."""
     return sharding.with_shards(docs, n_shards=24)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark),
     ("mixing sources to target weights", mix_sources),
     ("sharding", shard),
 ]
 
-#: Trained scores and sketches have no SQL; the stages are tested against brute force.
+#: Trained scores, sketches and Newton steps have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewell.llm import html_extract, jaccard_join, licenses, line_dedup, mixing, sharding, toxicity
+from linewell.llm import (
+    decontaminate, html_extract, jaccard_join, licenses, line_dedup, mixing, sharding, topk, toxicity,
+)
 from linewell.llm._common import table
 
 
@@ -25,12 +27,21 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scores.select(
         F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, top=5)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.with_kept_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select(
@@ -51,7 +62,9 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
+    "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op6_top_k": op6_top_k,
     "op8_line_dedup": op8_line_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
@@ -61,6 +74,18 @@ QUERIES = {
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLES = {
+    "op6_top_k": """
+        WITH v AS (
+            SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs)
+        SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5""",
     "op8_line_dedup": f"""
         WITH docs AS (
             SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts
