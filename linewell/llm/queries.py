@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewell.llm import (
-    decontaminate, html_extract, jaccard_join, licenses, line_dedup, mixing, sharding, topk, toxicity,
+    decontaminate, html_extract, jaccard_join, licenses, line_dedup, mixing, sharding, substring,
+    topk, toxicity,
 )
 from linewell.llm._common import table
 
@@ -42,6 +43,10 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, top=5)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.with_kept_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select(
@@ -65,6 +70,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_top_k": op6_top_k,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
