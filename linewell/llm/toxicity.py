@@ -10,6 +10,7 @@ a slice their changes of state are added up.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ BITS = 20
 ALPHA, BETA, L1_RATE, L2 = 1.0, 1.0, 0.07, 0.1
 #: Labelled rows used at most, chosen by a hash of the id.
 TRAINING_ROWS = 40_000
-SLICES, REPLICAS, EPOCHS = 4, 4, 3
+SLICES, REPLICAS, EPOCHS = 3, 4, 3
 _BIAS = 1 << BITS  # one place more than the features have
 
 
@@ -57,10 +58,11 @@ def _weights(z: np.ndarray, n: np.ndarray, bias: np.ndarray | bool, l1: float) -
 
 
 def _train(batches: Iterator[pa.RecordBatch], z: np.ndarray, n: np.ndarray, l1: float) -> Iterator[pa.RecordBatch]:
-    """One replica: FTRL over its rows in order; the change of its state comes out."""
-    z0, n0, z, n = z, n, z.copy(), n.copy()
+    """One replica: FTRL over its rows in order; the change of its state comes out as two arrays."""
+    z0, n0, z, n, replica = z, n, z.copy(), n.copy(), -1
     for batch in batches:
         for part in text_chunks(batch, "text"):
+            replica = part.column("replica")[0].as_py()
             of, places = features(part.column("text"))
             order = np.argsort(of, kind="stable")
             ends = np.searchsorted(of[order], np.arange(part.num_rows + 1))
@@ -71,9 +73,9 @@ def _train(batches: Iterator[pa.RecordBatch], z: np.ndarray, n: np.ndarray, l1:
                 root = np.sqrt(n[at])
                 z[at] += g - (np.sqrt(n[at] + g * g) - root) / ALPHA * w
                 n[at] += g * g
-    moved = np.flatnonzero(n != n0)
+    changed = [(z - z0).astype(np.float32).tobytes(), (n - n0).astype(np.float32).tobytes()]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(moved, pa.int64()), pa.array((z - z0)[moved]), pa.array((n - n0)[moved])], names=["at", "z", "n"])
+        [pa.array([replica], pa.int32()), *[pa.array([c], pa.binary()) for c in changed]], names=["replica", "z", "n"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -92,55 +94,66 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
                        F.xxhash64("_id").alias("at"))
 
 
-def fit(rows: DataFrame) -> np.ndarray | None:
-    """Weights of all places and, last, the bias; None without rows."""
+#: Places of non-zero weights, the weights, and the bias.
+Model = tuple[np.ndarray, np.ndarray, float]
+
+
+def fit(rows: DataFrame) -> Model | None:
+    """The trained model; None without rows."""
     spark = rows.sparkSession
     path = fresh_path(spark, "toxicity-training")
-    rows.repartition("slice", "replica").sortWithinPartitions("slice", "replica", "at").write.partitionBy("slice").parquet(path)
-    stored = spark.read.parquet(path)
-    total = stored.count()
-    if not total:
+    rows.repartition("slice", "replica").sortWithinPartitions("slice", "replica", "at").select(
+        "text", "label", "replica", F.col("slice").alias("s"), F.col("replica").alias("r"),
+    ).write.partitionBy("s", "r").parquet(path)
+    schema = "text string, label int, replica int, s int, r int"
+    stored = spark.read.schema(schema).parquet(path)
+    parts = {(row["s"], row["r"]): row["k"] for row in stored.groupBy("s", "r").agg(F.count("*").alias("k")).collect()}
+    if not parts:
         return None
-    l1 = L1_RATE * total**0.5
+    l1 = L1_RATE * sum(parts.values()) ** 0.5
     z, n = np.zeros(_BIAS + 1), np.zeros(_BIAS + 1)
     for _ in range(EPOCHS):
         for k in range(SLICES):
-            part = stored.filter(F.col("slice") == k).select("text", "label", "replica", "at")
-            part = part.repartition(REPLICAS, "replica").sortWithinPartitions("replica", "at")
+            replicas = [spark.read.schema("text string, label int, replica int").parquet(f"{path}/s={k}/r={r}").coalesce(1)
+                        for r in range(REPLICAS) if (k, r) in parts]
+            if not replicas:
+                continue
             state = spark.sparkContext.broadcast((z, n, l1))
-            moves = map_arrow(part.select("text", "label"), lambda it, s=state: _train(it, *s.value),
-                              "at long, z double, n double").groupBy("at").agg(
-                F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("k")).toArrow()
-            at = moves["at"].to_numpy()
-            z, n = z.copy(), n.copy()
-            # The bias moves in every replica alike: its mean counts; rare features move in few: their sum does.
-            share = np.where(at == _BIAS, moves["k"].to_numpy(), 1)
-            z[at] += moves["z"].to_numpy() / share
-            n[at] += moves["n"].to_numpy() / share
-            state.unpersist()
+            moves = map_arrow(reduce(DataFrame.union, replicas), lambda it, s=state: _train(it, *s.value),
+                              "replica int, z binary, n binary").toArrow().sort_by("replica").to_pylist()
+            state.destroy()
+            # Features move in few replicas: the sum of their changes counts.  The bias moves in all alike: the mean.
+            dz, dn = (sum(np.frombuffer(m[c], dtype=np.float32).astype(float) for m in moves) for c in ("z", "n"))
+            dz[_BIAS], dn[_BIAS] = dz[_BIAS] / len(moves), dn[_BIAS] / len(moves)
+            z, n = z + dz, n + dn
     bias = np.arange(_BIAS + 1) == _BIAS
-    return _weights(z, n, bias, l1)
+    weights = _weights(z, n, bias, l1)
+    places = np.flatnonzero(weights[:_BIAS])
+    return places.astype(np.int32), weights[places], float(weights[_BIAS])
 
 
-def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+    if model is not None:
+        weights = np.zeros(1 << BITS)
+        weights[model[0]] = model[1]
     for batch in batches:
         for part in text_chunks(batch, "text", 1 << 20):
             score = np.zeros(part.num_rows)
-            if weights is not None:
+            if model is not None:
                 of, places = features(part.column("text"))
                 heavy = weights[places] != 0
                 pairs = np.unique(of[heavy] * (1 << BITS) + places[heavy])
                 total = np.bincount(pairs >> BITS, weights[pairs & ((1 << BITS) - 1)], part.num_rows)
-                score = 1.0 / (1.0 + np.exp(-np.clip(total + weights[_BIAS], -35, 35)))
+                score = 1.0 / (1.0 + np.exp(-np.clip(total + model[2], -35, 35)))
             rest = [part.column(i) for i, name in enumerate(part.schema.names) if name != "text"]
             names = [name for name in part.schema.names if name != "text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(score)], names=[*names, "score"])
 
 
-def scored(docs: DataFrame, weights: np.ndarray | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, held_out, score`` for every row; the weights travel once as a broadcast of fixed size."""
+def scored(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, held_out, score`` for every row; the non-zero weights travel once as a broadcast."""
     narrow = docs.select(F.col(doc_id).alias("id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(weights)
+    held = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(narrow.dtypes)["id"]
     return map_arrow(narrow, lambda it: _score(it, held.value), f"id {kind}, held_out boolean, score double")
 
@@ -158,8 +171,8 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   label: str = "toxic", at: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``at``, columns unchanged."""
-    weights = fit(training_rows(docs, labels, doc_id, text, label))
-    held = docs.sparkSession.sparkContext.broadcast(weights)
+    model = fit(training_rows(docs, labels, doc_id, text, label))
+    held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct("*").alias("_row"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["_row"]
     done = map_arrow(rows, lambda it: _score(it, held.value), f"_row {kind}, score double")
