@@ -60,9 +60,10 @@ class Items:
         self.weight = np.maximum(1, _UNIT // held).astype(np.int64)
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.known >> U(44)).astype(np.int64)] = True
-        # Which sizes of items hold a shingle: (shingle number, size), sorted.
-        pairs = {(int(s), len(p)) for p in self.parts for s in np.searchsorted(self.known, p)}
-        self.of_size = {n: np.array(sorted(s for s, m in pairs if m == n)) for n in set(self.sizes.tolist())}
+        self.held_by: dict[int, set[int]] = {}  # shingle number: sizes of the items that hold it
+        for p in self.parts:
+            for s in np.searchsorted(self.known, p).tolist():
+                self.held_by.setdefault(s, set()).add(len(p))
         prints = [_fingerprints(_sums(p, self.weights(p))[-1:])[0] for p in self.parts]
         self.prints = np.array(prints, dtype=np.uint16).reshape(-1, 8)
         self.index = []
@@ -112,12 +113,14 @@ class Items:
         real = self.known[number] == hashes[hits]
         hits, number = hits[real], number[real]
         best: dict[int, tuple[float, int]] = {}
-        for n, own in self.of_size.items():
+        of_size: dict[int, list[int]] = {}
+        for at, s in zip(hits.tolist(), number.tolist(), strict=True):
+            for n in self.held_by[s]:
+                of_size.setdefault(n, []).append(at)
+        for n, places in sorted(of_size.items()):
             if n > len(hashes):
                 continue
-            mine = hits[np.isin(number, own)]
-            if not len(mine):
-                continue
+            mine = np.array(places)
             edge = np.zeros(len(hashes) + 1, dtype=np.int64)
             np.add.at(edge, np.maximum(mine - n + 1, 0), 1)
             np.add.at(edge, mine + 1, -1)
