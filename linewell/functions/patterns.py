@@ -51,7 +51,39 @@ def body_of(term: Term) -> str:
         return escape_text(term.text)
     last = [m.group(0) for m in _TOKEN.finditer(term.text)][-1:]
     is_open = bool(last) and last[0].startswith("\\Q") and not last[0].endswith("\\E")
-    return term.text + "\\E" if is_open else term.text
+    body = term.text + "\\E" if is_open else term.text
+    # In comment mode a line end closes a comment, and is ignored where there is none.
+    return body + "\n" if ends_in_comment_mode(body) else body
+
+
+# What counts for the comment mode: quotes, escapes, groups with and without flags, classes.
+_PART = re.compile(r"\\Q.*?(?:\\E|$)|\\.|\(\?([a-zA-Z]*)(?:-([a-zA-Z]*))?([:)])|[()\[\]#\n]", re.S)
+
+
+def ends_in_comment_mode(body: str) -> bool:
+    """Is the flag x on where the regex ends?"""
+    modes, depth, comment = [False], 0, False
+    for m in _PART.finditer(body):
+        part = m.group(0)
+        if comment:
+            comment = part != "\n"
+        elif part == "#":  # begins a comment in a class too
+            comment = modes[-1]
+        elif depth:
+            depth += (part == "[") - (part == "]")
+        elif part == "[":
+            depth = 1
+        elif m.group(3):
+            now = (modes[-1] or "x" in m.group(1)) and "x" not in (m.group(2) or "")
+            if m.group(3) == ":":
+                modes.append(now)
+            else:
+                modes[-1] = now
+        elif part == "(":
+            modes.append(modes[-1])
+        elif part == ")" and len(modes) > 1:
+            modes.pop()
+    return modes[-1]
 
 
 def flags_of(ignore_case: bool) -> str:
@@ -87,9 +119,18 @@ def check_pattern(spark: SparkSession, term: Term | str) -> None:
 
     The one-row query is folded by the optimizer; it starts no tasks over a table.
     """
-    term = as_term(term)
-    if term.text != "" and term.syntax == "regex":
-        spark.range(1).select(F.rlike(F.lit(""), F.lit(regex_of(term)))).collect()
+    check_patterns(spark, [as_term(term)])
+
+
+def check_patterns(spark: SparkSession, terms: list[Term]) -> None:
+    """``check_pattern`` for many terms, a few queries in all.
+
+    The form that stands inside a group is checked too, as finds and spans use it.
+    """
+    regexes = [x for t in terms if t.text != "" and t.syntax == "regex"
+               for x in (regex_of(t), f"{flags_of(t.ignore_case)}({shift_backrefs(body_of(t), 1)})")]
+    for k in range(0, len(regexes), 200):
+        spark.range(1).select(*[F.rlike(F.lit(""), F.lit(x)) for x in regexes[k:k + 200]]).collect()
 
 
 def shift_backrefs(body: str, by: int) -> str:

@@ -148,7 +148,9 @@ def _bulk(anchors, lines, term, direction, chunk) -> DataFrame:
         _matching(lines, term).withColumn("_marked", every), _one(marked, elsewhere)
     )
     found = as_of(anchors, hits, ["start", "end"], direction, "_next", chunk=chunk)
-    placed = found.join(_shown(lines, term), KEY, "left").withColumn("_marked", here)
+    # The few lines that anchors stand on are picked before any text moves.
+    stood_on = lines.join(anchors.select(*KEY).distinct(), KEY, "left_semi")
+    placed = found.join(_shown(stood_on, term), KEY, "left").withColumn("_marked", here)
     found = placed.withColumn("_own", own)
     own_hit = F.col("_own").isNotNull()
 

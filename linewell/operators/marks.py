@@ -12,7 +12,8 @@ from linewell.operators.search import KEY
 
 def add_marks(marks: DataFrame, new: DataFrame, lines: DataFrame) -> DataFrame:
     """Marks plus the new ones that exist as lines; doubles collapse."""
-    real = new.select(*KEY).join(lines.select(*KEY), KEY, "left_semi")
+    # This way round a small selection is broadcast and the lines' keys stay where they are.
+    real = lines.select(*KEY).join(new.select(*KEY), KEY, "left_semi")
     return marks.select(*KEY).unionByName(real).dropDuplicates(KEY)
 
 
@@ -28,7 +29,7 @@ def clear_marks(marks: DataFrame, file: str | None = None) -> DataFrame:
 
 def toggle_marks(marks: DataFrame, selected: DataFrame, lines: DataFrame) -> DataFrame:
     """Marked lines of the selection lose their mark, the others gain one."""
-    real = selected.select(*KEY).join(lines.select(*KEY), KEY, "left_semi")
+    real = lines.select(*KEY).join(selected.select(*KEY), KEY, "left_semi")
     sides = marks.select(*KEY, F.lit(1).alias("marked"), F.lit(0).alias("chosen")).unionByName(
         real.select(*KEY, F.lit(0).alias("marked"), F.lit(1).alias("chosen"))
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewell.functions.text import expand_tabs, visible_length
+from linewell.functions.text import expand_tabs, portion, visible_length
 from linewell.operators.ordered import CHUNK, chunk_of
 from linewell.operators.search import KEY
 
@@ -38,10 +38,26 @@ def tail(lines: DataFrame, n: int, by: str = "line_no", chunk: int = CHUNK) -> D
 
 
 def context(lines: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """Lines at most ``k`` away from an anchor, each once."""
-    around = F.explode(F.sequence(F.col("line_no") - k, F.col("line_no") + k))
-    keys = anchors.select("file", around.alias("line_no")).dropDuplicates(KEY)
-    return lines.join(keys, KEY, "left_semi")
+    """Lines at most ``k`` away from an anchor, each once.
+
+    Files are cut into chunks of k + 1 lines.  An anchor covers its whole chunk; into
+    the chunk above or below only the nearest anchor reaches farthest.  So one row a
+    touched chunk (at most three an anchor, whatever k is) decides its lines.
+    """
+    ends = anchors.groupBy("file", chunk_of("line_no", k + 1).alias("c")).agg(
+        F.min("line_no").alias("low"), F.max("line_no").alias("high"))
+    none = F.lit(None).cast("bigint")
+
+    def reach(shift: int, up: Column, down: Column) -> Column:
+        return F.struct((F.col("c") + shift).alias("_chunk"), F.lit(shift == 0).alias("own"), up.alias("up"), down.alias("down"))
+
+    touched = ends.select("file", F.inline(F.array(
+        reach(0, none, none), reach(1, F.col("high"), none), reach(-1, none, F.col("low")))))
+    touched = touched.groupBy("file", "_chunk").agg(
+        F.bool_or("own").alias("_own"), F.max("up").alias("_up"), F.min("down").alias("_down"))
+    near = F.col("_own") | (F.col("line_no") - F.col("_up") <= k) | (F.col("_down") - F.col("line_no") <= k)
+    return lines.withColumn("_chunk", chunk_of("line_no", k + 1)).join(
+        touched, ["file", "_chunk"]).filter(near).select(*lines.columns)
 
 
 def select_range(lines: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -56,10 +72,20 @@ def range_max_length(lines: DataFrame, lo: int, hi: int) -> DataFrame:
     )
 
 
-def export_lines(lines: DataFrame, lo: int, hi: int, path: str) -> None:
+def export_lines(
+    lines: DataFrame, lo: int, hi: int, path: str,
+    columns: tuple[int, int] | None = None, per_file: bool = False,
+) -> None:
     """Write the text of a range as LF-terminated text files.
 
     The range is sorted by (file, line_no) across the part files, so reading
-    the parts in name order gives the lines in order.
+    the parts in name order gives the lines in order.  ``per_file`` writes a folder
+    ``file=<name>`` for each file of a set.  ``columns`` (first, last) writes only that
+    part of each line, as displayed.
     """
-    select_range(lines, lo, hi).orderBy(*KEY).select("line").write.text(path)
+    chosen = select_range(lines, lo, hi)
+    if columns is not None:
+        chosen = chosen.withColumn("line", portion("line", min(columns), max(columns)))
+    ordered = chosen.select(*KEY, "line").orderBy(*KEY)
+    writer = ordered.select("line", "file").write.partitionBy("file") if per_file else ordered.select("line").write
+    writer.text(path)

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewell.functions.patterns import Term, check_pattern, flags_of, line_matches
+from linewell.functions.patterns import Term, check_patterns, line_matches
 
-# Up to this many stored rules become one CASE expression with compiled patterns.
-INLINE_RULES = 200
+# Rules per CASE expression; a longer list is several of them, tried one after the other.
+BLOCK = 64
 
 RULE_COLUMNS = ("priority", "pattern", "ignore_case", "fore", "back")
 RULE_TYPE = "struct<priority:int,fore:string,back:string>"
@@ -40,59 +40,44 @@ def classify(lines: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     One pass; a line is tested only up to its first matching rule.
     """
     numbered = list(enumerate(rules))
-    for _, r in numbered:
-        check_pattern(lines.sparkSession, Term(r.pattern, r.ignore_case))
+    check_patterns(lines.sparkSession, [Term(r.pattern, r.ignore_case) for _, r in numbered])
     return _with_rule(lines, _first_of(numbered))
 
 
 def _first_of(numbered: list[tuple[int, Rule]]) -> Column:
-    case = None
+    blocks = [_case(numbered[k:k + BLOCK]) for k in range(0, len(numbered), BLOCK)]
+    return F.coalesce(*blocks, F.lit(None).cast(RULE_TYPE))
+
+
+def _case(numbered: list[tuple[int, Rule]]) -> Column:
+    case = F
     for priority, r in numbered:
-        test = line_matches("line", Term(r.pattern, r.ignore_case))
         result = F.struct(
-            F.lit(priority).alias("priority"), F.lit(r.fore).alias("fore"),
-            F.lit(r.back).alias("back"),
+            F.lit(priority).cast("int").alias("priority"), F.lit(r.fore).cast("string").alias("fore"),
+            F.lit(r.back).cast("string").alias("back"),
         )
-        case = F.when(test, result) if case is None else case.when(test, result)
-    none = F.lit(None).cast(RULE_TYPE)
-    return none if case is None else case
+        case = case.when(line_matches("line", Term(r.pattern, r.ignore_case)), result)
+    return case
 
 
-def classify_join(lines: DataFrame, rules: DataFrame, inline: int = INLINE_RULES) -> DataFrame:
+def classify_join(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """``classify`` with rules from a table (priority, pattern, ignore_case, fore, back).
 
-    A table of at most ``inline`` rules becomes one CASE expression.  A longer one
-    travels with the lines as a single sorted array that is folded until the
-    first match, so no (line, rule) pairs are ever built.  Empty patterns match
-    nothing.
+    The lowest priority wins; equal ones are tried by pattern, exact case before any
+    case, then by fore and back (NULLs last throughout).  NULL and empty patterns match nothing;
+    a NULL ``ignore_case`` means exact case.  Every pattern is checked before the job.
+    A rule list is written by people and is part of the plan, however long it is:
+    each pattern is compiled once a task, and no (line, rule) pairs are built.
     """
-    stored = rules.select(*RULE_COLUMNS)
-    head = stored.limit(inline + 1).collect()
-    if len(head) <= inline:
-        head.sort(key=lambda r: (r.priority, r.pattern))
-        case = _first_of(
-            [(r.priority, Rule(r.pattern, r.ignore_case, r.fore, r.back)) for r in head]
-        )
-        return _with_rule(lines, case)
-    flags = F.when(F.col("ignore_case"), flags_of(True)).otherwise(flags_of(False))
-    # One row: the human-kept rule list itself, the same in every task.
-    packed = stored.filter("pattern != ''").agg(
-        F.sort_array(F.collect_list(F.struct(
-            "priority", F.concat(flags, F.col("pattern")).alias("regex"), "fore", "back"
-        ))).alias("_rules")
-    )
-    none = F.lit(None).cast(RULE_TYPE)
+    stored = rules.select(*RULE_COLUMNS).filter("pattern IS NOT NULL AND pattern <> ''").collect()
 
-    def step(found: Column, r: Column) -> Column:
-        hit = F.when(
-            F.rlike(F.col("line"), r["regex"]),
-            F.struct(r["priority"], r["fore"], r["back"]).cast(RULE_TYPE),
-        )
-        return F.coalesce(found, hit)
+    def order(r) -> tuple:
+        parts = (r.priority, r.pattern, bool(r.ignore_case), r.fore, r.back)
+        return tuple(x for p in parts for x in ((p is None), "" if p is None else p))
 
-    case = F.aggregate(F.col("_rules"), none, step)
-    with_list = lines.withColumn("_rules", packed.scalar())
-    return _with_rule(with_list, case).drop("_rules")
+    listed = [(r.priority, Rule(r.pattern, bool(r.ignore_case), r.fore, r.back)) for r in sorted(stored, key=order)]
+    check_patterns(lines.sparkSession, [Term(r.pattern, r.ignore_case) for _, r in listed])
+    return _with_rule(lines, _first_of(listed))
 
 
 def rule_counts(classified: DataFrame) -> DataFrame:

@@ -51,8 +51,7 @@ WITH G AS (
 
 PAIRS = EVENTS + """, S AS (
   SELECT line_no, event_type, user_id,
-    0.0::DOUBLE + day(ts) * 86400.0::DOUBLE + hour(ts) * 3600.0::DOUBLE
-      + minute(ts) * 60.0::DOUBLE + CAST(strftime(ts, '%S.%f') AS DOUBLE) AS secs FROM G
+    epoch_us(ts) / 1000000.0::DOUBLE AS secs FROM G
 ), P AS (
   SELECT line_no, event_type, secs,
     last_value(CASE WHEN event_type = 'click' AND user_id % 2 = 0 THEN line_no END IGNORE NULLS) OVER w AS start_line,
@@ -100,12 +99,13 @@ ORACLES: dict[str, str] = {
 SELECT file AS doc, line_no, line, {TAG_START},
   CAST(octet_length(encode(tagged)) + 1 AS BIGINT) AS n_bytes, TRUE AS terminated FROM T""",
     "file_info": TAGGED + """
-SELECT count(*) AS n_lines, CAST(sum(octet_length(encode(tagged)) + 1) AS BIGINT) AS n_bytes,
-  CASE WHEN bool_or(regexp_matches(line, '[^\\x00-\\x7f]')) THEN 'UTF8' ELSE 'ASCII7' END AS guess FROM T""",
+SELECT CAST(file AS BIGINT) % 5 AS part, count(*) AS n_lines,
+  CAST(sum(octet_length(encode(tagged)) + 1) AS BIGINT) AS size, CAST(max(length(tagged)) AS INTEGER) AS max_length,
+  CASE WHEN bool_or(regexp_matches(line, '[^\\x00-\\x7f]')) THEN 'UTF8' ELSE 'ASCII7' END AS guess FROM T GROUP BY 1""",
     "formatted_lines": """
 SELECT 'orders.log' AS file, o_orderkey AS line_no,
   'this is order' || chr(9) || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS line FROM orders""",
-    "scan_lines_auto": LINES + " SELECT count(*) AS n_lines FROM L",
+    "scan_lines_auto": LINES + " SELECT file AS doc, line_no, line FROM L",
     "lines_table": LINES + " SELECT * FROM L WHERE line_no BETWEEN 2 AND 4",
     "lines_numbered": LINES + " SELECT *, line_no + 1 AS display_no FROM L",
     "line_positions": LINES + """
@@ -134,7 +134,9 @@ FROM (SELECT CAST(item_id AS VARCHAR) AS path, CAST(octet_length(encode(text)) A
 FULL OUTER JOIN
   (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents) n
 ON o.path = n.path""",
-    "export_range": LINES + " SELECT line FROM L WHERE line_no BETWEEN 2 AND 5",
+    "export_range": LINES + """
+SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY line_no) AS INTEGER) AS pos, substr(line, 1, 31) AS line
+FROM L WHERE line_no BETWEEN 2 AND 5""",
     # text
     "expand_tabs_lines": TABS + " SELECT * FROM E",
     "visible_lengths": TABS + " SELECT file, line_no, CAST(length(shown) AS INTEGER) AS n FROM E",
@@ -336,6 +338,6 @@ SELECT file AS doc, line_no, 0::BIGINT AS epoch, {TAG_START}, line FROM T""",
     "follow_epochs": LINES + """
 SELECT file AS doc, 0::BIGINT AS epoch, TRUE AS terminated, line FROM L""",
     "batch_status": LINES + f"""
-SELECT 0::BIGINT AS batch_id, CASE WHEN count(*) FILTER (WHERE {HIT}) > 0 THEN 'NEW_FILTERED_DATA'
-  ELSE 'NEW_DATA' END AS status FROM L""",
+SELECT CAST(file AS BIGINT) % 3 AS batch_id, CASE WHEN count(*) FILTER (WHERE {HIT}) > 0 THEN 'NEW_FILTERED_DATA'
+  ELSE 'NEW_DATA' END AS status FROM L GROUP BY 1""",
 }

@@ -16,9 +16,6 @@ RECOMMENDED = {
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     # Keeps file splits the same while executors come and go.
     "spark.sql.files.minPartitionNum": "8",
-    # Lets legacy code pages and UTF-16 decode in the JVM, bad bytes as U+FFFD.
-    "spark.sql.legacy.javaCharsets": "true",
-    "spark.sql.legacy.codingErrorAction": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }

@@ -103,12 +103,14 @@ def scan_lines(spark, sf_dir):
 
 @job
 def file_info(spark, sf_dir):
-    """Facts about the written files, summed up."""
-    info = src.file_info(src.raw_lines(spark, write_corpus(spark, sf_dir)))
-    return info.agg(
-        F.sum("n_lines").alias("n_lines"), F.sum("size").alias("n_bytes"),
-        F.max("guess").alias("guess"),
-    )
+    """All facts of five written files, a row each."""
+    path = fresh_path(spark, "corpus")
+    tagged = F.concat_ws("|", "file", "line_no", "line").alias("value")
+    part = (F.col("file").cast("bigint") % 5).alias("part")
+    doc_lines(spark, sf_dir).select(tagged, part).repartition("part").write.partitionBy("part").text(path)
+    info = src.file_info(spark, [f"{path}/part={k}" for k in range(5)])
+    return info.select(
+        F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint").alias("part"), "n_lines", "size", "max_length", "guess")
 
 
 @job
@@ -120,9 +122,9 @@ def formatted_lines(spark, sf_dir):
 
 @job
 def scan_lines_auto(spark, sf_dir):
-    """Encoding guessed per file, then one total over all files."""
-    lines = src.scan_lines(spark, write_corpus(spark, sf_dir))
-    return lines.agg(F.count("*").alias("n_lines"))
+    """Encoding guessed per file."""
+    got = untag(src.scan_lines(spark, write_corpus(spark, sf_dir)))
+    return got.select("doc", since_first(got, "line_no", ["file"]).alias("line_no"), "line")
 
 
 @job
@@ -205,9 +207,13 @@ def file_changes(spark, sf_dir):
 
 @job
 def export_range(spark, sf_dir):
+    """Parts of a range of lines, written per file and read back in order."""
     path = fresh_path(spark, "export")
-    ops.export_lines(doc_lines(spark, sf_dir), 5, 2, path)
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    ops.export_lines(doc_lines(spark, sf_dir), 5, 2, path, columns=(0, 30), per_file=True)
+    order = Window.partitionBy("file").orderBy(F.col("_metadata.file_name"), F.monotonically_increasing_id())
+    back = spark.read.text(path)
+    return back.select(
+        F.col("file").cast("string").alias("file"), F.row_number().over(order).alias("pos"), F.col("value").alias("line"))
 
 
 # -- text --------------------------------------------------------------------------
@@ -389,9 +395,15 @@ def classify_join(spark, sf_dir):
 
 @job
 def classify_join_long_list(spark, sf_dir):
-    """The form for rule lists too long for one CASE expression."""
+    """Over 300 more rules that are tried first and match nothing, some tied with real ones."""
     rules = _stored_rules(spark, sf_dir)
-    return ops.classify_join(event_lines(spark, sf_dir), rules, inline=1).drop("line")
+    none = spark.range(320).select(
+        (-F.col("id")).cast("int").alias("priority"), F.concat(F.lit("no such text "), "id").alias("pattern"),
+        F.lit(False).alias("ignore_case"), F.lit("x").alias("fore"), F.lit("x").alias("back"))
+    tied = rules.withColumn("ignore_case", F.lit(False)).withColumn("fore", F.lit("tied"))
+    empty = rules.withColumn("pattern", F.lit(None).cast("string")).withColumn("priority", F.lit(-1))
+    every = rules.unionByName(none).unionByName(tied).unionByName(empty)
+    return ops.classify_join(event_lines(spark, sf_dir), every).drop("line")
 
 
 # -- marks -------------------------------------------------------------------------
@@ -557,10 +569,10 @@ def overview(spark, sf_dir):
 
 def _durations(spark, sf_dir) -> DataFrame:
     even = F.regexp_extract("line", r"user=(\d+)", 1).cast("bigint") % 2 == 0
+    stamp = F.regexp_extract("line", r"^\S+ \S+", 0).try_cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), stamp)
     return pair_durations(
-        event_lines(spark, sf_dir), " click ", " error ",
-        r"^\d+-\d+-(\d+) (\d+):(\d+):(\d+\.\d+)", (86400.0, 3600.0, 60.0, 1.0), guard=even,
-    )
+        event_lines(spark, sf_dir), " click ", " error ", time=micros / 1e6, guard=even)
 
 
 @job
@@ -640,6 +652,13 @@ def follow_epochs(spark, sf_dir):
 
 @job
 def batch_status(spark, sf_dir):
-    stream = st.with_batch_status(st.follow(spark, write_corpus(spark, sf_dir)), PATTERN)
-    query = _run(stream.writeStream.format("noop"), spark)
-    return spark.createDataFrame(st.batch_status(query), "batch_id bigint, status string")
+    """Three batches: a third of the documents is added before each."""
+    path, out = fresh_path(spark, "corpus"), fresh_path(spark, "status")
+    checkpoint = fresh_path(spark, "checkpoint")
+    lines = doc_lines(spark, sf_dir)
+    for k in range(3):
+        part = lines.filter(F.col("file").cast("bigint") % 3 == k)
+        part.select("line").write.mode("append").text(path)
+        writer = st.follow_status(st.follow(spark, path), PATTERN, out)
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return st.batch_status(spark, out)

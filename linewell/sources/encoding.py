@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +35,8 @@ HIGH_BYTE = "[^\\x00-\\x7f]"
 def decode_column(spark: SparkSession, raw: Column, encoding: str) -> Column:
     """Bytes to text; malformed bytes become U+FFFD, never an error.
 
-    UTF-8 and ISO-8859-1 always stay in the JVM.  The other codecs do when the
-    session sets ``spark.sql.legacy.javaCharsets`` and
-    ``spark.sql.legacy.codingErrorAction``; otherwise an Arrow UDF decodes.
+    UTF-8 and ISO-8859-1 stay in the JVM; an Arrow UDF decodes the others, the same
+    way in every session.
     """
     name = READERS.get(encoding.upper())
     if name is None:
@@ -48,9 +45,6 @@ def decode_column(spark: SparkSession, raw: Column, encoding: str) -> Column:
         return F.make_valid_utf8(raw.cast("string"))
     if name == "ISO-8859-1":
         return F.decode(raw, name)
-    flags = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
-    if all(spark.conf.get(flag, "false") == "true" for flag in flags):
-        return F.decode(raw, name)
     codec = PYTHON_CODECS[name]
 
     @F.pandas_udf("string")
@@ -60,23 +54,19 @@ def decode_column(spark: SparkSession, raw: Column, encoding: str) -> Column:
     return decode(raw)
 
 
-# Lead and continuation bytes of multibyte sequences, 7-bit bytes left out.  Two-
-# byte forms start at C2 and three-byte ones at E0 A0 (no overlong forms); four-
-# byte ones are taken from 0x800 up to 0x1FFFFF, as the lenient guess wants it.
-_LENIENT = re.compile(
-    rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}"
-    rb"|\xf0(?:[\x90-\xbf][\x80-\xbf]|[\x81-\x8f][\x80-\xbf]|\x80[\xa0-\xbf])[\x80-\xbf]"
-    rb"|[\xf1-\xf7][\x80-\xbf]{3})+"
+# Lead and continuation bytes of multibyte sequences, read as ISO-8859-1 with the 7-bit
+# bytes left out.  Two-byte forms start at C2 and three-byte ones at E0 A0 (no overlong
+# forms); four-byte ones are taken from 0x800 up to 0x1FFFFF, as the lenient guess wants it.
+_LENIENT = (
+    r"\A(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}"
+    r"|\xf0(?:[\x90-\xbf][\x80-\xbf]|[\x81-\x8f][\x80-\xbf]|\x80[\xa0-\xbf])[\x80-\xbf]"
+    r"|[\xf1-\xf7][\x80-\xbf]{3})*+\z"
 )
-_SEVEN_BIT = bytes(range(0x80))
-
 
-def _lenient(values: pd.Series) -> pd.Series:
-    def well_formed(raw) -> bool:
-        high = bytes(raw).translate(None, _SEVEN_BIT)
-        return high == b"" or _LENIENT.fullmatch(high) is not None
 
-    return values.map(well_formed)
+def _lenient(raw: Column) -> Column:
+    high = F.regexp_replace(F.decode(raw, "ISO-8859-1"), F.lit(r"[\x00-\x7f]+"), F.lit(""))
+    return F.rlike(high, F.lit(_LENIENT))
 
 
 def detect_encoding(df: DataFrame, mode: str = "strict") -> DataFrame:
@@ -87,11 +77,16 @@ def detect_encoding(df: DataFrame, mode: str = "strict") -> DataFrame:
     UTF-8 as Spark does; ``mode="ref"`` ignores 7-bit bytes inside a sequence
     and accepts four-byte forms of small and very large code points.
     """
+    return encoding_facts(df, mode).select("file", "guess", "reader_encoding")
+
+
+def encoding_facts(df: DataFrame, mode: str, *more: Column) -> DataFrame:
+    """``detect_encoding`` with more aggregates over ``raw`` from the same pass."""
     raw = F.col("raw")
     if mode == "strict":
         valid = F.is_valid_utf8(raw.cast("string"))
     elif mode == "ref":
-        valid = F.pandas_udf(_lenient, "boolean")(raw)
+        valid = _lenient(raw)
     else:
         raise ValueError("mode must be 'strict' or 'ref'")
     # The first line of a file is the first row of its split at byte 0.  A number
@@ -99,7 +94,7 @@ def detect_encoding(df: DataFrame, mode: str = "strict") -> DataFrame:
     start = F.hex(F.substring(raw, 1, 2))
     head = F.when(start == "FFFE", 1).when(start == "FEFF", 2).otherwise(0)
     lines = df.select(
-        "file", "_row", "_split", head.alias("_head"),
+        "file", "raw", "_row", "_split", head.alias("_head"),
         (~valid).alias("_bad"),
         F.rlike(F.decode(raw, "ISO-8859-1"), F.lit(HIGH_BYTE)).alias("_high"),
     )
@@ -108,6 +103,7 @@ def detect_encoding(df: DataFrame, mode: str = "strict") -> DataFrame:
         F.min_by("_head", first).alias("_head"),
         F.bool_or("_bad").alias("_bad"),
         F.bool_or("_high").alias("_high"),
+        *more,
     )
     guess = (
         F.when(F.col("_head") == 1, "UTF16LE")
@@ -117,6 +113,6 @@ def detect_encoding(df: DataFrame, mode: str = "strict") -> DataFrame:
         .otherwise("ASCII7")
     )
     named = F.create_map(*[F.lit(x) for pair in AUTO_READER.items() for x in pair])
-    return sums.select("file", guess.alias("guess")).withColumn(
+    return sums.withColumn("guess", guess).withColumn(
         "reader_encoding", named[F.col("guess")]
     )

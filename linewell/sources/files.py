@@ -8,9 +8,7 @@ text into a shuffle, and the lines themselves are never shuffled.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
-from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +20,14 @@ from pyspark.sql import types as T
 
 from linewell.functions.text import visible_length
 from linewell.operators.ordered import running_total
-from linewell.sources.encoding import READERS, decode_column, detect_encoding
-from linewell.sources.shared import checkpointed
+from linewell.sources.encoding import (
+    AUTO_READER, READERS, decode_column, detect_encoding, encoding_facts,
+)
+from linewell.sources.listing import listing
+from linewell.sources.shared import fresh_path
 
-# The split summary is broadcast up to this many rows (about 200 bytes each);
-# a larger one is joined by shuffle.
-BROADCAST_SPLITS = 2_000_000
+# Names of files that Spark reads through a decompressor.
+COMPRESSED = r"\.(gz|bz2|lz4|snappy|deflate|zst|zstd|xz)$"
 
 SPLIT = ("file", "_split")
 
@@ -53,11 +53,6 @@ def _existing(reader: DataFrameReader, paths: list[str]) -> list[str]:
     return _existing(reader, paths[:half]) + _existing(reader, paths[half:])
 
 
-def literal_path(uri: str) -> str:
-    """A file URI as Spark reports it, as a path that names just this file."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
-
-
 def raw_lines(
     spark: SparkSession,
     paths: str | Iterable[str],
@@ -67,9 +62,15 @@ def raw_lines(
     """Undecoded lines: file, raw bytes and the bookkeeping columns ``_*``.
 
     Duplicate paths are read once.  Missing paths are empty unless
-    ``missing_ok`` is false.  Only LF ends a line, a CR stays in it.
+    ``missing_ok`` is false.  Only LF ends a line, a CR stays in it.  A path named
+    ``_x`` or ``.x`` is an error; such files inside folders are left out.
     """
     paths = list(dict.fromkeys([paths] if isinstance(paths, str) else paths))
+    hidden = [p for p in paths if p.rstrip("/").rsplit("/", 1)[-1].startswith(("_", "."))
+              and p.rstrip("/").rsplit("/", 1)[-1] not in (".", "..")]
+    if hidden:
+        # Spark's file listing would leave them out without a word.
+        raise ValueError(f"names that begin with '_' or '.' cannot be read: {hidden}")
     reader = spark.read.option("lineSep", "\n")
     if encoding.upper().startswith("UTF-16"):
         # The source searches the separator in this encoding; values stay raw bytes.
@@ -113,21 +114,31 @@ def scan_lines(
     if encoding.lower() != "auto":
         encoding = READERS.get(encoding.upper(), encoding)
         return _scan_as(spark, paths, encoding, missing_ok, positions)
-    guesses = detect_encoding(raw_lines(spark, paths, missing_ok=missing_ok))
-    groups: dict[str, list[str]] = {}
-    # One row per file: no more than the file listing the driver already holds.
-    for row in guesses.select("file", "reader_encoding").toLocalIterator():
-        groups.setdefault(row.reader_encoding, []).append(literal_path(row.file))
-    out = _scan_as(spark, [], "UTF-8", True, positions)
-    for name in sorted(groups):
-        out = out.unionByName(_scan_as(spark, groups[name], name, False, positions))
+    raw = raw_lines(spark, paths, missing_ok=missing_ok)
+    path = fresh_path(spark, "encodings")
+    detect_encoding(raw).select("file", "reader_encoding").write.parquet(path)
+    guesses = spark.read.parquet(path)
+    # Files whose lines end in a single LF byte are one scan, whatever their encodings.
+    text = F.when(F.col("reader_encoding") == "UTF-8", decode_column(spark, F.col("raw"), "UTF-8")).otherwise(
+        decode_column(spark, F.col("raw"), "ISO-8859-1"))
+    numbered = number_lines(raw, positions=positions)
+    out = _kept(_with_line(numbered.join(guesses, "file"), text).filter(
+        F.col("reader_encoding").isin("UTF-8", "ISO-8859-1")), positions)
+    for wide in ("UTF-16LE", "UTF-16BE"):
+        chosen = guesses.filter(F.col("reader_encoding") == wide)
+        if chosen.head(1):
+            own = number_lines(raw_lines(spark, paths, wide, missing_ok), wide, positions)
+            out = out.unionByName(_kept(decode_lines(own.join(chosen, "file", "left_semi"), wide), positions))
     return out
 
 
 def _scan_as(spark, paths, encoding, missing_ok, positions) -> DataFrame:
     df = raw_lines(spark, paths, encoding, missing_ok)
     df = number_lines(df, encoding=encoding, positions=positions)
-    df = decode_lines(df, encoding)
+    return _kept(decode_lines(df, encoding), positions)
+
+
+def _kept(df: DataFrame, positions: bool) -> DataFrame:
     keep = ["file", "line_no", "line"]
     return df.select(*keep, *(["byte_start", "byte_end", "terminated"] if positions else []))
 
@@ -159,12 +170,14 @@ def number_lines(
     offset plus the distance from the split's first row.  The summary is
     computed here, once; should the files be split differently afterwards, the
     job fails instead of losing or misnumbering lines.  ``positions`` adds
-    byte_start, byte_end (past the LF) and terminated.
+    byte_start, byte_end (past the LF) and terminated; compressed files have none
+    of them and fail the job.
     """
     separator = separator_bytes(encoding)
-    offsets = checkpointed(split_summary(df, encoding))
-    if offsets.count() <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
+    # Written and read again: computed once, and of a size Spark knows when it picks the join.
+    path = fresh_path(df.sparkSession, "splits")
+    split_summary(df, encoding).write.parquet(path)
+    offsets = df.sparkSession.read.parquet(path)
     body = _with_split_offset(df, separator) if positions else df
     inside = F.col("_row") - F.col("_first")
     number = F.when(
@@ -178,7 +191,9 @@ def number_lines(
         .withColumn("display_no", F.col("line_no") + 1)
     )
     if positions:
-        start = F.col("_bytes_before") + F.col("_offset")
+        start = F.when(F.col("file").rlike(COMPRESSED), F.raise_error(F.lit(
+            "a compressed file has no byte positions; read it without them"))).otherwise(
+            F.col("_bytes_before") + F.col("_offset"))
         end = start + F.octet_length("raw") + separator
         out = (
             out.withColumn("byte_start", start)
@@ -225,7 +240,10 @@ def _with_split_offset(df: DataFrame, separator: int) -> DataFrame:
 
 def decode_lines(df: DataFrame, encoding: str) -> DataFrame:
     """Add ``line``: the decoded ``raw``.  A byte order mark on line 0 is dropped."""
-    text = decode_column(df.sparkSession, F.col("raw"), encoding)
+    return _with_line(df, decode_column(df.sparkSession, F.col("raw"), encoding))
+
+
+def _with_line(df: DataFrame, text: Column) -> DataFrame:
     if "line_no" in df.columns:
         bom = (F.col("line_no") == 0) & F.startswith("_text", F.lit("\ufeff"))
         line = F.when(bom, F.substring("_text", F.lit(2), F.length("_text"))).otherwise(
@@ -245,19 +263,42 @@ def file_stats(lines: DataFrame) -> DataFrame:
     )
 
 
-def file_info(df: DataFrame, mode: str = "strict") -> DataFrame:
-    """Per file of ``raw_lines``: lines, size, modification time and encoding guess.
+def file_info(spark: SparkSession, paths: str | Iterable[str], mode: str = "strict") -> DataFrame:
+    """All facts of each file: file, size, size_label, mtime, n_lines, max_length, guess, reader_encoding.
 
-    Empty files have no lines and so no row here; ``listing`` shows them.
+    ``max_length`` is the longest displayed line, decoded by the guess.  One pass over
+    the files; only UTF-16 files are read once more, split at their own separator.
+    Empty files have no lines, length 0 and the guess of plain text.
     """
-    facts = df.groupBy("file").agg(
-        F.count("*").alias("n_lines"),
-        F.max("_size").alias("size"),
-        F.max("_mtime").alias("mtime"),
-    )
-    return facts.withColumn("size_label", size_label("size")).join(
-        detect_encoding(df, mode), "file"
-    )
+    paths = [paths] if isinstance(paths, str) else list(paths)
+
+    def longest(encoding: str) -> Column:
+        return F.max(visible_length(decode_column(spark, F.col("raw"), encoding)))
+
+    raw = raw_lines(spark, paths)
+    facts = encoding_facts(raw, mode, F.count("*").alias("_n"), longest("UTF-8").alias("_utf8"),
+                           longest("ISO-8859-1").alias("_latin"))
+    narrow = facts.withColumns({"n_lines": F.col("_n"), "max_length": F.when(
+        F.col("reader_encoding") == "UTF-8", F.col("_utf8")).otherwise(F.col("_latin"))})
+    keep = ["file", "guess", "reader_encoding", "n_lines", "max_length"]
+    path = fresh_path(spark, "file-facts")
+    narrow.select(keep).write.parquet(path)
+    stored = spark.read.parquet(path)
+    known = stored.filter(~F.startswith("reader_encoding", F.lit("UTF-16")))
+    for wide in ("UTF-16LE", "UTF-16BE"):
+        chosen = stored.filter(F.col("reader_encoding") == wide)
+        if chosen.head(1):
+            own = number_lines(raw_lines(spark, paths, wide), wide).join(chosen.select("file"), "file", "left_semi")
+            counts = decode_lines(own, wide).groupBy("file").agg(
+                F.count("*").alias("n_lines"), F.max(visible_length("line")).alias("max_length"))
+            known = known.unionByName(chosen.drop("n_lines", "max_length").join(counts, "file"))
+    files = listing(spark, paths)
+    whole = files.withColumnRenamed("path", "file").join(known, "file", "left")
+    return whole.select(
+        "file", "size", size_label("size").alias("size_label"), "mtime",
+        F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("max_length", F.lit(0)).alias("max_length"),
+        F.coalesce("guess", F.lit("ASCII7")).alias("guess"),
+        F.coalesce("reader_encoding", F.lit(AUTO_READER["ASCII7"])).alias("reader_encoding"))
 
 
 # Size units, 1024 apart.

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from linewell.functions.patterns import Term, as_term, check_pattern, line_matches
@@ -63,9 +61,14 @@ def current_epoch(df: DataFrame, epochs: DataFrame) -> DataFrame:
     """Rows (lines, matches, marks) of each file's current epoch only.
 
     ``epochs`` has one (file, epoch) row per file, see ``epochs_of``.  The join is
-    on both columns, so earlier epochs drop out.
+    on both columns, so earlier epochs drop out.  Rows with a ``byte_start`` are joined
+    chunk by chunk, so that a file that holds most rows spreads over tasks.
     """
-    return df.join(epochs.select(*LOG), [*LOG], "left_semi")
+    if "byte_start" not in df.columns:
+        return df.join(epochs.select(*LOG), [*LOG], "left_semi")
+    keyed = df.withColumn("_chunk", chunk_of("byte_start", CHUNK_BYTES))
+    current = keyed.select(*LOG, "_chunk").distinct().join(epochs.select(*LOG), [*LOG], "left_semi")
+    return keyed.join(current, [*LOG, "_chunk"], "left_semi").drop("_chunk")
 
 
 def epochs_of(received: DataFrame) -> DataFrame:
@@ -96,52 +99,48 @@ def follow_numbered(stream: DataFrame, out: str, counters: str) -> DataStreamWri
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _stored(spark, f"{counters}/batch={batch_id - 1}")
+        if batch_id == 0:
+            before = spark.createDataFrame([], COUNTER)
+        else:  # counters that are gone must fail: numbers would begin again at 0
+            before = spark.read.schema(COUNTER).parquet(f"{counters}/batch={batch_id - 1}")
         batch.persist()  # the plan uses it thrice
-        number_batch(batch, before).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        batch.unpersist()
-        added = _stored(spark, f"{out}/batch={batch_id}", [*LOG]).groupBy(*LOG).agg(
-            F.count("*").alias("lines")
-        )
+        try:
+            number_batch(batch, before).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+        written = spark.read.schema("file string, epoch bigint").parquet(f"{out}/batch={batch_id}")
+        added = written.groupBy(*LOG).agg(F.count("*").alias("lines"))
         after = before.unionByName(added).groupBy(*LOG).agg(F.sum("lines").alias("lines"))
         after.write.mode("overwrite").parquet(f"{counters}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(store).trigger(processingTime=POLL)
 
 
-def _stored(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], COUNTER).select(*(columns or ["*"]))
-    return df.select(*columns) if columns else df
-
-
 # What a batch brought.
 OLD_DATA, NEW_DATA, NEW_FILTERED_DATA = "OLD_DATA", "NEW_DATA", "NEW_FILTERED_DATA"
 
 
-def with_batch_status(stream: DataFrame, pattern: Term | str, **options) -> DataFrame:
-    """The stream with two observed counts per batch, read by ``batch_status``."""
+def follow_status(stream: DataFrame, pattern: Term | str, out: str, **options) -> DataStreamWriter:
+    """Writer that stores one row (batch_id, status) for every batch, below ``out``.
+
+    New matches outrank new lines.  A retried batch overwrites its row, and no row is
+    ever dropped.  Read them with ``batch_status``.
+    """
     term = as_term(pattern, **options)
-    return stream.observe(
-        "batch_status",
-        F.count("*").alias("lines"),
-        F.count_if(line_matches("line", term)).alias("matches"),
-    )
+    check_pattern(stream.sparkSession, term)
 
+    def store(batch: DataFrame, batch_id: int) -> None:
+        seen = batch.agg(
+            F.count("*").alias("lines"), F.count_if(line_matches("line", term)).alias("matches"))
+        status = F.when(F.col("matches") > 0, NEW_FILTERED_DATA).when(
+            F.col("lines") > 0, NEW_DATA).otherwise(OLD_DATA)
+        row = seen.select(F.lit(batch_id).cast("bigint").alias("batch_id"), status.alias("status"))
+        row.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-def batch_status(query: StreamingQuery) -> list[tuple[int, str]]:
-    """(batch id, status) of the query's recent batches.
+    return stream.writeStream.foreachBatch(store).trigger(processingTime=POLL)
 
-    New matches outrank new lines.
-    """
-    out = []
-    for progress in query.recentProgress:
-        seen = progress.observedMetrics.get("batch_status")
-        if seen is None or seen["lines"] == 0:
-            status = OLD_DATA
-        else:
-            status = NEW_FILTERED_DATA if seen["matches"] else NEW_DATA
-        out.append((progress.batchId, status))
-    return out
+
+def batch_status(spark: SparkSession, out: str) -> DataFrame:
+    """(batch_id, status) of all batches that ``follow_status`` has stored in ``out``."""
+    stored = spark.read.schema("batch_id bigint, status string").parquet(out)
+    return stored.select("batch_id", "status")

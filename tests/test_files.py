@@ -129,8 +129,9 @@ def test_lenient_guess_over_all_sequences(spark, tmp_path):
     cases = [(form(cp, 2), cp >= 0x80) for cp in range(0x800)]
     cases += [(form(cp, 3), cp >= 0x800) for cp in range(0x10000)]
     cases += [(form(cp, 4), cp >= 0x800) for cp in range(0, 0x200000, 37)]
-    verdict = _lenient(pd.Series([c[0] for c in cases]))
-    assert list(verdict) == [c[1] for c in cases]
+    given = spark.createDataFrame(pd.DataFrame({"n": range(len(cases)), "raw": [bytearray(c[0]) for c in cases]}))
+    verdict = given.select("n", _lenient(F.col("raw")).alias("ok")).orderBy("n").collect()
+    assert [r.ok for r in verdict] == [c[1] for c in cases]
 
 
 def test_auto_encoding_reads_each_file_its_own_way(spark, tmp_path):
@@ -152,9 +153,33 @@ def test_odd_file_names(spark, tmp_path):
 
 def test_file_info(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"x" * 2047 + b"\n")
-    row = file_info(raw_lines(spark, str(tmp_path / "a"))).first()
-    assert (row.n_lines, row.size, row.size_label, row.guess) == (1, 2048, "2.0 KiB", "ASCII7")
-    assert row.mtime is not None
+    (tmp_path / "b").write_bytes("é\tlong\nx\n".encode())
+    (tmp_path / "c").write_bytes("\ufeffone\n\u0a0atwo\nthree".encode("utf-16-le"))
+    (tmp_path / "d").write_bytes(b"")
+    (tmp_path / "e").write_bytes(b"\xff\xe9\n")
+    rows = file_info(spark, str(tmp_path)).orderBy("file").collect()
+    assert [(r.n_lines, r.max_length, r.size, r.guess) for r in rows] == [
+        (1, 2047, 2048, "ASCII7"), (2, 12, 10, "UTF8"), (3, 5, 30, "UTF16LE"), (0, 0, 0, "ASCII7"), (1, 2, 3, "ASCII8")]
+    assert rows[0].size_label == "2.0 KiB" and all(r.mtime is not None for r in rows)
+
+
+def test_names_that_spark_would_skip_are_refused(spark, tmp_path):
+    for name in ("_h.log", ".h.log", "v.log"):
+        (tmp_path / name).write_bytes(b"x\n")
+    with pytest.raises(ValueError, match="_h.log"):
+        scan_lines(spark, [str(tmp_path / n) for n in ("_h.log", ".h.log", "v.log")])
+    assert scan_lines(spark, str(tmp_path / "v.log"), "UTF-8").count() == 1
+
+
+def test_compressed_files_have_lines_but_no_positions(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.gz").write_bytes(gzip.compress("".join(f"{k}\n" for k in range(20_000)).encode()))
+    path = str(tmp_path / "a.gz")
+    assert scan_lines(spark, path, "UTF-8").filter("line_no = cast(line as bigint)").count() == 20_000
+    with pytest.raises(Exception, match="no byte positions"):
+        scan_lines(spark, path, "UTF-8", positions=True).count()
+        scan_lines(spark, path, "UTF-8", positions=True).collect()
 
 
 def test_table_positions_match_file_positions(spark, tmp_path):

@@ -7,12 +7,12 @@ from linewell.operators import search, search_update
 from linewell.sources import scan_lines
 from linewell.streaming import (
     batch_status, current_epoch, epochs_of, follow, follow_counts, follow_numbered,
-    follow_search, latest_lines, with_batch_status,
+    follow_search, follow_status, latest_lines,
 )
 from linewell.streaming.source import FollowReader
 
 # 83 characters with the number, as the growing test file of the blueprint.
-LINE = "LOGDATA is a part of tests, we are going to test it thoroughly, this is line %06d\n"
+LINE = "A made-up record used to try out readers of very long files, with the number %06d\n"
 
 
 class Sink:
@@ -52,9 +52,9 @@ def test_growing_file_goldens(spark, tmp_path):
     try:
         for text, lines, matches in [
             ("", 2000, 12),
-            (numbered(0, 3000) + "123... beginning of line.", 5001, 26),
-            (" end of line 123.\n" + numbered(0, 20) + "Beginning of line.", 5022, 26),
-            (" end of line 123.\n" + numbered(0, 20), 5042, 27),
+            (numbered(0, 3000) + "The first 123 half, ", 5001, 26),
+            ("and the second 123 half\n" + numbered(0, 20) + "A half without, ", 5022, 26),
+            ("and the second 123 half\n" + numbered(0, 20), 5042, 27),
         ]:
             append(path, text)
             now = latest_lines(sink.rows(spark))
@@ -190,18 +190,45 @@ def test_default_state_survives_a_restart(spark, tmp_path):
     assert got == [(0, "old"), (0, "same"), (1, "new"), (1, "same")]
 
 
-def test_batch_status(spark, tmp_path):
-    path = str(tmp_path / "log")
+def test_batch_status_keeps_every_batch(spark, tmp_path):
+    path, out = str(tmp_path / "log"), str(tmp_path / "status")
     append(path, "hit\n")
-    sink = Sink(with_batch_status(follow(spark, path), "hit"), "status")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    query = follow_status(follow(spark, path), "hit", out).trigger(processingTime="0 seconds").option(
+        "checkpointLocation", str(tmp_path / "checkpoint")).start()
     try:
-        sink.rows(spark)
-        append(path, "miss\n")
-        sink.rows(spark)
-        seen = dict(s for s in batch_status(sink.query) if s[1] != "OLD_DATA")
-        assert list(seen.values()) == ["NEW_FILTERED_DATA", "NEW_DATA"]
+        query.processAllAvailable()
+        for k in range(1, 5):
+            append(path, "hit\n" if k % 2 == 0 else "miss\n")
+            query.processAllAvailable()
     finally:
-        sink.stop()
+        query.stop()
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    got = [tuple(r) for r in batch_status(spark, out).orderBy("batch_id").collect()]
+    assert got == [(k, "NEW_DATA" if k % 2 else "NEW_FILTERED_DATA") for k in range(5)]
+    with pytest.raises(Exception, match="(?i)pattern"):
+        follow_status(follow(spark, path), "(", out)
+
+
+def test_lost_counters_stop_the_numbering(spark, tmp_path):
+    import shutil
+
+    path, out, counters = (str(tmp_path / x) for x in ("log", "out", "counters"))
+
+    def run():
+        query = follow_numbered(follow(spark, path), out, counters).trigger(availableNow=True).option(
+            "checkpointLocation", str(tmp_path / "checkpoint")).start()
+        query.awaitTermination(120)
+
+    append(path, "a\nb\n")
+    run()
+    append(path, "c\n")
+    run()
+    assert sorted((r.line_no, r.line) for r in spark.read.parquet(out).collect()) == [(0, "a"), (1, "b"), (2, "c")]
+    shutil.rmtree(f"{counters}/batch=1")
+    append(path, "d\n")
+    with pytest.raises(Exception, match="(?i)path"):
+        run()
 
 
 def test_growth_with_search_update(spark, tmp_path):
@@ -211,9 +238,9 @@ def test_growth_with_search_update(spark, tmp_path):
     found, done = search(lines, "123"), lines.count()
     assert found.count() == 12
     for text, n_lines, n_matches in [
-        (numbered(0, 3000) + "123... beginning of line.", 5001, 26),
-        (" end of line 123.\n" + numbered(0, 20) + "Beginning of line.", 5022, 26),
-        (" end of line 123.\n" + numbered(0, 20), 5042, 27),
+        (numbered(0, 3000) + "The first 123 half, ", 5001, 26),
+        ("and the second 123 half\n" + numbered(0, 20) + "A half without, ", 5022, 26),
+        ("and the second 123 half\n" + numbered(0, 20), 5042, 27),
     ]:
         found = spark.createDataFrame(found.collect(), found.schema)
         append(path, text)
