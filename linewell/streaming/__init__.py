@@ -1,10 +1,10 @@
 from linewell.streaming.source import follow
 from linewell.streaming.jobs import (
     batch_status, current_epoch, epochs_of, follow_counts, follow_numbered, follow_search,
-    follow_status, latest_lines, number_batch,
+    follow_status, latest_lines, losses, number_batch,
 )
 
 __all__ = [
     "batch_status", "current_epoch", "epochs_of", "follow", "follow_counts",
-    "follow_numbered", "follow_search", "follow_status", "latest_lines", "number_batch",
+    "follow_numbered", "follow_search", "follow_status", "latest_lines", "losses", "number_batch",
 ]

@@ -33,7 +33,7 @@ def follow_counts(stream: DataFrame, pattern: Term | str, **options) -> DataFram
     term = as_term(pattern, **options)
     check_pattern(stream.sparkSession, term)
     return stream.groupBy(*LOG).agg(
-        F.count("*").alias("n_lines"),
+        F.count("line").alias("n_lines"),
         F.count_if(line_matches("line", term)).alias("n_matches"),
         F.max(visible_length("line")).alias("max_length"),
     )
@@ -57,6 +57,11 @@ def latest_lines(received: DataFrame) -> DataFrame:
     return complete.unionByName(newest.filter(is_open).select("_row.*"))
 
 
+def losses(received: DataFrame) -> DataFrame:
+    """(file, epoch, byte_start, byte_end) of planned ranges that were gone before they were read."""
+    return received.filter("line IS NULL").select(*LOG, "byte_start", "byte_end")
+
+
 def current_epoch(df: DataFrame, epochs: DataFrame) -> DataFrame:
     """Rows (lines, matches, marks) of each file's current epoch only.
 
@@ -105,7 +110,7 @@ def follow_numbered(stream: DataFrame, out: str, counters: str) -> DataStreamWri
             before = spark.read.schema(COUNTER).parquet(f"{counters}/batch={batch_id - 1}")
         batch.persist()  # the plan uses it thrice
         try:
-            number_batch(batch, before).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            number_batch(batch.filter("line IS NOT NULL"), before).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         finally:
             batch.unpersist()
         written = spark.read.schema("file string, epoch bigint").parquet(f"{out}/batch={batch_id}")
@@ -131,7 +136,7 @@ def follow_status(stream: DataFrame, pattern: Term | str, out: str, **options) -
 
     def store(batch: DataFrame, batch_id: int) -> None:
         seen = batch.agg(
-            F.count("*").alias("lines"), F.count_if(line_matches("line", term)).alias("matches"))
+            F.count("line").alias("lines"), F.count_if(line_matches("line", term)).alias("matches"))
         status = F.when(F.col("matches") > 0, NEW_FILTERED_DATA).when(
             F.col("lines") > 0, NEW_DATA).otherwise(OLD_DATA)
         row = seen.select(F.lit(batch_id).cast("bigint").alias("batch_id"), status.alias("status"))

@@ -1,22 +1,29 @@
 """A streaming source that follows growing text files, as ``tail -F`` does.
 
-The offset of a micro-batch holds, per path, how far the file has been taken:
-``done`` (just past the last LF), ``seen`` (file size), a fingerprint of the
-first complete line, and an epoch.  A file that shrank, or whose first line
-changed, was truncated or replaced: its epoch goes up and it is read from byte
-0.  Executors read byte ranges; a range owns the lines that start in it.
+The offset of a micro-batch holds, per path, the file size seen, a hash of the
+file's first bytes (HEAD at most), and an epoch.  A file that shrank, or whose first
+bytes changed, was truncated or replaced: its epoch goes up and it is read from byte 0.
+The driver lists files and reads no more than those first bytes; line ends are found
+by the tasks.  A batch covers the bytes between two sizes, cut into ranges; a range
+owns the lines whose LF lies in it and looks back for the begin of its first line.
 
 Rows: file, epoch, byte_start, byte_end, terminated, line.  (file, epoch,
-byte_start) identifies a line and orders the lines of a file.
+byte_start) identifies a line and orders the lines of a file.  ``file`` is written as
+``scan_lines`` writes it.  A planned range that is gone when its task runs (the file was
+truncated, replaced or removed meanwhile) is reported: one row with the range as
+byte_start and byte_end, and NULL for terminated and line.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +46,19 @@ RANGE_BYTES = 64 << 20
 POLL = "2 seconds"
 
 
+# Bytes at the begin of a file that tell it from a replacement.
+HEAD = 1024
+# Characters that a URI may hold as they are.
+PLAIN = "!$&'()*+,;=:@~-._"
+
+
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:/"):
-        return pafs.FileSystem.from_uri(path)
+    """File system and inner path of a URI as Spark writes it, or of a local path."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + unquote(path[5:]).lstrip("/")
+    if "://" in path:
+        fs, inner = pafs.FileSystem.from_uri(path)
+        return fs, unquote(inner)
     return pafs.LocalFileSystem(), path
 
 
@@ -51,51 +68,37 @@ def _info(path: str) -> pafs.FileInfo:
 
 
 def list_files(paths: Iterable[str]) -> list[str]:
-    """The paths themselves, and the files directly inside those that are folders."""
+    """The paths themselves, files directly inside folders, and files a pattern names.
+
+    A pattern (``*``, ``?``, ``[...]``) may stand in the last part of a path.
+    """
     found: dict[str, None] = {}
     for path in paths:
-        fs, inner = open_fs(path)
-        if fs.get_file_info(inner).type != pafs.FileType.Directory:
-            found[path] = None
+        base, _, last = path.rstrip("/").rpartition("/")
+        pattern = unquote(last) if set("*?[") & set(unquote(last)) else None
+        fs, inner = open_fs(base if pattern else path)
+        kind = fs.get_file_info(inner).type
+        if kind != pafs.FileType.Directory:
+            if not pattern:
+                found[path] = None
             continue
-        base = path.rstrip("/")
+        base = base if pattern else path.rstrip("/")
         for item in sorted(fs.get_file_info(pafs.FileSelector(inner)), key=lambda f: f.path):
-            if item.is_file and not item.base_name.startswith((".", "_")):
-                found[f"{base}/{item.base_name}"] = None
+            wanted = fnmatchcase(item.base_name, pattern) if pattern else True
+            if item.is_file and wanted and not item.base_name.startswith((".", "_")):
+                found[f"{base}/{quote(item.base_name, safe=PLAIN) if ':' in base else item.base_name}"] = None
     return list(found)
 
 
-def last_newline(path: str, size: int, floor: int) -> int:
-    """Offset just past the last LF in ``[floor, size)``, or ``floor``; read backwards."""
+def head_of(path: str, n: int = HEAD) -> bytes:
+    """The first ``n`` bytes of a file, or all it has."""
     fs, inner = open_fs(path)
     with fs.open_input_file(inner) as f:
-        end = size
-        while end > floor:
-            begin = max(floor, end - BLOCK)
-            at = f.read_at(end - begin, begin).rfind(b"\n")
-            if at >= 0:
-                return begin + at + 1
-            end = begin
-    return floor
-
-
-def fingerprint(path: str, size: int) -> str:
-    """Hash of the first complete line; empty when there is none yet."""
-    fs, inner = open_fs(path)
-    digest = hashlib.sha1()
-    with fs.open_input_file(inner) as f:
-        at = 0
-        while at < size:
-            # Small reads first: first lines are short as a rule.
-            data = f.read_at(min(4096 if at == 0 else BLOCK, size - at), at)
-            if not data:
-                return ""
-            cut = data.find(b"\n")
-            digest.update(data if cut < 0 else data[:cut])
-            if cut >= 0:
-                return digest.hexdigest()
-            at += len(data)
-    return ""
+        return f.read_at(min(n, f.size()), 0)
+
+
+def fingerprint(data: bytes) -> str:
+    return hashlib.sha1(data).hexdigest()
 
 
 @dataclass
@@ -104,8 +107,8 @@ class ByteRange(InputPartition):
     epoch: int
     start: int
     stop: int
-    limit: int  # end of what the batch may read
-    first: int  # where the batch starts in this file
+    last: bool  # of the batch in this file
+    head: int
     print_: str
 
 
@@ -154,17 +157,16 @@ class FollowReader(DataSourceStreamReader):
         stamp = info.mtime_ns or 0
         if old and (old["seen"], old["mtime"]) == (size, stamp):
             return
-        print_ = fingerprint(path, size)
+        data = head_of(path)
         same = (
             old is not None
             and size >= old["seen"]
-            and (old["print"] == "" or old["print"] == print_)
+            and fingerprint(data[:old["head"]]) == old["print"]
         )
         epoch = 0 if old is None else old["epoch"] + (0 if same else 1)
-        floor = old["done"] if same else 0
-        done = last_newline(path, size, floor)
+        head = data[:size]
         self.known[path] = {
-            "done": done, "seen": size, "epoch": epoch, "print": print_, "mtime": stamp,
+            "seen": size, "epoch": epoch, "head": len(head), "print": fingerprint(head), "mtime": stamp,
         }
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
@@ -173,82 +175,98 @@ class FollowReader(DataSourceStreamReader):
             old = start.get(path)
             if old and new["epoch"] < old["epoch"]:
                 raise ValueError(f"{self.state_file} was lost; restart with a new checkpoint")
-            first = old["done"] if old and old["epoch"] == new["epoch"] else 0
-            limit = new["seen"] if self.partial else new["done"]
-            if self.partial and old and old["epoch"] == new["epoch"] and old["seen"] == limit:
-                continue
-            for begin in range(first, limit, self.range_bytes):
-                stop = min(begin + self.range_bytes, limit)
-                out.append(
-                    ByteRange(path, new["epoch"], begin, stop, limit, first, new["print"])
-                )
+            first = old["seen"] if old and old["epoch"] == new["epoch"] else 0
+            for begin in range(first, new["seen"], self.range_bytes):
+                stop = min(begin + self.range_bytes, new["seen"])
+                out.append(ByteRange(
+                    path, new["epoch"], begin, stop, stop == new["seen"], new["head"], new["print"]))
         # Spark wants at least one partition of a non-empty offset range.
-        return out or [ByteRange("", 0, 0, 0, 0, 0, "")]
+        return out or [ByteRange("", 0, 0, 0, False, 0, "")]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         p = partition
         if p.start >= p.stop:
             return
-        info = _info(p.path)
-        if info.type != pafs.FileType.File or info.size < p.stop:
-            return  # truncated or removed since planning: the next batch restarts it
-        if p.print_ and fingerprint(p.path, info.size) != p.print_:
-            return  # replaced since planning
-        for base, lines, ended in self._blocks(p):
+        at = p.start
+        if not self._still_there(p):
+            yield _loss(p, at)
+            return
+        for base, lines, ended, at in self._blocks(p):
+            if not lines:
+                continue
             widths = np.fromiter((len(b) for b in lines), np.int64, len(lines)) + 1
             starts = base + np.cumsum(widths) - widths
-            ends = starts + widths
             done = np.ones(len(lines), bool)
             done[-1] = ended
-            yield pa.RecordBatch.from_pydict({
-                "file": pa.array([p.path] * len(lines)),
-                "epoch": pa.array(np.full(len(lines), p.epoch)),
-                "byte_start": pa.array(starts),
-                "byte_end": pa.array(ends),
-                "terminated": pa.array(done),
-                "line": pa.array([b.decode(self.codec, "replace") for b in lines]),
-            })
-
-    def _blocks(self, p: ByteRange) -> Iterator[tuple[int, list[bytes], bool]]:
-        """(offset of first line, whole lines, last one LF-terminated?) per block."""
+            yield _rows(p, starts, starts + widths, done, [b.decode(self.codec, "replace") for b in lines])
+        if at < p.stop:
+            yield _loss(p, at)
+
+    @staticmethod
+    def _still_there(p: ByteRange) -> bool:
+        info = _info(p.path)
+        if info.type != pafs.FileType.File or info.size < p.stop:
+            return False
+        return fingerprint(head_of(p.path, p.head)) == p.print_
+
+    def _blocks(self, p: ByteRange) -> Iterator[tuple[int, list[bytes], bool, int]]:
+        """(offset of first line, whole lines, last one LF-terminated?, bytes taken up to) per block."""
         fs, inner = open_fs(p.path)
         with fs.open_input_file(inner) as f:
-            at = p.start
-            rest = b""
-            if p.start > p.first:  # a line running into this range belongs to the one before
-                at = self._line_start(f, p.start, p.limit)
-            base = at
-            while base < p.stop:
-                data = f.read_at(min(BLOCK, p.limit - at), at) if at < p.limit else b""
-                at += len(data)
+            at, base, held = p.start, None, []  # held: parts of the line at hand
+            while at < p.stop:
+                data = f.read_at(min(BLOCK, p.stop - at), at)
                 if not data:
-                    if rest:
-                        yield base, [rest], False
+                    yield 0, [], False, at  # shrank while it was read
                     return
-                pieces = (rest + data).split(b"\n")
-                rest = pieces.pop()
-                if not pieces:
+                at += len(data)
+                pieces = data.split(b"\n")
+                if len(pieces) == 1:
+                    held.append(data)
                     continue
-                widths = np.fromiter((len(b) for b in pieces), np.int64, len(pieces)) + 1
-                starts = base + np.cumsum(widths) - widths
-                mine = int(np.searchsorted(starts, p.stop))
-                if mine:
-                    yield base, pieces[:mine], True
-                base += int(widths.sum())
+                if base is None:
+                    base, lead = self._lead(f, p.start)
+                    held.insert(0, lead)
+                pieces[0] = b"".join([*held, pieces[0]])
+                held = [pieces.pop()]
+                yield base, pieces, True, at
+                base += sum(map(len, pieces)) + len(pieces)
+            rest = []
+            if p.last and self.partial:
+                if base is None:
+                    base, lead = self._lead(f, p.start)
+                    held.insert(0, lead)
+                rest = [x for x in [b"".join(held)] if x]
+            yield base or 0, rest, False, at
 
     @staticmethod
-    def _line_start(f, start: int, limit: int) -> int:
-        """First offset >= start at which a line begins."""
-        at = start - 1
-        while at < limit:
-            data = f.read_at(min(BLOCK, limit - at), at)
-            if not data:
-                break
-            cut = data.find(b"\n")
+    def _lead(f, start: int) -> tuple[int, bytes]:
+        """Where the line that ``start`` lies in begins, and its bytes up to ``start``."""
+        end, parts, size = start, [], 1 << 12
+        while end > 0:
+            begin = max(0, end - size)
+            data = f.read_at(end - begin, begin)
+            cut = data.rfind(b"\n")
+            parts.append(data[cut + 1:])
             if cut >= 0:
-                return at + cut + 1
-            at += len(data)
-        return limit
+                return begin + cut + 1, b"".join(reversed(parts))
+            end, size = begin, min(BLOCK, 8 * size)
+        return 0, b"".join(reversed(parts))
+
+
+def _rows(p: ByteRange, starts, ends, done, lines) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "file": pa.array([p.path] * len(lines), pa.string()),
+        "epoch": pa.array([p.epoch] * len(lines), pa.int64()),
+        "byte_start": pa.array(starts, pa.int64()),
+        "byte_end": pa.array(ends, pa.int64()),
+        "terminated": pa.array(done, pa.bool_()),
+        "line": pa.array(lines, pa.string()),
+    })
+
+
+def _loss(p: ByteRange, at: int) -> pa.RecordBatch:
+    return _rows(p, [at], [p.stop], [None], [None])
 
 
 class FollowSource(DataSource):
@@ -263,6 +281,15 @@ class FollowSource(DataSource):
         return FollowReader(self.options)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a full URI, with the scheme and working folder that Spark would use."""
+    jvm = spark.sparkContext._jvm
+    plain = jvm.org.apache.hadoop.fs.Path(path)
+    system = plain.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # Spark leaves an empty authority out.
+    return re.sub(r"^([^:/]+):///", r"\1:/", system.makeQualified(plain).toUri().toString())
+
+
 def follow(
     spark: SparkSession,
     paths: str | Iterable[str],
@@ -270,21 +297,24 @@ def follow(
     emit_partial: bool = False,
     state_file: str | None = None,
     range_bytes: int = RANGE_BYTES,
+    name: str = "",
 ) -> DataFrame:
     """Streaming lines of files (or of the files in folders) as they grow.
 
     An unterminated last line is held back until its LF arrives; with
     ``emit_partial`` it is sent at once with ``terminated=false`` and sent again
-    as it grows (see ``latest_lines``).  ``state_file`` keeps epochs across
-    restarts; by default it lies in the shared folder under a name made from
-    ``paths``.  Encodings must end lines with a single LF byte, so not UTF-16.
+    as it grows (see ``latest_lines``).  Paths without a scheme are resolved as Spark
+    resolves them.  ``state_file`` keeps epochs across restarts; by default it lies in
+    the shared folder under a name made from ``paths`` and ``name``: give two queries
+    over the same paths two names.  Encodings must end lines with a single LF byte, so
+    not UTF-16.
     """
-    name = READERS.get(encoding.upper())
-    if name is None or name.startswith("UTF-16"):
+    codec = READERS.get(encoding.upper())
+    if codec is None or codec.startswith("UTF-16"):
         raise ValueError(f"cannot follow files in encoding {encoding!r}")
-    paths = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
+    paths = [qualified(spark, p) for p in ([paths] if isinstance(paths, str) else dict.fromkeys(paths))]
     if state_file is None:
-        name_of = hashlib.sha1(json.dumps(paths).encode()).hexdigest()
+        name_of = hashlib.sha1(json.dumps([name, *paths] if name else paths).encode()).hexdigest()
         state_file = f"{shared_dir(spark)}/follow-{name_of}/epochs.json"
     # Spark's planner process for streams gets no --py-files: the class goes by value.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -294,7 +324,7 @@ def follow(
         .option("paths", json.dumps(paths))
         .option("emitPartial", str(emit_partial).lower())
         .option("rangeBytes", str(range_bytes))
-        .option("codec", PYTHON_CODECS[name])
+        .option("codec", PYTHON_CODECS[codec])
         .option("stateFile", state_file)
         .load()
     )

@@ -255,7 +255,7 @@ def test_growth_with_search_update(spark, tmp_path):
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 1000])
-def test_ranges_own_the_lines_that_start_in_them(tmp_path, size, monkeypatch):
+def test_ranges_own_the_lines_that_end_in_them(tmp_path, size, monkeypatch):
     import json
 
     import linewell.streaming.source as module
@@ -276,3 +276,61 @@ def test_ranges_own_the_lines_that_start_in_them(tmp_path, size, monkeypatch):
         want.append((at, line, line != "open"))
         at += len(line) + 1
     assert got == want
+
+
+def test_a_range_that_is_gone_is_reported(tmp_path):
+    import json
+
+    path = str(tmp_path / "log")
+    append(path, "one\ntwo\nthree\n")
+    reader = FollowReader({
+        "paths": json.dumps([path]), "rangebytes": "8", "statefile": str(tmp_path / "s" / "epochs.json")})
+    parts = reader.partitions({}, reader.latestOffset())
+
+    def rows():
+        return [(r["byte_start"], r["byte_end"], r["terminated"], r["line"])
+                for p in parts for b in reader.read(p) for r in b.to_pylist()]
+
+    assert rows() == [(0, 4, True, "one"), (4, 8, True, "two"), (8, 14, True, "three")]
+    with open(path, "wb") as f:
+        f.write(b"one\n")
+    assert rows() == [(0, 8, None, None), (8, 14, None, None)]
+    with open(path, "wb") as f:
+        f.write(b"another\nbegin\n")  # same size, other file
+    assert rows() == [(0, 8, None, None), (8, 14, None, None)]
+    os.remove(path)
+    assert rows() == [(0, 8, None, None), (8, 14, None, None)]
+
+
+def test_followed_files_are_named_as_scanned_ones(spark, tmp_path):
+    for name in ("a b.log", "v+(1).log", "other.txt"):
+        append(str(tmp_path / name), f"{name}\n")
+    sink = Sink(follow(spark, f"{tmp_path}/*.log", name="named"), "named")
+    try:
+        got = sorted((r.file, r.line) for r in sink.rows(spark).collect())
+    finally:
+        sink.stop()
+    scanned = scan_lines(spark, f"{tmp_path}/*.log", "UTF-8").collect()
+    assert got == sorted((r.file, r.line) for r in scanned)
+
+
+def test_a_long_line_over_many_ranges(tmp_path, monkeypatch):
+    import json
+
+    import linewell.streaming.source as module
+
+    monkeypatch.setattr(module, "BLOCK", 64)
+    path = str(tmp_path / "log")
+    append(path, "x" * 50_000 + "\ny\n")
+    reader = FollowReader({
+        "paths": json.dumps([path]), "rangebytes": "1000", "statefile": str(tmp_path / "s" / "epochs.json")})
+    offset = reader.latestOffset()
+    got = [r["line"] for p in reader.partitions({}, offset) for b in reader.read(p) for r in b.to_pylist()]
+    assert got == ["x" * 50_000, "y"]
+    append(path, "half")
+    middle = reader.latestOffset()
+    assert [r for p in reader.partitions(offset, middle) for b in reader.read(p) for r in b.to_pylist()] == []
+    append(path, " and half\n")
+    last = reader.latestOffset()
+    got = [(r["byte_start"], r["line"]) for p in reader.partitions(middle, last) for b in reader.read(p) for r in b.to_pylist()]
+    assert got == [(50_003, "half and half")]
