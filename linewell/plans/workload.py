@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from linewell.operators.ordered import attach_per_file
 from linewell.operators.timing import duration_histogram, pair_durations
 from linewell.plans.session import ship
 from linewell.sources.shared import fresh_path
+from linewell.streaming.source import open_fs
 
 PATTERN = "(the|and) "
 RULES = [
@@ -627,27 +629,79 @@ def follow_counts(spark, sf_dir):
     )
 
 
+LOGS = 20
+
+
+def _log_lines(spark, sf_dir) -> DataFrame:
+    """Every line's log (of LOGS), and its phase: the first three lines of a document come before all others."""
+    lines = doc_lines(spark, sf_dir)
+    return lines.select(
+        (F.col("file").cast("bigint") % LOGS).alias("log"), (F.col("line_no") >= 3).cast("int").alias("phase"),
+        F.col("file").cast("bigint").alias("doc"), "line_no", F.concat_ws("|", "file", "line_no", "line").alias("text"))
+
+
+def _write_logs(lines: DataFrame, folder: str, closed: bool) -> None:
+    """One growing file a log, streamed by the task that holds its sorted lines."""
+    def write(batches):
+        at, out, n = None, None, 0
+        for batch in batches:
+            for log, text in zip(batch.column("log").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if log != at:
+                    finish(out)
+                    fs, inner = open_fs(f"{folder}/{log}.log")
+                    fs.create_dir(inner.rpartition("/")[0], recursive=True)
+                    at, out = log, fs.open_output_stream(inner)
+                else:
+                    out.write(b"\n")
+                out.write(text.encode())
+                n += 1
+        finish(out)
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    def finish(out):
+        if out is not None:
+            if closed:
+                out.write(b"\n")
+            out.close()
+
+    placed = lines.repartition(LOGS, "log").sortWithinPartitions("log", "phase", "doc", "line_no")
+    placed.select("log", "text").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
+def _log_of(file: str) -> Column:
+    return F.regexp_extract(file, r"(\d+)\.log", 1).cast("bigint")
+
+
 @job
 def follow_numbered(spark, sf_dir):
-    stream = st.follow(spark, write_corpus(spark, sf_dir))
-    out = fresh_path(spark, "numbered")
-    _run(st.follow_numbered(stream, out, fresh_path(spark, "counters")), spark)
+    """Two batches: the logs grow in between, and a line cut in two is whole in the end."""
+    folder, out, counters = (fresh_path(spark, x) for x in ("logs", "numbered", "counters"))
+    checkpoint, lines = fresh_path(spark, "checkpoint"), _log_lines(spark, sf_dir)
+    for part, closed in ((lines.filter("phase = 0"), False), (lines, True)):
+        _write_logs(part, folder, closed)
+        writer = st.follow_numbered(st.follow(spark, folder), out, counters)
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     got = untag(spark.read.parquet(out))
-    return got.select(
-        "doc", since_first(got, "line_no", ["file"]).alias("line_no"), "epoch",
-        since_first(got, "byte_start", ["file"]).alias("byte_start"), "line",
-    )
+    return got.select(_log_of("file").alias("log"), "doc", "line_no", "epoch", "byte_start", "line")
 
 
 @job
 def follow_epochs(spark, sf_dir):
-    """Followed lines of the current epoch of each file, latest version of each line."""
-    stream = st.follow(spark, write_corpus(spark, sf_dir), emit_partial=True)
-    out = fresh_path(spark, "followed")
-    _run(stream.writeStream.format("parquet").option("path", out), spark)
+    """Current lines of logs that grew once, and of which every other was then cut back.
+
+    The last line of the logs is open until they grow; in those cut back it stays open.
+    """
+    folder, out, checkpoint = (fresh_path(spark, x) for x in ("logs", "followed", "checkpoint"))
+    lines = _log_lines(spark, sf_dir)
+    start = lines.filter("phase = 0")
+    for part, closed in ((start, False), (lines, True), (start.filter("log % 2 = 0"), False)):
+        _write_logs(part, folder, closed)
+        stream = st.follow(spark, folder, emit_partial=True)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start().awaitTermination()
     received = spark.read.parquet(out)
     now = st.current_epoch(st.latest_lines(received), st.epochs_of(received))
-    return untag(now).select("doc", "epoch", "terminated", "line")
+    return untag(now).select(_log_of("file").alias("log"), "doc", "epoch", "terminated", "line")
 
 
 @job
