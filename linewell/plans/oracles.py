@@ -99,9 +99,12 @@ def _word(column: int) -> str:
 
 ORACLES: dict[str, str] = {
     # sources
-    "scan_lines": TAGGED + f"""
-SELECT file AS doc, line_no, line, {TAG_START},
-  CAST(octet_length(encode(tagged)) + 1 AS BIGINT) AS n_bytes, TRUE AS terminated FROM T""",
+    "scan_lines": LOGS + """
+SELECT log, file AS doc, row_number() OVER w - 1 AS line_no, line,
+  CAST(coalesce(sum(octet_length(encode(tagged)) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    AS BIGINT) AS byte_start,
+  CAST(octet_length(encode(tagged)) + 1 AS BIGINT) AS n_bytes, lead(1) OVER w IS NOT NULL AS terminated
+FROM G WINDOW w AS (PARTITION BY log ORDER BY phase, CAST(file AS BIGINT), line_no)""",
     "file_info": TAGGED + """
 SELECT CAST(file AS BIGINT) % 5 AS part, count(*) AS n_lines,
   CAST(sum(octet_length(encode(tagged)) + 1) AS BIGINT) AS size, CAST(max(length(tagged)) AS INTEGER) AS max_length,
@@ -117,7 +120,13 @@ SELECT file, line_no, byte_end - n AS byte_start, byte_end FROM (
   SELECT file, line_no, CAST(octet_length(encode(line)) + 1 AS BIGINT) AS n,
     CAST(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY file ORDER BY line_no) AS BIGINT) AS byte_end
   FROM L)""",
-    "decode_lines": LINES + " SELECT * FROM L",
+    "decode_lines": LINES + """
+SELECT file, line_no, CASE
+  WHEN line_no % 10 IN (4, 9) THEN translate(regexp_replace(line, '[^\\x00-\\x7f]', '?', 'g'), 'e', 'ж')
+  WHEN line_no % 10 = 6 THEN translate(regexp_replace(line, '[^\\x00-\\x7f]', '?', 'g'), 'e', '中')
+  WHEN line_no % 10 = 8 THEN translate(regexp_replace(line, '[^\\x00-\\x7f]', '?', 'g'), 'e', 'あ')
+  WHEN line_no % 10 IN (0, 5) THEN regexp_replace(line, '[^\\x{00}-\\x{ff}]', '?', 'g')
+  ELSE line END AS line FROM L""",
     "detect_encoding": ENCODED,
     "detect_encoding_lenient": ENCODED,
     "file_stats": LINES + """
@@ -334,9 +343,9 @@ ORDER BY last_used DESC, user_id LIMIT 50""",
     # following files
     "follow_search": LINES + f"""
 SELECT file AS doc, 0::BIGINT AS epoch, TRUE AS terminated, line FROM L WHERE {HIT}""",
-    "follow_counts": TAGGED + """
-SELECT count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(tagged, '(the|and) ')) AS n_matches,
-  CAST(max(length(tagged)) AS INTEGER) AS max_length FROM T""",
+    "follow_counts": LOGS + """
+SELECT log, 0::BIGINT AS epoch, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(tagged, '(the|and) ')) AS n_matches,
+  CAST(max(length(tagged)) AS INTEGER) AS max_length FROM G GROUP BY log""",
     "follow_numbered": LOGS + """
 SELECT log, file AS doc, row_number() OVER w - 1 AS line_no, 0::BIGINT AS epoch,
   CAST(coalesce(sum(octet_length(encode(tagged)) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)

@@ -21,6 +21,7 @@ from linewell.functions import Term, expand_tabs, portion, span_count, visible_l
 from linewell.operators.ordered import attach_per_file
 from linewell.operators.timing import duration_histogram, pair_durations
 from linewell.plans.session import ship
+from linewell.sources.encoding import PYTHON_CODECS
 from linewell.sources.shared import fresh_path
 from linewell.streaming.source import open_fs
 
@@ -95,10 +96,12 @@ def since_first(df: DataFrame, column: str, log: list[str]) -> Column:
 
 @job
 def scan_lines(spark, sf_dir):
-    got = untag(src.scan_lines(spark, write_corpus(spark, sf_dir), "UTF-8", positions=True))
+    """Lines of written logs; the last line of each has no LF."""
+    folder = fresh_path(spark, "logs")
+    _write_logs(_log_lines(spark, sf_dir), folder, closed=False)
+    got = untag(src.scan_lines(spark, folder, "UTF-8", positions=True))
     return got.select(
-        "doc", since_first(got, "line_no", ["file"]).alias("line_no"), "line",
-        since_first(got, "byte_start", ["file"]).alias("byte_start"),
+        _log_of("file").alias("log"), "doc", "line_no", "line", "byte_start",
         (F.col("byte_end") - F.col("byte_start")).alias("n_bytes"), "terminated",
     )
 
@@ -146,13 +149,24 @@ def line_positions(spark, sf_dir):
     return src.line_positions(doc_lines(spark, sf_dir)).drop("line")
 
 
+# A letter of each code page that Western text would not show at work.
+LETTERS = {"windows-1251": "ж", "KOI8-R": "ж", "Big5": "中", "Shift_JIS": "あ"}
+
+
 @job
 def decode_lines(spark, sf_dir):
+    """Every tenth line in each of the ten encodings, brought back to text."""
     lines = doc_lines(spark, sf_dir)
     out = None
-    for rest, name in enumerate(("UTF-8", "UTF-16LE", "UTF-16BE")):
-        part = lines.filter(F.col("line_no") % 3 == rest)
-        raw = part.select(*KEY, F.encode("line", name).alias("raw"))
+    for rest, (name, codec) in enumerate(PYTHON_CODECS.items()):
+        part = lines.filter(F.col("line_no") % 10 == rest)
+        text = F.col("line")
+        if name in LETTERS:
+            text = F.translate(F.regexp_replace(text, "[^\x00-\x7f]", "?"), "e", LETTERS[name])
+        elif name in ("ISO-8859-1", "windows-1252"):
+            text = F.regexp_replace(text, "[^\x00-\xff]", "?")
+        encode = F.pandas_udf(lambda s, c=codec: s.map(lambda t: t.encode(c)), "binary")
+        raw = part.select(*KEY, encode(text).alias("raw"))
         back = src.decode_lines(raw, name).select(*KEY, "line")
         out = back if out is None else out.unionByName(back)
     return out
@@ -615,18 +629,17 @@ def follow_search(spark, sf_dir):
 
 @job
 def follow_counts(spark, sf_dir):
-    stream = st.follow(spark, write_corpus(spark, sf_dir))
-    out = fresh_path(spark, "counts")
+    """Running counts of each log."""
+    folder, out = fresh_path(spark, "logs"), fresh_path(spark, "counts")
+    _write_logs(_log_lines(spark, sf_dir), folder, closed=True)
 
     def store(batch, batch_id):
         batch.write.mode("overwrite").parquet(out)
 
-    counts = st.follow_counts(stream, PATTERN)
+    counts = st.follow_counts(st.follow(spark, folder), PATTERN)
     _run(counts.writeStream.outputMode("complete").foreachBatch(store), spark)
-    return spark.read.parquet(out).agg(
-        F.sum("n_lines").alias("n_lines"), F.sum("n_matches").alias("n_matches"),
-        F.max("max_length").alias("max_length"),
-    )
+    return spark.read.parquet(out).select(
+        _log_of("file").alias("log"), "epoch", "n_lines", "n_matches", "max_length")
 
 
 LOGS = 20
