@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +46,8 @@ def decode_column(spark: SparkSession, raw: Column, encoding: str) -> Column:
         return F.decode(raw, name)
     codec = PYTHON_CODECS[name]
 
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else bytes(b).decode(codec, "replace"))
-
-    return decode(raw)
+    return F.pandas_udf(
+        lambda values: values.map(lambda b: None if b is None else bytes(b).decode(codec, "replace")), "string")(raw)
 
 
 # Lead and continuation bytes of multibyte sequences, read as ISO-8859-1 with the 7-bit
