@@ -51,6 +51,7 @@ WEIGHTS = {
     "article": 3.0, "named content": 1.0, "boilerplate": -7.0,
 }
 SMOOTH, SAME_PARENT = 1.2, 0.6
+_MODIFIERS = frozenset("has with no without".split())
 _REGIONS = frozenset("nav footer aside form menu dialog fieldset head".split())
 
 
@@ -151,7 +152,10 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
                     tokens.add("hidden")
             if name in ("article", "main") or "article" in tokens and not tokens & BOILERPLATE:
                 article = True
-            if tokens & BOILERPLATE and name not in ("html", "body", "article", "main"):
+            against = tokens & BOILERPLATE
+            if tokens & _MODIFIERS or against == {"header"} and tokens & CONTENT:
+                against = set()  # "has-sidebar" tells of the page, "entry-header" is the article's own
+            if against and name not in ("html", "body", "article", "main"):
                 region = True
             elif tokens & CONTENT:
                 named = True

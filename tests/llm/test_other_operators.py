@@ -282,6 +282,12 @@ def test_main_text_without_semantic_tags():
     assert got.startswith("Real words") and "\nOk.\n" in got and "Home" not in got and "Impressum" not in got
 
 
+def test_class_names_that_only_describe_the_page():
+    page = ('<div class="page has-sidebar"><div class="entry-header"><h1>The title of it</h1></div><div class="post-body"><p>' +
+            "Words of the post. " * 12 + '</p></div><div class="post-comments"><p>A reader says a word or two here.</p></div></div>')
+    assert html_extract.extract(page).split("\n") == ["The title of it", ("Words of the post. " * 12).strip()]
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!-- open", "<script>x", "</p></p>", "<a <b <c>", "&#0;", "<p a=\"x>y"])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(html_extract.extract(page), str)
