@@ -1,7 +1,7 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed n-grams and skip-grams.
 
 Features of a whole text: its words, word pairs, triples, and pairs with one word
-between, hashed to 2^20 places, each present or not.  Every coordinate has its own
+between, hashed to 2^19 places, each present or not.  Every coordinate has its own
 learning rate, and L1 keeps most weights at zero, so the weights are a small array
 of fixed size that every task can hold.  Replicas train on slices in parallel; after
 a slice their changes of state are added up.
@@ -21,7 +21,7 @@ from linewell.llm._common import map_arrow
 from linewell.llm._words import U, mix, text_chunks, words
 from linewell.sources.shared import fresh_path
 
-BITS = 20
+BITS = 19
 #: L1 grows with the square root of the number of training rows, as the noise of a gradient sum does.
 ALPHA, BETA, L1_RATE, L2 = 1.0, 1.0, 0.07, 0.1
 #: Labelled rows used at most, chosen by a hash of the id.
@@ -59,7 +59,7 @@ def _weights(z: np.ndarray, n: np.ndarray, bias: np.ndarray | bool, l1: float) -
 
 def _train(batches: Iterator[pa.RecordBatch], z: np.ndarray, n: np.ndarray, l1: float) -> Iterator[pa.RecordBatch]:
     """One replica: FTRL over its rows in order; the change of its state comes out as two arrays."""
-    z0, n0, z, n, replica = z, n, z.copy(), n.copy(), -1
+    z0, n0, z, n, replica = z, n, z.astype(float), n.astype(float), -1
     for batch in batches:
         for part in text_chunks(batch, "text"):
             replica = part.column("replica")[0].as_py()
@@ -111,7 +111,7 @@ def fit(rows: DataFrame) -> Model | None:
     if not parts:
         return None
     l1 = L1_RATE * sum(parts.values()) ** 0.5
-    z, n = np.zeros(_BIAS + 1), np.zeros(_BIAS + 1)
+    z, n = np.zeros(_BIAS + 1, np.float32), np.zeros(_BIAS + 1, np.float32)
     for _ in range(EPOCHS):
         for k in range(SLICES):
             replicas = [spark.read.schema("text string, label int, replica int").parquet(f"{path}/s={k}/r={r}").coalesce(1)
@@ -120,14 +120,18 @@ def fit(rows: DataFrame) -> Model | None:
                 continue
             state = spark.sparkContext.broadcast((z, n, l1))
             moves = map_arrow(reduce(DataFrame.union, replicas), lambda it, s=state: _train(it, *s.value),
-                              "replica int, z binary, n binary").toArrow().sort_by("replica").to_pylist()
+                              "replica int, z binary, n binary").toArrow().sort_by("replica")
             state.destroy()
             # Features move in few replicas: the sum of their changes counts.  The bias moves in all alike: the mean.
-            dz, dn = (sum(np.frombuffer(m[c], dtype=np.float32).astype(float) for m in moves) for c in ("z", "n"))
-            dz[_BIAS], dn[_BIAS] = dz[_BIAS] / len(moves), dn[_BIAS] / len(moves)
-            z, n = z + dz, n + dn
+            z, n = z.copy(), n.copy()
+            for total, column in ((z, "z"), (n, "n")):
+                for change in moves[column]:
+                    change = np.frombuffer(change.as_buffer(), dtype=np.float32)
+                    total[:_BIAS] += change[:_BIAS]
+                    total[_BIAS] += change[_BIAS] / len(moves)
+            del moves
     bias = np.arange(_BIAS + 1) == _BIAS
-    weights = _weights(z, n, bias, l1)
+    weights = _weights(z.astype(float), n.astype(float), bias, l1)
     places = np.flatnonzero(weights[:_BIAS])
     return places.astype(np.int32), weights[places], float(weights[_BIAS])
 
