@@ -51,9 +51,9 @@ def near_corpus(seed=3):
             for _ in range(rng.randrange(4)):
                 edited[rng.randrange(len(edited))] = "edited"
             rows.append((100 * k + j, " ".join(edited)))
-    rows += [(1, None), (2, ""), (3, "  \n!? "), (4, "one two"), (5, "One, two!"), (6, "one two"), (None, "one two")]
+    rows += [(9001, None), (9002, ""), (9003, "  \n!? "), (9004, "one two"), (9005, "One, two!"), (9006, "one two"), (None, "one two")]
     rows += [rows[0], rows[0]]  # repeated rows
-    rows.append((7, " ".join(prose(rng, 30_000, 10_000))))
+    rows.append((9007, " ".join(prose(rng, 30_000, 10_000))))
     return rows
 
 
@@ -263,6 +263,20 @@ def test_compact_windows_are_the_long_nodes_of_the_tree(values, length):
     assert list(zip(place.tolist(), first.tolist(), last.tolist(), strict=True)) == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.booleans(), max_size=40), st.integers(1, 12))
+def test_dense_runs_hold_enough_hits(bits, length):
+    hit = np.array(bits, dtype=bool)
+    found = substring.dense_runs(hit, length, 0.8)
+    for (a, b), (c, _) in zip(found, [*found[1:], (len(hit), 0)], strict=False):
+        assert b - a >= length and hit[a:b].sum() >= 8 / 9 * (b - a) - 1e-6 and hit[a] and hit[b - 1] and b <= c
+    covered = np.zeros(len(hit), bool)
+    for a, b in found:
+        covered[a:b] = True
+    for a in range(len(hit) - length + 1):  # an unbroken passage is always found
+        assert not hit[a:a + length].all() or covered[a:a + length].all()
+
+
 def test_shared_passages_are_found(spark):
     rng = random.Random(8)
     passage = prose(rng, 55, 10_000)
