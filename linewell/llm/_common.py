@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewell.plans.session import ship
+from linewell.sources.shared import fresh_path
 
 #: White space of the line and word contracts: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -35,3 +36,10 @@ def map_arrow(df: DataFrame, work, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on every executor."""
     ship(df.sparkSession)
     return df.mapInArrow(work, schema)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, its size known to Spark."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
