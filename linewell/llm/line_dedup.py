@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewell.llm._common import BLANKS, lower_ascii
+from linewell.llm._common import BLANKS, lower_ascii, stored
 
 HASHES = ("_h1", "_h2")
 DOCUMENT = ("_d1", "_d2")
@@ -50,10 +50,11 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ordered = entries.repartitionByRange(*HASHES, *DOCUMENT)
     stream = Window.partitionBy(*HASHES, *DOCUMENT).orderBy("pos")
     marked = ordered.withColumn("_new", (F.col("pos") == F.first("pos").over(stream)).cast("int"))
-    common = marked.groupBy(*HASHES).agg(
+    # Stored, so that the join below meets two plain shuffles and Spark can split a common line's rows.
+    common = stored(marked.groupBy(*HASHES).agg(
         F.sum("_new").alias("_docs"), F.min(F.struct(*DOCUMENT, "pos")).alias("_first"),
-    ).filter(F.col("_docs") >= min_docs)
-    gone = ordered.join(common, list(HASHES))
+    ).filter(F.col("_docs") >= min_docs), "common-lines")
+    gone = entries.join(common, list(HASHES))
     if keep_first:
         gone = gone.filter(F.struct(*DOCUMENT, "pos") != F.col("_first"))
     words = gone.groupBy(*DOCUMENT, F.expr("cast(pos div 64 as int)").alias("_word")).agg(
