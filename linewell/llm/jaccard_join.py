@@ -9,8 +9,8 @@
 3. A task verifies a bucket's members exactly, by matrix products over their common
    shingles.  A large bucket is cut into blocks and its block pairs go to different
    tasks.  A pair that meets in several buckets belongs to the first of them.
-4. A task returns for each member the number of its links and one edge to the least
-   linked member, not the pairs; edges are contracted to components.
+4. A task returns for each member the number of its links and one edge of a spanning
+   forest of the links found, not the pairs; edges are contracted to components.
 """
 
 from __future__ import annotations
@@ -143,8 +143,22 @@ def _linked(sets: list[np.ndarray], similar: float) -> np.ndarray:
     return linked
 
 
+def _forest(linked: np.ndarray) -> np.ndarray:
+    """Each member's parent in a spanning forest of the links; a root is its own."""
+    parent = np.full(len(linked), -1)
+    for root in range(len(linked)):
+        if parent[root] >= 0:
+            continue
+        parent[root], front = root, np.array([root])
+        while len(front):
+            reached = np.flatnonzero(linked[front].any(axis=0) & (parent < 0))
+            parent[reached] = front[linked[np.ix_(front, reached)].argmax(axis=0)]
+            front = reached
+    return parent
+
+
 def _verify_group(bucket: int, left: int, right: int, rows: list[dict], similar: float) -> list[tuple]:
-    """(p1, p2, least linked p1, its p2, links) for each member of a block pair."""
+    """(p1, p2, p1 of its parent in the forest, p2 of it, links) for each linked member of a block pair."""
     seen, members = set(), []
     for row in rows:
         if (row["p1"], row["p2"]) not in seen:
@@ -173,11 +187,10 @@ def _verify_group(bucket: int, left: int, right: int, rows: list[dict], similar:
         for k in range(0, len(members), 512):
             linked[k:k + 512] &= (inside[k:k + 512] @ inside.T) == 0
     copies = np.array([row["copies"] for row in members], dtype=np.int64)
-    out = []
+    parent, out = _forest(linked), []
     for i in np.flatnonzero(linked.any(axis=1)):
-        others = np.flatnonzero(linked[i])
-        low = min(others, key=lambda j: (members[j]["p1"], members[j]["p2"]))
-        out.append((members[i]["p1"], members[i]["p2"], members[low]["p1"], members[low]["p2"], int(copies[others].sum())))
+        up = members[parent[i]]
+        out.append((members[i]["p1"], members[i]["p2"], up["p1"], up["p2"], int(copies[linked[i]].sum())))
     return out
 
 
@@ -208,7 +221,7 @@ def _verify(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.Re
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
           similar: float = SIMILAR, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(classes, edges): ``key, p1, p2, n, copies, links`` a row of ``docs``' distinct (id, text), and star edges.
+    """(classes, edges): ``key, p1, p2, n, copies, links`` a row of ``docs``' distinct (id, text), and forest edges.
 
     ``copies`` counts the rows of the class over all of ``docs``; ``links`` counts
     the linked rows of other classes.

@@ -173,6 +173,50 @@ def test_large_group_of_near_copies_loses_no_link(spark):
     assert got == want and min(want.values()) > 100
 
 
+def group_rows(sets):
+    return [{"p1": k, "p2": 0, "copies": 1, "block": k % 2, "buckets": [0],
+             "hashes": np.unique(np.array(sorted(s), dtype=np.uint64)).tobytes()} for k, s in enumerate(sets)]
+
+
+def linked_groups(n, edges):
+    root = list(range(n))
+    for a, b in edges:
+        root = [root[a] if r == root[b] else r for r in root]
+    return {frozenset(k for k in range(n) if root[k] == r) for r in set(root)}
+
+
+@pytest.mark.parametrize("sides", [(0, 0), (0, 1)])
+def test_links_of_a_bucket_form_a_spanning_forest(sides):
+    # A chain 0-2, 2-3, 3-1 (20 tokens each, drifting by one), then two clusters with one bridge.
+    chain = [set(range(k, k + 20)) for k in (0, 6, 2, 4)]
+    ones, twos = set(range(100, 120)), set(range(104, 124))
+    clusters = [ones | {200 + k} for k in range(3)] + [twos | {300 + k} for k in range(3)]
+    bridge = [set(range(101, 121)), set(range(103, 123))]
+    for sets in (chain, clusters + bridge):
+        both = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+        pairs = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2)
+                 if both(sets[i], sets[j]) and (sides == (0, 0) or i % 2 != j % 2)}
+        got = jaccard_join._verify_group(0, *sides, group_rows(sets), 0.8)
+        edges = {(min(r[0], r[2]), max(r[0], r[2])) for r in got if r[0] != r[2]}
+        assert edges <= pairs and len(edges) == len(sets) - len(linked_groups(len(sets), pairs))
+        assert linked_groups(len(sets), edges) == linked_groups(len(sets), pairs)
+        assert {r[0]: r[4] for r in got} == Counter(x for p in pairs for x in p)
+
+
+def test_bridged_clusters_of_near_copies_are_one_group(spark):
+    rng = random.Random(12)
+    base = prose(rng, 300, 10_000)
+    rows = []
+    for k in range(60):  # a drifting chain in random order of ids: each links only with its neighbours
+        text = list(base)
+        for j in range(k, k + 12):
+            text[(5 * j) % 300] = f"new{j}"
+        rows.append(" ".join(text))
+    rows = list(enumerate(rng.sample(rows, len(rows))))
+    got = jaccard_join.join(table(spark, rows)).collect()
+    assert sorted((str(r["id"]), str(r["group_id"]), r["n_links"]) for r in got) == expected_join(rows)
+
+
 # -- benchmark decontamination -------------------------------------------------------
 
 
