@@ -8,7 +8,7 @@ histogram (source, size, documents), which is all that the dual needs; each step
 one grouped sum, kept inside a bracket that halves when a step would leave it.
 
 Rates become copies by systematic rounding along (source, size): the running sum of
-rates is cut at whole numbers.  Because sizes rise along that order, a source misses
+the rows' rates is cut at whole numbers, also inside rows of one id.  Because sizes rise along that order, a source misses
 its target by less than twice its largest document, and by far less after the best of
 PHASES starts is taken.  Sums are exact (decimals and
 integers), so reruns agree to the last copy.
@@ -102,13 +102,8 @@ def tilts(histogram: DataFrame, goals: DataFrame, most: float = MOST) -> DataFra
     return goals.join(state.select("key", "_scale", "_tilt"), "key", "left")
 
 
-def allocate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row a row of ``docs``: id, key, size, source_size, target, copies (0 to 2) and taken.
-
-    Null texts have size 0; documents of size 0 keep one copy.  A null source is a
-    source of its own.  Rows equal in id, source and size share one decision.  An empty
-    table gives no rows; other columns are not read.
-    """
+def _decided(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    """id, key, size, rows, source_size, target, base, more: of the equal rows ``more`` get base + 1 copies, the rest base."""
     narrow = checkpointed(docs.select(
         F.col(doc_id).alias("id"), F.col(source).alias("source"),
         _source_key(F.col(source)).alias("key"), n_words(F.col(text)).alias("size")))
@@ -128,7 +123,7 @@ def allocate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     placed = checkpointed(units.join(rates, ["key", "size"]).withColumn(
         "_run", F.pmod(F.xxhash64("id"), F.col("_runs"))))
     runs = placed.groupBy("key", "size", "_run").agg(
-        F.count("*").alias("_n"), F.max("_rate").alias("_rate"))
+        F.sum("rows").alias("_n"), F.max("_rate").alias("_rate"))
     sizes = runs.groupBy("key", "size").agg(
         F.sum(F.pmod(F.col("_n") * F.col("_rate"), F.lit(UNIT))).alias("_sum"))
     along = Window.partitionBy("key").orderBy("size")
@@ -139,32 +134,74 @@ def allocate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
         "key", "size", "_run", F.pmod(
             F.col("_before") + F.col("_in"), F.lit(UNIT)).alias("_phase"))
     order = Window.partitionBy("key", "size", "_run").orderBy(F.xxhash64("id"), "id")
-    ordered = checkpointed(placed.withColumn("_j", F.row_number().over(order)).join(
-        phases, ["key", "size", "_run"]))
+    # _j: rows up to the unit's last one.
+    so_far = F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ordered = checkpointed(placed.withColumn("_j", so_far).join(phases, ["key", "size", "_run"]))
 
     def copies(start: str) -> str:
         last = f"(_phase + {start} + _j * _rate)"
-        return f"({last} div {UNIT} - ({last} - _rate) div {UNIT})"
+        return f"({last} div {UNIT} - ({last} - rows * _rate) div {UNIT})"
 
     # Any start of the running sum is fair; the one that comes nearest to the target is taken.
     starts = [UNIT // PHASES * k for k in range(PHASES)]
     tried = ordered.groupBy("key").agg(F.max("target").alias("_goal"), *[
-        F.sum(F.expr(f"{copies(str(s))} * size * rows")).alias(f"_s{s}") for s in starts])
+        F.sum(F.expr(f"{copies(str(s))} * size")).alias(f"_s{s}") for s in starts])
     best = tried.select("key", F.array_min(F.array(*[F.struct(
         F.abs(F.col(f"_s{s}") - F.col("_goal")).alias("off"), F.lit(s).cast("long").alias("start"))
         for s in starts]))["start"].alias("_start"))
-    decided = ordered.join(best, "key").select(
+    # All copies of a unit are between rows * floor(rate) and rows * ceil(rate).
+    return ordered.join(best, "key").withColumn("_all", F.expr(copies("_start"))).select(
         "id", "key", "size", "rows", "source_size", "target",
-        F.expr(copies("_start")).cast("long").alias("copies"))
-    return decided.withColumn("taken", F.col("copies") * F.col("size"))
+        F.expr("_all div rows").cast("long").alias("base"), F.expr("_all % rows").cast("long").alias("more"))
+
+
+def allocate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """id, key, size, rows, source_size, target, copies (0 to 2) and taken, for all rows of ``docs``.
+
+    Rows equal in id, source and size are counted in ``rows``: they come as one row, or
+    as two if some of them get a copy more than the others.  Null texts have size 0;
+    documents of size 0 keep one copy.  A null source is a source of its own.  An empty
+    table gives no rows; other columns are not read.
+    """
+    parts = F.array(F.struct((F.col("rows") - F.col("more")).alias("rows"), F.col("base").alias("copies")),
+                    F.struct(F.col("more").alias("rows"), (F.col("base") + 1).alias("copies")))
+    dealt = _decided(docs, doc_id, text, source).withColumn("_part", F.explode(parts)).filter("_part.rows > 0")
+    return dealt.select("id", "key", "size", "_part.rows", "source_size", "target", "_part.copies").withColumn(
+        "taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with each row repeated as often as ``allocate`` says, columns unchanged."""
-    decided = allocate(docs, doc_id, text, source).filter("copies > 0").select(
-        F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), "copies")
+    decided = checkpointed(_decided(docs, doc_id, text, source).filter("base + more > 0").select(
+        F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), "rows", "base", "more"))
     rows = docs.select(F.struct("*").alias("_row")).withColumn("_words", n_words(F.col("_row")[text]))
-    joined = rows.join(decided, F.col("_row")[doc_id].eqNullSafe(F.col("_id")) &
-                       (_source_key(F.col("_row")[source]) == F.col("_key")) & (F.col("_words") == F.col("_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+    same = F.col("_row")[doc_id].eqNullSafe(F.col("_id")) & (
+        _source_key(F.col("_row")[source]) == F.col("_key")) & (F.col("_words") == F.col("_size"))
+    dealt = rows.join(decided.filter("more = 0"), same).select("_row", F.col("base").alias("copies"))
+    parted = decided.filter("more > 0")
+    if not parted.isEmpty():
+        dealt = dealt.union(_parted(rows.join(parted, same)))
+    return dealt.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         *[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    """``_row, copies``: of each unit's rows ``more`` get base + 1 copies.
+
+    The rows are stored with a mark and numbered in salted runs of about RUN, so that a
+    unit of any size is dealt by many tasks.
+    """
+    unit = ["_key", "_size", "_id"]
+    marked = checkpointed(rows.withColumn("_mark", F.monotonically_increasing_id())).withColumn(
+        "_run", F.pmod(F.xxhash64("_mark"), F.expr(f"rows div {RUN} + 1")))
+    runs = marked.groupBy(*unit, "_run").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*unit).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*[F.col(c).alias(f"{c}2") for c in (*unit, "_run")],
+                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*unit, "_run").orderBy("_mark"))
+    numbered = marked.select("_mark", "more", "base", *unit, "_run").withColumn("_place", place)
+    on = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")) & (
+        F.col("_size") == F.col("_size2")) & (F.col("_run") == F.col("_run2"))
+    copies = numbered.join(runs, on).select(
+        "_mark", (F.col("base") + (F.col("_before") + F.col("_place") <= F.col("more")).cast("long")).alias("copies"))
+    return marked.select("_mark", "_row").join(copies, "_mark").select("_row", "copies")

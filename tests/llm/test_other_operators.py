@@ -86,6 +86,28 @@ def test_rates_tilt_exponentially(spark):
     assert row["=b"]["_tilt"] is None
 
 
+def test_rows_of_one_id_are_rounded_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 64)  # rows of one id in several runs
+    rng = random.Random(5)
+    rows = [(k, " ".join("w" for _ in range(rng.randrange(1, 60))), f"s{k % 2}") for k in range(400)]
+    rows += [(7000, "one id " * 10, "s0")] * 150 + [(None, f"no id {k} " * 8, "s1") for k in range(150)]
+    docs = docs_of(spark, rows)
+    got = mixing.allocate(docs).collect()
+    assert sum(r["rows"] for r in got) == len(rows)
+    taken, goal = Counter(), {}
+    for r in got:
+        taken[r["key"]] += r["taken"] * r["rows"]
+        goal[r["key"]] = r["target"]
+    assert all(abs(taken[s] - goal[s]) <= 60 for s in goal)
+    copies = Counter()
+    for r in got:
+        copies[r["id"], r["key"], r["size"]] += r["copies"] * r["rows"]
+    mixed = mixing.mix(docs).collect()
+    assert Counter((r["doc_id"], f"={r['source']}", len(r["text"].split())) for r in mixed) == +copies
+    by_text = Counter(r["text"] for r in mixed if r["doc_id"] is None)
+    assert all(n <= 2 for n in by_text.values()) and len(set(by_text.values())) > 1
+
+
 def test_mixing_of_an_empty_table(spark):
     assert mixing.allocate(docs_of(spark, [])).count() == 0
     assert mixing.mix(docs_of(spark, [])).count() == 0
