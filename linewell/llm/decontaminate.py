@@ -5,7 +5,8 @@ hold no shingle of an item of their size cannot be similar and are passed over.
 The others get a 128-bit SimHash of their weighted shingles.  An index of the items'
 fingerprints in 8 blocks of 16 bits finds every item within 31 bits: of 8 blocks one
 differs in at most 3 bits, and the index lists all values that near.  Candidates are
-verified by their exact weighted similarity.  Items are taken in blocks of bounded
+verified by their exact weighted similarity.  A shingle's weight follows from the number
+of items that hold it, counted once over all items.  Items are taken in blocks of bounded
 size, which every task can hold; texts are never shuffled.
 """
 
@@ -46,9 +47,13 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Benchmark items and their Hamming index."""
+    """Benchmark items and their Hamming index.
 
-    def __init__(self, ids: list, texts: list[str]):
+    ``shared`` are the sorted shingles that several items of the whole benchmark hold
+    and ``held`` the number of these items; without them the items given are all.
+    """
+
+    def __init__(self, ids: list, texts: list[str], shared: np.ndarray | None = None, held: np.ndarray | None = None):
         hashes, at = shingles(*words(pa.array(texts, pa.string())), WORDS)
         n_words = np.diff(words(pa.array(texts, pa.string()))[1])
         keep = [k for k in range(len(ids)) if n_words[k] >= WORDS]
@@ -56,7 +61,8 @@ class Items:
         self.parts = [hashes[at[k]:at[k + 1]] for k in keep]
         self.sizes = np.array([len(p) for p in self.parts], dtype=np.int64)
         every = np.concatenate([np.unique(p) for p in self.parts] or [np.zeros(0, np.uint64)])
-        self.known, held = np.unique(every, return_counts=True)
+        self.known, own = np.unique(every, return_counts=True)
+        self.shared, held = (self.known[own > 1], own[own > 1]) if shared is None else (shared, held)
         self.weight = np.maximum(1, _UNIT // held).astype(np.int64)
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.known >> U(44)).astype(np.int64)] = True
@@ -75,10 +81,10 @@ class Items:
 
     def weights(self, hashes: np.ndarray) -> np.ndarray:
         """A shingle weighs less the more items hold it; one that none holds weighs as if one did."""
-        if not len(self.known):
+        if not len(self.shared):
             return np.full(len(hashes), _UNIT, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.weight[at], _UNIT)
+        at = np.minimum(np.searchsorted(self.shared, hashes), len(self.shared) - 1)
+        return np.where(self.shared[at] == hashes, self.weight[at], _UNIT)
 
     def near(self, prints: np.ndarray) -> np.ndarray:
         """(window, item) pairs whose fingerprints differ in at most RADIUS bits."""
@@ -148,11 +154,11 @@ class Items:
 _built: dict[str, Items] = {}
 
 
-def _scan(batches: Iterator[pa.RecordBatch], held, similar: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], held, counts, similar: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     token = held.value[0]
     if token not in _built:  # once a worker
         _built.clear()
-        _built[token] = Items(*held.value[1:])
+        _built[token] = Items(*held.value[1:], *counts.value)
     items = _built[token]
     match = pa.list_(pa.struct([("item_id", kind), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))
     for batch in batches:
@@ -166,8 +172,28 @@ def _scan(batches: Iterator[pa.RecordBatch], held, similar: float, kind: pa.Data
             yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [pa.array(found, match)], names=[*rest, "found"])
 
 
-def _blocks(items: DataFrame, item_id: str, text: str) -> tuple[list, str, pa.DataType]:
-    """Broadcasts of all items, each of bounded size, and the type of their ids."""
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different shingles of each item."""
+    for batch in batches:
+        for part in text_chunks(batch, "t", 1 << 20):
+            hashes, begin = words(part.column("t"))
+            tokens, at = shingles(hashes, begin, WORDS)
+            own = [np.unique(tokens[at[k]:at[k + 1]]) for k in np.flatnonzero(np.diff(begin) >= WORDS)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(own or [np.zeros(0, np.uint64)]).view(np.int64))], names=["s"])
+
+
+def _counts(usable: DataFrame):
+    """Broadcast of the sorted shingles that several of all items hold, and how many (at most _UNIT)."""
+    counted = map_arrow(usable.select("t"), _held, "s long").groupBy("s").agg(
+        F.least(F.count("*"), F.lit(_UNIT)).cast("short").alias("held")).filter("held > 1").toArrow()
+    shared = counted["s"].to_numpy().view(np.uint64)
+    order = np.argsort(shared)
+    return usable.sparkSession.sparkContext.broadcast((shared[order], counted["held"].to_numpy()[order]))
+
+
+def _blocks(items: DataFrame, item_id: str, text: str) -> tuple[list, object, str, pa.DataType]:
+    """Broadcasts of all items, each of bounded size, and of their counts, and the type of their ids."""
     usable = items.filter(F.col(text).isNotNull()).select(F.col(item_id).alias("id"), F.col(text).alias("t"))
     chars = usable.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks, out = max(1, -(-chars // ITEM_CHARS)), []
@@ -175,14 +201,14 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> tuple[list, str, pa.Da
         part = usable.filter(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == k).orderBy("id", "t").toArrow()
         out.append(items.sparkSession.sparkContext.broadcast(
             (uuid.uuid4().hex, part["id"].to_pylist(), part["t"].to_pylist())))
-    return out, dict(usable.dtypes)["id"], part.schema.field("id").type
+    return out, _counts(usable), dict(usable.dtypes)["id"], part.schema.field("id").type
 
 
-def _scanned(rows: DataFrame, held, id_type: str, arrow_type: pa.DataType, similar: float) -> DataFrame:
+def _scanned(rows: DataFrame, held, counts, id_type: str, arrow_type: pa.DataType, similar: float) -> DataFrame:
     """``rows`` (with a column ``text``) without text, with the matches ``found`` of one block of items."""
     names = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes if name != "text")
     found = f"array<struct<item_id:{id_type},start_word:bigint,n_words:bigint,similarity:double>>"
-    return map_arrow(rows, lambda it: _scan(it, held, similar, arrow_type), f"{names}, found {found}")
+    return map_arrow(rows, lambda it: _scan(it, held, counts, similar, arrow_type), f"{names}, found {found}")
 
 
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -274,6 +274,26 @@ def test_items_in_several_blocks_give_the_same(spark, monkeypatch):
     assert decontaminate.without_matches(table(spark, docs), bench).count() == 0
 
 
+def test_weights_count_the_items_of_all_blocks(spark, monkeypatch):
+    rng = random.Random(11)
+    template = prose(rng, 24, 5000)
+    items = [(k, " ".join(template + prose(rng, 16, 5000))) for k in range(12)]
+    docs = [(k, " ".join(prose(rng, 30, 5000)) + " " + items[k][1]) for k in range(3)]
+    for k in range(12):  # the template with another ending, and an item with edits in the template or behind it
+        words_ = split_words(items[k][1])
+        docs.append((100 + k, " ".join([*words_[:-6 + k % 5], *prose(rng, 6 - k % 5, 5000)])))
+        docs.append((200 + k, " ".join([*prose(rng, 4 + k, 5000), *words_[4 + k:]])))
+    want = expected_matches(docs, items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    clean = sorted({str(i) for i, _ in docs} - {d for d, _, _ in want})
+    assert clean and want
+    for chars in (2_000_000, 500):
+        monkeypatch.setattr(decontaminate, "ITEM_CHARS", chars)
+        got = decontaminate.matches(table(spark, docs), bench).collect()
+        assert sorted((str(r["id"]), r["item_id"], round(r["similarity"], 9)) for r in got) == want
+        assert sorted(str(r["doc_id"]) for r in decontaminate.without_matches(table(spark, docs), bench).collect()) == clean
+
+
 def test_hamming_index_finds_all_within_the_radius():
     rng = np.random.default_rng(2)
     items = decontaminate.Items(list(range(30)), [" ".join(prose(random.Random(k), 20)) for k in range(30)])
