@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewell.llm import (
-    decontaminate, html_extract, jaccard_join, licenses, line_dedup, mixing, sharding, substring,
-    topk, toxicity,
+    decontaminate, exact_dedup, html_extract, jaccard_join, licenses, line_dedup, mixing, periodic_runs,
+    sharding, substring, topk, toxicity, whitening,
 )
 from linewell.llm._common import table
 
@@ -63,6 +66,48 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", _scaled(F.col("embedding")).alias("x"))
+    white = whitening.whiten(vectors, "vec_id", "x", components=8)
+    return white.select(
+        F.col("id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "whitened", "explained", "identity_error")
+
+
+def _scaled(vector: Column) -> Column:
+    """Entries as whole numbers, floor(1024 * c) + 100000; null for a vector that takes no part."""
+    wrong = F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    return F.when(~wrong, F.transform(vector, lambda c: F.try_add(F.floor(c.cast("double") * 1024), F.lit(100000))))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.owners(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(table(spark, sf_dir, "documents"), rewrite=_echoed)
+    best = periodic_runs.strongest(F.col("runs"))
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.runs_text(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def _echoed(doc_id: int | None, n: int) -> np.ndarray | None:
+    """In a tenth of the texts, chosen by a checksum of the id, the words of an end repeat with a period."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return places
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -74,6 +119,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
+    "op11_whitening": op11_whitening,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Stripped at both ends of a line: chr(32) and chr(9) to chr(13).
@@ -108,4 +156,14 @@ ORACLES = {
                    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.key IS NULL), '') AS kept
             FROM keyed LEFT JOIN common c ON keyed.key = c.key GROUP BY r)
         SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM kept JOIN docs USING (r)""",
+    "op12_exact_dedup": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS chars,
+                   sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256
+            FROM documents),
+        g AS (
+            SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+                   first_value(doc_id) OVER best AS keep_id, row_number() OVER best AS k
+            FROM d WINDOW best AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST, r))
+        SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM g""",
 }
