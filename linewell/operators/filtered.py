@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linewell.functions.patterns import Term, as_term, check_pattern, line_matches
 from linewell.functions.text import visible_length
-from linewell.operators.ordered import CHUNK, dense_index, nearest, running_total
+from linewell.operators.ordered import CHUNK, PIECE, nearest, running_total, total_in_place
 from linewell.operators.search import KEY
 
 VISIBILITIES = ("MATCHES", "MARKS", "BOTH")
@@ -63,9 +63,12 @@ def filtered_search(
     )
 
 
-def filtered_index(items: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Add ``idx``: the position 0, 1, ... of each item in its file's filtered view."""
-    return dense_index(items, "idx", chunk=chunk)
+def filtered_index(items: DataFrame, chunk: int = PIECE) -> DataFrame:
+    """Add ``idx``: the position 0, 1, ... of each item in its file's filtered view.
+
+    The items are computed and stored once, where they are; no text is shuffled.
+    """
+    return total_in_place(items, "idx", chunk=chunk)
 
 
 def index_to_line(indexed: DataFrame, idx: int | DataFrame) -> DataFrame:

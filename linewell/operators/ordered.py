@@ -10,10 +10,15 @@ no task sees more than one chunk of lines.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from linewell.shared import fresh_path
 
 # Order values per chunk; the size bound of every window partition over lines.
 CHUNK = 1 << 20
@@ -64,11 +69,9 @@ def running_total(
 
     zero = F.lit(0).cast("bigint")
     total = F.coalesce(F.col("_local"), zero) + F.coalesce(F.col("_carry"), zero)
-    return (
-        local.join(carry, [*by, "_chunk"])
-        .withColumn(out, total)
-        .drop("_value", "_local", "_carry", "_chunk")
-    )
+    same = [local[c].eqNullSafe(carry[c]) for c in (*by, "_chunk")]
+    extra = [total_out] if total_out else []
+    return local.join(carry, same).select(*[local[c] for c in df.columns], *extra, total.alias(out))
 
 
 def dense_index(
@@ -82,6 +85,77 @@ def dense_index(
     return running_total(df, F.lit(1), out, by, order, chunk=chunk)
 
 
+# Order values per piece of the summary of ``total_in_place``.
+PIECE = 1 << 14
+
+
+def total_in_place(
+    df: DataFrame,
+    out: str,
+    value: Column | None = None,
+    by: Sequence[str] = FILE,
+    order: str = "line_no",
+    chunk: int = PIECE,
+) -> DataFrame:
+    """``running_total`` that moves no row: add ``out``, the sum of ``value`` (none: the count) before this row.
+
+    For tables whose tasks hold stretches of consecutive rows, as scans and stored tables
+    do.  The rows are stored once, sorted within their tasks, with their running total
+    inside the task; only counts by (file, piece, task) are shuffled.  Their prefix sums, one row a
+    stretch, are joined to the rows.  Where two tasks hold rows of a file in turn, the
+    rows are shuffled by ``running_total`` instead; the answer is the same.
+
+    ``value`` must not be negative; ``order`` is unique within a file.
+    """
+    by, spark = list(by), df.sparkSession
+    path = fresh_path(spark, "in-place")
+    placed = df if value is None else df.withColumn("_value", value.cast("bigint"))
+    placed = placed.sortWithinPartitions(*by, order)
+    if value is not None:
+        placed = _with_running_sum(placed)
+    # The upper bits of the row id name the task, the lower ones count its rows.
+    placed.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_task", F.shiftright("_id", 33))
+    position = F.col("_id") if value is None else F.col("_running")
+    pieces = rows.groupBy(*by, "_task", chunk_of(order, chunk).alias("_piece")).agg(
+        F.count("*").alias("_n") if value is None else F.sum("_value").alias("_n"), F.min(position).alias("_first"),
+        F.min(order).alias("_low"), F.max(order).alias("_high"))
+    along = Window.partitionBy(*by).orderBy("_low", "_high")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    marked = pieces.select(
+        *by, "_task", "_first", "_low", "_high", F.coalesce(F.sum("_n").over(earlier), zero).alias("_before"),
+        (F.max("_high").over(earlier) >= F.col("_low")).alias("_crossed"),
+        F.coalesce(F.lag("_task").over(along) != F.col("_task"), F.lit(True)).cast("int").alias("_new"))
+    stretched = marked.withColumn("_stretch", F.sum("_new").over(along))
+    stretches = stretched.groupBy(*by, "_task", "_stretch").agg(
+        F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.min("_first").alias("_first"),
+        F.min("_before").alias("_before"), F.bool_or("_crossed").alias("_crossed"))
+    table = fresh_path(spark, "stretches")
+    stretches.drop("_stretch").write.parquet(table)
+    stretches = spark.read.parquet(table)
+    if stretches.filter("_crossed").head(1):
+        total = F.lit(1) if value is None else F.col("_value")
+        return running_total(rows.drop("_task"), total, out, by, order).select(*df.columns, out)
+    sums = stretches.select(*by, "_task", "_low", "_high", (F.col("_before") - F.col("_first")).alias("_shift"))
+    inside = [rows[c].eqNullSafe(sums[c]) for c in by] + [
+        rows["_task"] == sums["_task"], rows[order].between(sums["_low"], sums["_high"])]
+    return rows.join(sums, inside).select(*[rows[c] for c in df.columns], (position + F.col("_shift")).alias(out))
+
+
+def _with_running_sum(df: DataFrame) -> DataFrame:
+    """Add ``_running``: the sum of ``_value`` over the task's rows before this one."""
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = 0
+        for batch in batches:
+            total = pc.add(pc.cumulative_sum(pc.fill_null(batch.column("_value"), 0)), carry)
+            before = pc.subtract(total, pc.fill_null(batch.column("_value"), 0))
+            carry = total[-1].as_py() if batch.num_rows else carry
+            yield pa.RecordBatch.from_arrays([*batch.columns, before], names=[*batch.schema.names, "_running"])
+
+    return df.mapInArrow(running, T.StructType([*df.schema.fields, T.StructField("_running", T.LongType())]))
+
+
 def nearest(
     df: DataFrame,
     present: Column,

@@ -22,7 +22,7 @@ from linewell.operators.ordered import attach_per_file
 from linewell.operators.timing import duration_histogram, pair_durations
 from linewell.plans.session import ship
 from linewell.sources.encoding import PYTHON_CODECS
-from linewell.sources.shared import fresh_path
+from linewell.shared import fresh_path
 from linewell.streaming.source import open_fs
 
 PATTERN = "(the|and) "

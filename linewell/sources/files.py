@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linewell.functions.text import visible_length
-from linewell.operators.ordered import running_total
+from linewell.operators.ordered import total_in_place
 from linewell.sources.encoding import (
     AUTO_READER, READERS, decode_column, detect_encoding, encoding_facts,
 )
 from linewell.sources.listing import listing
-from linewell.sources.shared import fresh_path
+from linewell.shared import fresh_path
 
 # Names of files that Spark reads through a decompressor.
 COMPRESSED = r"\.(gz|bz2|lz4|snappy|deflate|zst|zstd|xz)$"
@@ -324,9 +324,10 @@ def line_positions(lines: DataFrame, separator: int = 1, **chunking) -> DataFram
     """Byte positions of any numbered (file, line_no, line) table, in UTF-8 bytes.
 
     For tables whose lines did not come from ``raw_lines``.  byte_end lies past
-    the separator, as if the last line had one too.
+    the separator, as if the last line had one too.  The lines are stored once,
+    where they are; no text is shuffled.
     """
     width = F.octet_length("line") + separator
-    return running_total(lines, width, "byte_start", **chunking).withColumn(
+    return total_in_place(lines, "byte_start", width, **chunking).withColumn(
         "byte_end", F.col("byte_start") + width
     )

@@ -1,38 +1,5 @@
-"""Where intermediate tables go: the folder the cluster names, never a local one."""
+"""The shared folder, under the name that the sources use."""
 
-from __future__ import annotations
+from linewell.shared import checkpointed, fresh_path, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``.
-
-    Where it is unset and Spark runs in local mode (tests), a temporary folder
-    is used; on a cluster a missing setting is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="linewell-")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored in the shared folder; survives executor loss."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+__all__ = ["checkpointed", "fresh_path", "shared_dir"]

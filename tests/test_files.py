@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linewell.operators.ordered import dense_index
+from linewell.operators.ordered import dense_index, total_in_place
 from linewell.sources import (
     detect_encoding, file_changes, file_info, line_positions, listing,
     number_lines, raw_lines, read_lines_table, scan_lines, synth_lines, write_lines_table,
@@ -218,3 +218,34 @@ def test_file_changes(spark, tmp_path):
            for r in file_changes(before, listing(spark, str(tmp_path))).collect()}
     assert got == {"a": "DATA_ADDED", "b": "TRUNCATED", "c": "DELETED", "d": "UNCHANGED",
                    "e": "CREATED"}
+
+
+def test_totals_in_place_equal_totals_by_shuffle(spark):
+    rows = [(f, k, "x" * (k * 7 % 11)) for f in ("a", "b", None) for k in range(500) if k % 3]
+    lines = spark.createDataFrame(rows, "file string, line_no long, line string")
+    want = {}
+    for f in ("a", "b", None):
+        total = 0
+        for n, (_, k, line) in enumerate(r for r in rows if r[0] == f):
+            want[f, k] = (n, total)
+            total += len(line) + 1
+    width = F.length("line") + 1
+    layouts = {
+        "stretches": lines.repartitionByRange(6, "file", "line_no"), "one task": lines.coalesce(1),
+        "packed": lines.repartition(3, F.expr("line_no div 100")), "in turn": lines.repartition(4, "line"),
+    }
+    for name, layout in layouts.items():
+        both = total_in_place(total_in_place(layout, "idx", chunk=50), "at", width, chunk=30)
+        got = {(r["file"], r["line_no"]): (r["idx"], r["at"]) for r in both.collect()}
+        assert got == want, name
+    assert total_in_place(lines.limit(0), "idx").count() == 0
+
+
+def test_text_is_not_shuffled_for_indexes_and_positions(spark, tmp_path):
+    lines = spark.range(20_000).select(F.lit("f").alias("file"), F.col("id").alias("line_no"), F.lit("text").alias("line"))
+    lines.write.parquet(f"{tmp_path}/lines")
+    stored = spark.read.parquet(f"{tmp_path}/lines")
+    for df in (total_in_place(stored, "idx"), line_positions(stored)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        assert df.agg(F.count("*")).first()[0] == 20_000
