@@ -85,6 +85,21 @@ def dense_index(
     return running_total(df, F.lit(1), out, by, order, chunk=chunk)
 
 
+# Partition column of lines tables laid out by ranges of line numbers.
+RANGE = "line_range"
+
+
+def in_ranges(lines: DataFrame, lo: int, hi: int) -> Column:
+    """True for the partitions of a table laid out by ranges that can hold lines ``lo .. hi``; else always true."""
+    width = range_width(lines)
+    return F.col(RANGE).between(lo // width, hi // width) if width else F.lit(True)
+
+
+def range_width(lines: DataFrame) -> int:
+    """Lines a range of a table laid out by ranges; 0 for any other table."""
+    return lines.schema[RANGE].metadata.get("width", 0) if RANGE in lines.columns else 0
+
+
 # Order values per piece of the summary of ``total_in_place``.
 PIECE = 1 << 14
 

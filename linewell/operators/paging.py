@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewell.functions.text import expand_tabs, portion, visible_length
-from linewell.operators.ordered import CHUNK, chunk_of
+from linewell.operators.ordered import CHUNK, chunk_of, in_ranges
 from linewell.operators.search import KEY
 
 
@@ -16,9 +16,11 @@ def page(
     """Lines ``first .. first+n-1`` of each file; as many of them as exist.
 
     Use ``by="idx"`` on an indexed filtered view.  On a stored lines table the
-    range filter skips row groups.
+    range filter skips row groups, on a ranged one whole partitions.
     """
     out = lines.filter(F.col(by).between(first, first + n - 1))
+    if by == "line_no":
+        out = out.filter(in_ranges(lines, first, first + n - 1))
     return out.withColumn("line", expand_tabs("line")) if expanded else out
 
 
@@ -62,7 +64,8 @@ def context(lines: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
 
 def select_range(lines: DataFrame, lo: int, hi: int) -> DataFrame:
     """Lines ``lo .. hi`` (inclusive, in either order) of each file."""
-    return lines.filter(F.col("line_no").between(min(lo, hi), max(lo, hi)))
+    lo, hi = min(lo, hi), max(lo, hi)
+    return lines.filter(F.col("line_no").between(lo, hi) & in_ranges(lines, lo, hi))
 
 
 def range_max_length(lines: DataFrame, lo: int, hi: int) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from linewell.functions.patterns import Term, any_matches, as_term, check_pattern, line_matches
 from linewell.functions.text import visible_length
-from linewell.operators.ordered import CHUNK, attach_per_file
+from linewell.operators.ordered import CHUNK, RANGE, attach_per_file, range_width
+from linewell.shared import fresh_path
 
 KEY = ["file", "line_no"]
 
@@ -60,7 +61,7 @@ def matches_max_length(matches: DataFrame) -> DataFrame:
 
 def search_update(
     previous: DataFrame, lines: DataFrame, processed: int | DataFrame, pattern: Term | str,
-    chunk: int = CHUNK, **options,
+    chunk: int = CHUNK, ranges: DataFrame | None = None, **options,
 ) -> DataFrame:
     """Matches after growth, searching only what is new.
 
@@ -68,6 +69,9 @@ def search_update(
     (file, processed) table.  The last of them may have been incomplete, so it
     is tested again and its old match dropped.  Files missing from the table
     are searched from their start.
+
+    With ``lines`` of a ranged table and its ``ranges`` only partitions that hold new
+    lines of some file are read: a small table of ranges prunes them while the query runs.
     """
     term = as_term(pattern, **options)
     cols = previous.columns
@@ -75,13 +79,34 @@ def search_update(
         limit = F.lit(processed - 1)
         kept = previous.filter(F.col("line_no") < limit)
         fresh = lines.filter(F.col("line_no") >= limit)
+        if width := range_width(lines):
+            fresh = fresh.filter(F.col(RANGE) >= max(0, processed - 1) // width)
     else:
         done = processed.filter("processed > 0").select(
             "file", (F.col("processed") - 1).alias("_from")
         )
         old = attach_per_file(previous, done, "_from", how="inner", chunk=chunk)
         kept = old.filter(F.col("line_no") < F.col("_from"))
-        # Chunks past the last searched line have no partner: all new.
-        new = attach_per_file(lines, done, "_from", how="left", chunk=chunk)
+        if ranges is not None and range_width(lines):
+            new = _unsearched(lines, ranges, done)
+        else:
+            # Chunks past the last searched line have no partner: all new.
+            new = attach_per_file(lines, done, "_from", how="left", chunk=chunk)
         fresh = new.filter(F.col("_from").isNull() | (F.col("line_no") >= F.col("_from")))
     return kept.select(*cols).unionByName(search(fresh, term).select(*cols))
+
+
+def _unsearched(lines: DataFrame, ranges: DataFrame, done: DataFrame) -> DataFrame:
+    """The lines of all ranges that end at or behind a file's ``_from``, with it (null: from the start).
+
+    The wanted ranges are stored, so that Spark knows how small they are: their numbers, one
+    for each range of line numbers, are broadcast and prune the partitions of ``lines``.
+    """
+    spark = lines.sparkSession
+    wanted, numbers = fresh_path(spark, "wanted"), fresh_path(spark, "wanted-ranges")
+    ranges.join(done, "file", "left").filter(
+        F.col("last_line") >= F.coalesce("_from", F.lit(0))).select("file", RANGE, "_from").write.parquet(wanted)
+    spark.read.parquet(wanted).select(RANGE).distinct().coalesce(1).write.parquet(numbers)
+    # The comparison is always true; Spark prunes at run time only by tables that are filtered.
+    some = spark.read.parquet(numbers).filter(F.col(RANGE) >= 0)
+    return lines.join(some, RANGE, "left_semi").join(spark.read.parquet(wanted), ["file", RANGE]).select(*lines.columns, "_from")

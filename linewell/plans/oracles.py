@@ -358,4 +358,9 @@ FROM G WHERE log % 2 = 1 OR phase = 0""",
     "batch_status": LINES + f"""
 SELECT CAST(file AS BIGINT) % 3 AS batch_id, CASE WHEN count(*) FILTER (WHERE {HIT}) > 0 THEN 'NEW_FILTERED_DATA'
   ELSE 'NEW_DATA' END AS status FROM L GROUP BY 1""",
+    "search_update_ranged": LINES + f" SELECT file, line_no, line FROM L WHERE {HIT}",
+    "page_ranged": LINES + " SELECT * FROM L WHERE line_no BETWEEN 30 AND 34",
+    "line_ranges": LINES + """
+        SELECT file, line_no // 32 AS line_range, min(line_no) AS first_line, max(line_no) AS last_line,
+          count(*) AS n_lines FROM L GROUP BY ALL""",
 }

@@ -324,6 +324,35 @@ def search_update(spark, sf_dir):
     return ops.search_update(earlier, lines, done, PATTERN)
 
 
+def _grown(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A ranged table that grew once, its ranges, and how far each file was there before: not at all, or half."""
+    lines, path = doc_lines(spark, sf_dir), fresh_path(spark, "ranged")
+    half = lines.groupBy("file").agg(F.floor((F.max("line_no") + 1) / 2).alias("processed"))
+    known = half.filter(F.col("file").cast("bigint") % 5 > 0)
+    both = lines.join(known, "file", "left").withColumn("_old", F.col("line_no") < F.coalesce("processed", F.lit(0)))
+    for old in (True, False):
+        src.append_ranged_table(both.filter(F.col("_old") == old).select(*lines.columns), path, width=32)
+    return src.read_ranged_table(spark, path), src.read_ranges(spark, path), known
+
+
+@job
+def search_update_ranged(spark, sf_dir):
+    """Files of different progress in a table laid out by line ranges; a fifth of them is new."""
+    lines, ranges, known = _grown(spark, sf_dir)
+    earlier = ops.search(lines, PATTERN).join(known, "file").filter("line_no < processed").select("file", "line_no", "line")
+    return ops.search_update(earlier, lines, known, PATTERN, ranges=ranges)
+
+
+@job
+def page_ranged(spark, sf_dir):
+    return ops.page(_grown(spark, sf_dir)[0], 30, 5).drop("line_range")
+
+
+@job
+def line_ranges(spark, sf_dir):
+    return _grown(spark, sf_dir)[1]
+
+
 # -- spans and find ----------------------------------------------------------------
 
 @job

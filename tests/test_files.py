@@ -3,10 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from linewell.operators import page, range_max_length, search_update
 from linewell.operators.ordered import dense_index, total_in_place
 from linewell.sources import (
-    detect_encoding, file_changes, file_info, line_positions, listing,
-    number_lines, raw_lines, read_lines_table, scan_lines, synth_lines, write_lines_table,
+    append_ranged_table, detect_encoding, file_changes, file_info, line_positions, listing,
+    number_lines, raw_lines, read_lines_table, read_ranged_table, read_ranges, scan_lines, synth_lines, write_lines_table,
 )
 
 
@@ -249,3 +250,49 @@ def test_text_is_not_shuffled_for_indexes_and_positions(spark, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
         assert df.agg(F.count("*")).first()[0] == 20_000
+
+
+def ranged(spark, path, rows, width=10):
+    for part in rows:
+        append_ranged_table(spark.createDataFrame(part, "file string, line_no long, line string").repartition(3), path, width)
+    return read_ranged_table(spark, path)
+
+
+def test_ranged_search_reads_only_grown_ranges(spark, tmp_path):
+    path = str(tmp_path / "t")
+    text = lambda f, k: f"{f} line {k}" + (" hit" if k % 3 == 0 else "")
+    old = [("a", k, text("a", k)) for k in range(57)] + [("b", k, text("b", k)) for k in range(64)]
+    new = [("a", k, text("a", k)) for k in range(57, 75)] + [("b", k, text("b", k)) for k in range(64, 66)]
+    lines = ranged(spark, path, [old, new])
+    previous = spark.createDataFrame([r for r in old if "hit" in r[2]], "file string, line_no long, line string")
+    done = spark.createDataFrame([("a", 57), ("b", 64)], "file string, processed long")
+    # What lies in ranges searched before cannot even be read.
+    for file in (tmp_path / "t" / "lines").glob("line_range=[0-4]/*/*.parquet"):
+        file.write_bytes(b"not a table")
+    for checksum in (tmp_path / "t" / "lines").glob("line_range=[0-4]/*/.*.crc"):
+        checksum.unlink()
+    got = search_update(previous, lines, done, "hit", ranges=read_ranges(spark, path))
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(r for r in old + new if "hit" in r[2])
+    same = search_update(previous, lines, 64, "hit").filter("file = 'b'")
+    assert sorted(r["line_no"] for r in same.collect()) == [k for k in range(66) if k % 3 == 0]
+    assert [r["line_no"] for r in page(lines, 68, 5).orderBy("line_no").collect()] == [68, 69, 70, 71, 72]
+    assert range_max_length(lines, 74, 60).count() == 2
+
+
+def test_ranged_table_grows_and_keeps_its_width(spark, tmp_path):
+    path = str(tmp_path / "t")
+    lines = ranged(spark, path, [[("a", k, "x") for k in range(25)], [("a", k, "x") for k in range(25, 40)], [("b", 0, "y")]])
+    append_ranged_table(lines.limit(0).drop("line_range"), path, width=999)
+    assert lines.count() == 41 and lines.schema["line_range"].metadata == {"width": 10}
+    got = sorted(tuple(r) for r in read_ranges(spark, path).collect())
+    assert got == [("a", 0, 0, 9, 10), ("a", 1, 10, 19, 10), ("a", 2, 20, 29, 10), ("a", 3, 30, 39, 10), ("b", 0, 0, 0, 1)]
+    files = search_update(lines.limit(0).drop("line_range"), lines, spark.createDataFrame([], "file string, processed long"), "x|y",
+                          ranges=read_ranges(spark, path))
+    assert files.count() == 41  # files that were never searched, from their start
+    lines.filter("file = 'b'").drop("line_range").withColumn("line_range", F.lit(0)).withColumn("batch", F.lit(9)).write.mode(
+        "append").partitionBy("line_range", "batch").parquet(f"{path}/lines")
+    with pytest.raises(ValueError, match="cut off"):
+        append_ranged_table(lines.drop("line_range"), path)
+    with pytest.raises(ValueError, match="no ranged table"):
+        read_ranged_table(spark, str(tmp_path / "nothing"))
