@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linewell.functions.text import expand_tabs, portion, visible_length
 from linewell.operators.ordered import CHUNK, chunk_of, in_ranges
 from linewell.operators.search import KEY
+from linewell.sources.text_sink import write_logs
 
 
 def page(
@@ -82,13 +83,15 @@ def export_lines(
     """Write the text of a range as LF-terminated text files.
 
     The range is sorted by (file, line_no) across the part files, so reading
-    the parts in name order gives the lines in order.  ``per_file`` writes a folder
-    ``file=<name>`` for each file of a set.  ``columns`` (first, last) writes only that
-    part of each line, as displayed.
+    the parts in name order gives the lines in order.  ``per_file`` writes the files of a
+    set apart, a text file for each of them and ``CHUNK`` lines (``read_logs`` reads them);
+    only the rows of one such part meet in a task.  ``columns`` (first, last) writes only
+    that part of each line, as displayed.
     """
     chosen = select_range(lines, lo, hi)
     if columns is not None:
         chosen = chosen.withColumn("line", portion("line", min(columns), max(columns)))
-    ordered = chosen.select(*KEY, "line").orderBy(*KEY)
-    writer = ordered.select("line", "file").write.partitionBy("file") if per_file else ordered.select("line").write
-    writer.text(path)
+    if per_file:
+        write_logs(chosen, path, CHUNK)
+    else:
+        chosen.select(*KEY, "line").orderBy(*KEY).select("line").write.text(path)

@@ -23,7 +23,7 @@ from linewell.operators.timing import duration_histogram, pair_durations
 from linewell.plans.session import ship
 from linewell.sources.encoding import PYTHON_CODECS
 from linewell.shared import fresh_path
-from linewell.streaming.source import open_fs
+from linewell.sources.uris import open_fs, qualified
 
 PATTERN = "(the|and) "
 RULES = [
@@ -226,10 +226,8 @@ def export_range(spark, sf_dir):
     """Parts of a range of lines, written per file and read back in order."""
     path = fresh_path(spark, "export")
     ops.export_lines(doc_lines(spark, sf_dir), 5, 2, path, columns=(0, 30), per_file=True)
-    order = Window.partitionBy("file").orderBy(F.col("_metadata.file_name"), F.monotonically_increasing_id())
-    back = spark.read.text(path)
-    return back.select(
-        F.col("file").cast("string").alias("file"), F.row_number().over(order).alias("pos"), F.col("value").alias("line"))
+    order = Window.partitionBy("file").orderBy("part", F.monotonically_increasing_id())
+    return src.read_logs(spark, path).select("file", F.row_number().over(order).alias("pos"), "line")
 
 
 # -- text --------------------------------------------------------------------------
@@ -706,6 +704,7 @@ def _write_logs(lines: DataFrame, folder: str, closed: bool) -> None:
                 out.write(b"\n")
             out.close()
 
+    folder = qualified(lines.sparkSession, folder)  # a path without a scheme is one of Spark's default file system
     placed = lines.repartition(LOGS, "log").sortWithinPartitions("log", "phase", "doc", "line_no")
     placed.select("log", "text").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -33,7 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from linewell.sources.encoding import PYTHON_CODECS, READERS
-from linewell.sources.shared import shared_dir
+from linewell.shared import shared_dir
+from linewell.sources import uris
+from linewell.sources.uris import open_fs, qualified
 
 FORMAT = "linewell_follow"
 SCHEMA = (
@@ -52,16 +53,6 @@ HEAD = 1024
 PLAIN = "!$&'()*+,;=:@~-._"
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and inner path of a URI as Spark writes it, or of a local path."""
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + unquote(path[5:]).lstrip("/")
-    if "://" in path:
-        fs, inner = pafs.FileSystem.from_uri(path)
-        return fs, unquote(inner)
-    return pafs.LocalFileSystem(), path
-
-
 def _info(path: str) -> pafs.FileInfo:
     fs, inner = open_fs(path)
     return fs.get_file_info(inner)
@@ -281,15 +272,6 @@ class FollowSource(DataSource):
         return FollowReader(self.options)
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path as a full URI, with the scheme and working folder that Spark would use."""
-    jvm = spark.sparkContext._jvm
-    plain = jvm.org.apache.hadoop.fs.Path(path)
-    system = plain.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    # Spark leaves an empty authority out.
-    return re.sub(r"^([^:/]+):///", r"\1:/", system.makeQualified(plain).toUri().toString())
-
-
 def follow(
     spark: SparkSession,
     paths: str | Iterable[str],
@@ -315,9 +297,10 @@ def follow(
     paths = [qualified(spark, p) for p in ([paths] if isinstance(paths, str) else dict.fromkeys(paths))]
     if state_file is None:
         name_of = hashlib.sha1(json.dumps([name, *paths] if name else paths).encode()).hexdigest()
-        state_file = f"{shared_dir(spark)}/follow-{name_of}/epochs.json"
+        state_file = f"{qualified(spark, shared_dir(spark))}/follow-{name_of}/epochs.json"
     # Spark's planner process for streams gets no --py-files: the class goes by value.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    for module in (uris, sys.modules[__name__]):
+        cloudpickle.register_pickle_by_value(module)
     spark.dataSource.register(FollowSource)
     return (
         spark.readStream.format(FORMAT)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +8,10 @@ from linewell.operators import page, range_max_length, search_update
 from linewell.operators.ordered import dense_index, total_in_place
 from linewell.sources import (
     append_ranged_table, detect_encoding, file_changes, file_info, line_positions, listing,
-    number_lines, raw_lines, read_lines_table, read_ranged_table, read_ranges, scan_lines, synth_lines, write_lines_table,
+    number_lines, raw_lines, read_lines_table, read_logs, read_ranged_table, read_ranges, scan_lines,
+    synth_lines, write_lines_table, write_logs,
 )
+from linewell.sources.text_sink import TextWriter, Written, export_name
 
 
 def rows_of(data: bytes):
@@ -296,3 +299,50 @@ def test_ranged_table_grows_and_keeps_its_width(spark, tmp_path):
         append_ranged_table(lines.drop("line_range"), path)
     with pytest.raises(ValueError, match="no ranged table"):
         read_ranged_table(spark, str(tmp_path / "nothing"))
+
+
+LOG_NAMES = ["a.log", "file:/logs/b c.log", "100%", "x%2Fy", "_hidden", ".dot", "日志", "", "n" * 300, "m" * 299 + "n"]
+
+
+def test_logs_are_written_a_file_each_and_in_order(spark, tmp_path):
+    rows = [(name, k, f"{name[:9]} {k}") for name in LOG_NAMES for k in range(25)]
+    lines = spark.createDataFrame(rows, "file string, line_no long, line string").orderBy(F.rand(1)).repartition(4)
+    out = tmp_path / "out"
+    write_logs(lines, str(out), part_lines=10)
+    texts = {p.name: p.read_text() for p in out.glob("*.txt")}
+    assert len(texts) == 3 * len(LOG_NAMES) and sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+    for name in LOG_NAMES:
+        whole = "".join(texts[export_name(name, part)] for part in range(3))
+        assert whole == "".join(f"{name[:9]} {k}\n" for k in range(25))
+    back = {(r["file"], r["part"], r["line"]) for r in read_logs(spark, str(out)).collect()}
+    short = [n for n in LOG_NAMES if len(n) < 50]
+    assert {b for b in back if b[0] in short} == {(n, k // 10, f"{n[:9]} {k}") for n in short for k in range(25)}
+    with pytest.raises(ValueError, match="exists"):
+        write_logs(lines, str(out), part_lines=10)
+    write_logs(lines.limit(0), str(tmp_path / "none"), part_lines=10)
+    assert [p.name for p in (tmp_path / "none").iterdir()] == ["_SUCCESS"]
+
+
+def test_a_failed_export_leaves_nothing_and_a_repeated_task_no_second_file(spark, tmp_path):
+    lines = spark.range(2000).select(F.lit("f").alias("file"), F.col("id").alias("line_no"), F.when(
+        F.col("id") == 1999, F.raise_error(F.lit("lost"))).otherwise("text").alias("line"))
+    with pytest.raises(Exception, match="lost"):
+        write_logs(lines, str(tmp_path / "out"), part_lines=10)
+    assert list(tmp_path.iterdir()) == []
+    batch = pa.RecordBatch.from_pydict({"file": ["f"] * 5 + ["g"], "part": [0] * 6, "line": [str(k) for k in range(6)]})
+
+    def broken():
+        yield batch.slice(0, 3)
+        raise RuntimeError("executor lost")
+
+    writer = TextWriter(str(tmp_path / "t"), str(tmp_path / "t.partial"))
+    with pytest.raises(RuntimeError):
+        writer.write(broken())
+    messages = [writer.write(iter([batch.slice(0, 2), batch.slice(2)])) for _ in range(2)]  # a task that ran twice
+    assert messages[0] == messages[1] == Written(2, 6)
+    writer.commit(messages)
+    assert {p.name: p.read_text() for p in (tmp_path / "t").iterdir()} == {
+        "_SUCCESS": "", export_name("f", 0): "0\n1\n2\n3\n4\n", export_name("g", 0): "5\n"}
+    other = TextWriter(str(tmp_path / "u"), str(tmp_path / "u.partial"))
+    other.abort([other.write(iter([batch])), None])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
