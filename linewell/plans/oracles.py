@@ -33,6 +33,11 @@ LOGS = TAGGED + """, G AS (
   SELECT *, CAST(file AS BIGINT) % 20 AS log, CASE WHEN line_no >= 3 THEN 1 ELSE 0 END AS phase FROM T
 )"""
 
+FOLLOWED = LOGS + """
+SELECT log, file AS doc, CASE WHEN log % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS epoch,
+  log % 2 = 1 OR row_number() OVER (PARTITION BY log ORDER BY CAST(file AS BIGINT) DESC, line_no DESC) > 1 AS terminated, line
+FROM G WHERE log % 2 = 1 OR phase = 0"""
+
 TAG_START = """CAST(coalesce(sum(octet_length(encode(tagged)) + 1) OVER (
     PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
     AS BIGINT) AS byte_start"""
@@ -351,10 +356,12 @@ SELECT log, file AS doc, row_number() OVER w - 1 AS line_no, 0::BIGINT AS epoch,
   CAST(coalesce(sum(octet_length(encode(tagged)) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
     AS BIGINT) AS byte_start, line
 FROM G WINDOW w AS (PARTITION BY log ORDER BY phase, CAST(file AS BIGINT), line_no)""",
-    "follow_epochs": LOGS + """
-SELECT log, file AS doc, CASE WHEN log % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS epoch,
-  log % 2 = 1 OR row_number() OVER (PARTITION BY log ORDER BY CAST(file AS BIGINT) DESC, line_no DESC) > 1 AS terminated, line
-FROM G WHERE log % 2 = 1 OR phase = 0""",
+    "follow_epochs": FOLLOWED,
+    "follow_upserted": FOLLOWED,
+    "search_watched": LINES + f" SELECT file, line_no, line FROM L WHERE {HIT}",
+    "search_progress": LINES + f"""
+SELECT true AS several, true AS grew, count(*) AS n_lines, count(*) FILTER (WHERE {HIT}) AS n_matches,
+  CAST(100 AS INTEGER) AS percent FROM L""",
     "batch_status": LINES + f"""
 SELECT CAST(file AS BIGINT) % 3 AS batch_id, CASE WHEN count(*) FILTER (WHERE {HIT}) > 0 THEN 'NEW_FILTERED_DATA'
   ELSE 'NEW_DATA' END AS status FROM L GROUP BY 1""",

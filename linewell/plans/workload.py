@@ -745,6 +745,45 @@ def follow_epochs(spark, sf_dir):
     return untag(now).select(_log_of("file").alias("log"), "doc", "epoch", "terminated", "line")
 
 
+@job
+def follow_upserted(spark, sf_dir):
+    """The lines of ``follow_epochs``, kept current batch by batch."""
+    folder, out, checkpoint = (fresh_path(spark, x) for x in ("logs", "upserted", "checkpoint"))
+    lines = _log_lines(spark, sf_dir)
+    start = lines.filter("phase = 0")
+    for part, closed in ((start, False), (lines, True), (start.filter("log % 2 = 0"), False)):
+        _write_logs(part, folder, closed)
+        writer = st.follow_upsert(st.follow(spark, folder, emit_partial=True), out)
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    current = st.upserted(spark, out)
+    now = st.current_epoch(current, st.epochs_of(current))
+    return untag(now).select(_log_of("file").alias("log"), "doc", "epoch", "terminated", "line")
+
+
+def _watched(spark, sf_dir) -> str:
+    """Where a search of a stored table, a file a step, has left its matches and progress."""
+    path, out = fresh_path(spark, "lines"), fresh_path(spark, "watched")
+    src.write_lines_table(doc_lines(spark, sf_dir).repartition(5, "file"), path)
+    st.search_with_progress(spark, path, PATTERN, out, files_per_step=1).awaitTermination()
+    return out
+
+
+@job
+def search_watched(spark, sf_dir):
+    return spark.read.parquet(f"{_watched(spark, sf_dir)}/matches").select(*KEY, "line")
+
+
+@job
+def search_progress(spark, sf_dir):
+    """The last row of progress, and whether lines and percent grew with every step."""
+    steps = st.progress_of(spark, _watched(spark, sf_dir))
+    before = Window.orderBy("step")
+    grew = (F.col("n_lines") > F.lag("n_lines", 1, 0).over(before)) & (F.col("percent") >= F.lag("percent", 1, 0).over(before))
+    return steps.withColumn("grew", grew).agg(
+        (F.count("*") > 1).alias("several"), F.bool_and("grew").alias("grew"), F.max("n_lines").alias("n_lines"),
+        F.max("n_matches").alias("n_matches"), F.max("percent").alias("percent"))
+
+
 @job
 def batch_status(spark, sf_dir):
     """Three batches: a third of the documents is added before each."""
