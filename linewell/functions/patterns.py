@@ -130,7 +130,89 @@ def check_patterns(spark: SparkSession, terms: list[Term]) -> None:
     regexes = [x for t in terms if t.text != "" and t.syntax == "regex"
                for x in (regex_of(t), f"{flags_of(t.ignore_case)}({shift_backrefs(body_of(t), 1)})")]
     for k in range(0, len(regexes), 200):
-        spark.range(1).select(*[F.rlike(F.lit(""), F.lit(x)) for x in regexes[k:k + 200]]).collect()
+        spark.range(1).selectExpr(*[f"rlike('', {sql_text(x)})" for x in regexes[k:k + 200]]).collect()
+
+
+def sql_text(text: str | None) -> str:
+    """A string as SQL, whatever it holds and whatever the session's escape rules are."""
+    return "CAST(NULL AS STRING)" if text is None else f"CAST(X'{text.encode().hex()}' AS STRING)"
+
+
+def line_matches_sql(line: str, term: Term) -> str:
+    """``line_matches`` as SQL text."""
+    if term.text == "":
+        return "false"
+    if term.syntax == "fixed" and not term.ignore_case:
+        return f"contains({line}, {sql_text(term.text)})"
+    return f"rlike({line}, {sql_text(regex_of(term))})"
+
+
+# Quoted text, an escaped character, a counted repeat, a class, or any character.
+_ATOM = re.compile(r"\\Q|\\(.)|(\{[0-9]+(?:,[0-9]*)?\}[?+]?)|\[|(.)", re.S)
+
+
+def required_text(term: Term) -> str | None:
+    """The longest text that every match of a term surely holds; None where that is not plain to see.
+
+    Only characters outside groups and classes are looked at.  Alternatives, quotes and
+    flags inside the pattern give None.
+    """
+    if term.syntax == "fixed":
+        return term.text or None
+    if re.search(r"\\Q|\(\?[a-zA-Z-]", term.text):
+        return None
+    runs, depth, at, text = [""], 0, 0, term.text
+    while at < len(text):
+        m = _ATOM.match(text, at)
+        escaped, repeat, plain = m.groups()
+        at = m.end()
+        if m.group(0) == "[":
+            end = re.compile(r"\^?\]?(?:\\.|[^\]\\\[&])*\]", re.S).match(text, at)
+            if end is None:
+                return None  # a class inside a class, or an operation on classes
+            at = end.end()
+            runs.append("")
+        elif plain == "(":
+            depth += 1
+            runs.append("")
+        elif plain == ")":
+            depth -= 1
+            runs.append("")
+        elif depth:
+            continue
+        elif plain == "|":
+            return None
+        elif repeat or plain in ("?", "*"):
+            runs[-1] = runs[-1][:-1]
+            runs.append("")
+        elif plain in ("+", ".", "^", "$"):
+            runs.append("")
+        elif escaped is not None:
+            if escaped.isalnum():
+                if escaped not in "dDsSwWbBAzZGhHvVRX":
+                    return None
+                runs.append("")
+            else:
+                runs[-1] += escaped
+        else:
+            runs[-1] += plain
+    return max(runs, key=len) or None
+
+
+def any_of_texts(texts: Iterable[str], most: int = 24) -> str:
+    """A regex that occurs in a line if one of the texts does; common beginnings are tried once.
+
+    Only the first ``most`` characters of a text count.
+    """
+    branches: dict[str, list[str]] = {}
+    for t in texts:
+        branches.setdefault(t[:1], []).append(t[1:most])
+    if "" in branches:
+        return ""
+    parts = []
+    for first, rests in branches.items():
+        parts.append(escape_text(first) + any_of_texts(rests, most - 1))
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
 
 def shift_backrefs(body: str, by: int) -> str:

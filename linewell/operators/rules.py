@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewell.functions.patterns import Term, check_patterns, line_matches
+from linewell.functions.patterns import (
+    Term, any_of_texts, check_patterns, flags_of, line_matches_sql, required_text, sql_text,
+)
 
 # Rules per CASE expression; a longer list is several of them, tried one after the other.
 BLOCK = 64
+# A block of at least GATED rules that need a text of NEEDED characters each is gated by these texts.
+GATED, NEEDED = 8, 3
 
 RULE_COLUMNS = ("priority", "pattern", "ignore_case", "fore", "back")
 RULE_TYPE = "struct<priority:int,fore:string,back:string>"
@@ -45,19 +50,33 @@ def classify(lines: DataFrame, rules: Iterable[Rule]) -> DataFrame:
 
 
 def _first_of(numbered: list[tuple[int, Rule]]) -> Column:
-    blocks = [_case(numbered[k:k + BLOCK]) for k in range(0, len(numbered), BLOCK)]
-    return F.coalesce(*blocks, F.lit(None).cast(RULE_TYPE))
+    """The first rule that matches, as one SQL text; a block of rules is tried if a text that its rules need occurs."""
+    blocks = []
+    for gated, run in groupby(numbered, key=lambda x: len(_needed(x[1])) >= NEEDED):
+        run = list(run)
+        for k in range(0, len(run), BLOCK):
+            blocks.append(_case(run[k:k + BLOCK], gated and len(run) >= GATED))
+    return F.expr(f"coalesce({', '.join([*blocks, f'CAST(NULL AS {RULE_TYPE})'])})")
 
 
-def _case(numbered: list[tuple[int, Rule]]) -> Column:
-    case = F
-    for priority, r in numbered:
-        result = F.struct(
-            F.lit(priority).cast("int").alias("priority"), F.lit(r.fore).cast("string").alias("fore"),
-            F.lit(r.back).cast("string").alias("back"),
-        )
-        case = case.when(line_matches("line", Term(r.pattern, r.ignore_case)), result)
-    return case
+def _term(rule: Rule) -> Term:
+    return Term(rule.pattern, rule.ignore_case)
+
+
+def _needed(rule: Rule) -> str:
+    return required_text(_term(rule)) or ""
+
+
+def _case(numbered: list[tuple[int, Rule]], gated: bool) -> str:
+    whens = [
+        f"WHEN {line_matches_sql('line', _term(r))} THEN named_struct('priority', "
+        f"CAST({'NULL' if priority is None else int(priority)} AS INT), 'fore', {sql_text(r.fore)}, 'back', {sql_text(r.back)})"
+        for priority, r in numbered]
+    case = f"CASE {' '.join(whens)} END"
+    if not gated:
+        return case
+    gate = flags_of(any(r.ignore_case for _, r in numbered)) + any_of_texts(_needed(r) for _, r in numbered)
+    return f"CASE WHEN rlike(line, {sql_text(gate)}) THEN {case} END"
 
 
 def classify_join(lines: DataFrame, rules: DataFrame) -> DataFrame:
@@ -67,7 +86,8 @@ def classify_join(lines: DataFrame, rules: DataFrame) -> DataFrame:
     case, then by fore and back (NULLs last throughout).  NULL and empty patterns match nothing;
     a NULL ``ignore_case`` means exact case.  Every pattern is checked before the job.
     A rule list is written by people and is part of the plan, however long it is:
-    each pattern is compiled once a task, and no (line, rule) pairs are built.
+    each pattern is compiled once a task, and no (line, rule) pairs are built.  In a long list
+    one regex of the texts that the rules need decides whether a block of them is tried at all.
     """
     stored = rules.select(*RULE_COLUMNS).filter("pattern IS NOT NULL AND pattern <> ''").collect()
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -9,7 +10,9 @@ from linewell.functions import (
     Term, expand_tabs, first_span, last_span, match_spans, portion, span_count,
     visible_length, word_at,
 )
-from linewell.functions.patterns import any_matches, line_matches, shift_backrefs
+from linewell.functions.patterns import (
+    any_matches, any_of_texts, line_matches, required_text, shift_backrefs,
+)
 
 LINES = [
     "", "plain", "a\tb", "\t\t", "12345678\tx", "x\x00y", "foo bar foo", "baac", "aaaa",
@@ -142,3 +145,37 @@ def test_open_quotes_are_closed(spark):
 def test_bad_arguments(spark):
     with pytest.raises(ValueError):
         Term("x", syntax="wildcard")
+
+
+@pytest.mark.parametrize("pattern, needed", [
+    ("abc", "abc"), ("ab?cde", "cde"), ("ab*c+de", "de"), ("xab{2}c", "xa"), ("xab{0,}?c", "xa"), ("a|b", None), ("(a|b)cd", "cd"),
+    (r"a\.b\dcdef", "cdef"), (r"a\.b", "a.b"), ("[abc]def[^]x]gh", "def"), ("[a[b]]cd", None), (r"\Qa.b\E", None), ("(?i)abc", None),
+    ("(?x) a b c", None), ("a(?:b(c)d)*efg", "efg"), (r"\tabc", None), ("^abc$", "abc"), (".*", None), ("", None), (r"a\\bc", "a\\bc"),
+    ("ab(?=cd)ef", "ab"), ("é+日本", "日本"), (r"[\]a]xyz", "xyz"),
+])
+def test_required_text(pattern, needed):
+    assert required_text(Term(pattern)) == needed
+
+
+def test_required_texts_are_in_every_match(spark):
+    rng = random.Random(4)
+    atoms = ["a", "b", "ab", "x", ".", "a?", "b*", "x+", "[ab]", "[^x]", "(ab|x)", "(?:a)?", r"\.", r"\w", "a{2}", "b{0,1}", "^", "$"]
+    patterns = ["".join(rng.choice(atoms) for _ in range(rng.randrange(1, 6))) for _ in range(150)]
+    lines = ["".join(rng.choice("abx.") for _ in range(rng.randrange(12))) for _ in range(120)]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1)
+    for k in range(0, len(patterns), 50):
+        part = patterns[k:k + 50]
+        hits = df.select("line", *[line_matches("line", p).alias(f"p{i}") for i, p in enumerate(part)]).collect()
+        for i, p in enumerate(part):
+            needed = required_text(Term(p))
+            assert all(needed in r["line"] for r in hits if needed and r[f"p{i}"]), p
+
+
+def test_any_of_texts(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab.(") for _ in range(rng.randrange(3, 8))) for _ in range(30)] + ["x" * 40 + "y"]
+    lines = ["".join(rng.choice("ab.(") for _ in range(rng.randrange(20))) for _ in range(200)] + ["x" * 40 + "y", "x" * 20]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    for r in df.select("line", F.rlike("line", F.lit(any_of_texts(texts))).alias("hit")).collect():
+        assert r["hit"] == any(t[:24] in r["line"] for t in texts)
+    assert any_of_texts(["abc", "abd", "ab"]) == "ab"
