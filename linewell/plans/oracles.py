@@ -358,6 +358,10 @@ SELECT log, file AS doc, row_number() OVER w - 1 AS line_no, 0::BIGINT AS epoch,
 FROM G WINDOW w AS (PARTITION BY log ORDER BY phase, CAST(file AS BIGINT), line_no)""",
     "follow_epochs": FOLLOWED,
     "follow_upserted": FOLLOWED,
+    "follow_view": LOGS + f"""
+SELECT log, file AS doc, CASE WHEN log % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS epoch,
+  CASE WHEN log % 2 = 1 AND line_no % 10 = 0 THEN 'MARK' ELSE 'MATCH' END AS item_type, line
+FROM G WHERE CASE WHEN log % 2 = 1 THEN line_no % 10 = 0 OR {HIT} ELSE phase = 0 AND {HIT} END""",
     "search_watched": LINES + f" SELECT file, line_no, line FROM L WHERE {HIT}",
     "search_progress": LINES + f"""
 SELECT true AS several, true AS grew, count(*) AS n_lines, count(*) FILTER (WHERE {HIT}) AS n_matches,

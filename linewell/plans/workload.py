@@ -745,6 +745,26 @@ def follow_epochs(spark, sf_dir):
     return untag(now).select(_log_of("file").alias("log"), "doc", "epoch", "terminated", "line")
 
 
+@job
+def follow_view(spark, sf_dir):
+    """Matches and marks of logs that grew, and of which every other was then cut back and lost its marks.
+
+    Every tenth line of a document is marked before it arrives.
+    """
+    folder, out, checkpoint, marks = (fresh_path(spark, x) for x in ("logs", "view", "checkpoint", "marks"))
+    lines = _log_lines(spark, sf_dir)
+    start = lines.filter("phase = 0")
+    for part, truncated in ((start, False), (lines, False), (start.filter("log % 2 = 0"), True)):
+        _write_logs(part, folder, closed=True)
+        if not truncated:
+            placed = src.scan_lines(spark, folder, "UTF-8", positions=True)
+            placed.filter(F.split("line", r"\|", 3)[1].cast("bigint") % 10 == 0).select(
+                "file", F.lit(0).cast("bigint").alias("epoch"), "byte_start").write.mode("append").parquet(marks)
+        writer = st.follow_view(st.follow(spark, folder), PATTERN, marks, out)
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return untag(st.view_of(spark, out)).select(_log_of("file").alias("log"), "doc", "epoch", "item_type", "line")
+
+
 @job
 def follow_upserted(spark, sf_dir):
     """The lines of ``follow_epochs``, kept current batch by batch."""

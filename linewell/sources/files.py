@@ -8,7 +8,9 @@ text into a shuffle, and the lines themselves are never shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -121,17 +123,23 @@ def scan_lines(
     # Files whose lines end in a single LF byte are one scan, whatever their encodings.
     text = F.when(F.col("reader_encoding") == "UTF-8", decode_column(spark, F.col("raw"), "UTF-8")).otherwise(
         decode_column(spark, F.col("raw"), "ISO-8859-1"))
-    numbered = number_lines(raw, positions=positions)
-    out = _kept(_with_line(numbered.join(guesses, "file"), text).filter(
+    numbered = number_lines(raw, positions=positions, facts=guesses)
+    out = _kept(_with_line(numbered, text).filter(
         F.col("reader_encoding").isin("UTF-8", "ISO-8859-1")), positions)
     for wide in ("UTF-16LE", "UTF-16BE"):
-        chosen = guesses.filter(F.col("reader_encoding") == wide)
-        if chosen.head(1):
-            own = number_lines(raw_lines(spark, paths, wide, missing_ok), wide, positions)
-            out = out.unionByName(_kept(decode_lines(own.join(chosen, "file", "left_semi"), wide), positions))
+        if files := _files_read_as(guesses, wide):
+            own = number_lines(raw_lines(spark, files, wide), wide, positions)
+            out = out.unionByName(_kept(decode_lines(own, wide), positions))
     return out
 
 
+def _files_read_as(guesses: DataFrame, encoding: str) -> list[str]:
+    """Paths of the files of one reader encoding, to be read again; named one by one, as paths are."""
+    chosen = guesses.filter(F.col("reader_encoding") == encoding).select("file")
+    # From the URI back to a path whose special characters stand for themselves.
+    return [re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(r["file"])) for r in chosen.collect()]
+
+
 def _scan_as(spark, paths, encoding, missing_ok, positions) -> DataFrame:
     df = raw_lines(spark, paths, encoding, missing_ok)
     df = number_lines(df, encoding=encoding, positions=positions)
@@ -162,7 +170,7 @@ def split_summary(df: DataFrame, encoding: str = "UTF-8") -> DataFrame:
 
 
 def number_lines(
-    df: DataFrame, encoding: str = "UTF-8", positions: bool = False
+    df: DataFrame, encoding: str = "UTF-8", positions: bool = False, facts: DataFrame | None = None
 ) -> DataFrame:
     """Add ``line_no`` (0-based) and ``display_no`` (1-based) per file to ``raw_lines``.
 
@@ -171,12 +179,14 @@ def number_lines(
     computed here, once; should the files be split differently afterwards, the
     job fails instead of losing or misnumbering lines.  ``positions`` adds
     byte_start, byte_end (past the LF) and terminated; compressed files have none
-    of them and fail the job.
+    of them and fail the job.  ``facts`` has a row for each file, whose other columns
+    reach the lines along with their split's offset.
     """
     separator = separator_bytes(encoding)
     # Written and read again: computed once, and of a size Spark knows when it picks the join.
     path = fresh_path(df.sparkSession, "splits")
-    split_summary(df, encoding).write.parquet(path)
+    summary = split_summary(df, encoding)
+    (summary.join(facts, "file", "left") if facts is not None else summary).write.parquet(path)
     offsets = df.sparkSession.read.parquet(path)
     body = _with_split_offset(df, separator) if positions else df
     inside = F.col("_row") - F.col("_first")
@@ -287,8 +297,8 @@ def file_info(spark: SparkSession, paths: str | Iterable[str], mode: str = "stri
     known = stored.filter(~F.startswith("reader_encoding", F.lit("UTF-16")))
     for wide in ("UTF-16LE", "UTF-16BE"):
         chosen = stored.filter(F.col("reader_encoding") == wide)
-        if chosen.head(1):
-            own = number_lines(raw_lines(spark, paths, wide), wide).join(chosen.select("file"), "file", "left_semi")
+        if files := _files_read_as(stored, wide):
+            own = number_lines(raw_lines(spark, files, wide), wide)
             counts = decode_lines(own, wide).groupBy("file").agg(
                 F.count("*").alias("n_lines"), F.max(visible_length("line")).alias("max_length"))
             known = known.unionByName(chosen.drop("n_lines", "max_length").join(counts, "file"))

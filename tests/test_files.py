@@ -1,4 +1,5 @@
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -346,3 +347,24 @@ def test_a_failed_export_leaves_nothing_and_a_repeated_task_no_second_file(spark
     other = TextWriter(str(tmp_path / "u"), str(tmp_path / "u.partial"))
     other.abort([other.write(iter([batch])), None])
     assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_guesses_reach_lines_by_split_and_only_wide_files_are_read_again(spark, tmp_path):
+    names = ["plain [1].log", "wi?de {2}*.log", "big%20 \\3.log", "latin.log"]
+    texts = {"plain [1].log": "é plain\nline".encode(), "wi?de {2}*.log": "﻿wide ö\nline\n".encode("utf-16-le"),
+             "big%20 \\3.log": "﻿big ü\nline".encode("utf-16-be"), "latin.log": "caf\xe9\n".encode("latin-1")}
+    for name in names:
+        (tmp_path / name).write_bytes(texts[name])
+    lines = scan_lines(spark, str(tmp_path), positions=True)
+    got = sorted((r["line_no"], r["line"], r["terminated"]) for r in lines.collect())
+    assert got == sorted([(0, "é plain", True), (1, "line", False), (0, "wide ö", True), (1, "line", True),
+                          (0, "big ü", True), (1, "line", False), (0, "café", True)])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = scan_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert not re.search(r"hashpartitioning\(file#\d+, \d+\)", plan.replace("coalesce", ""))
+    info = {r["file"].rsplit("/", 1)[-1]: (r["n_lines"], r["reader_encoding"]) for r in file_info(spark, str(tmp_path)).collect()}
+    assert sorted(info.values()) == [(1, "ISO-8859-1"), (2, "UTF-16BE"), (2, "UTF-16LE"), (2, "UTF-8")]
