@@ -411,3 +411,16 @@ def test_line_dedup_can_keep_the_first(spark):
     assert got.agg(F.sum("n_dropped")).first()[0] == 19
     bitmaps = line_dedup.keep_bitmaps(table(spark, rows), keep_first=True)
     assert bitmaps.count() == 19 and bitmaps.first()["dropped"] == {0: 1}
+
+
+@pytest.mark.parametrize("passage", [85, 200])
+def test_long_passages_are_found(spark, passage):
+    rng = random.Random(passage)
+    rows = []
+    for k in range(40):
+        base = prose(rng, passage + 1, 5000)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:-1]))]
+    got = {r["id"] for r in substring.passages(table(spark, rows), passage=passage).collect()}
+    assert got == set(range(80))
+    with pytest.raises(ValueError, match="4096"):
+        substring.passages(table(spark, rows), passage=5000)
