@@ -23,14 +23,17 @@ from linewell.llm._words import text_chunks
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|svg|math|textarea|select|iframe|object|canvas|video|audio)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[<\"'])*?)>"
+    r"|<(script|style|noscript|template|title|svg|annotation|textarea|select|iframe|object|canvas|video|audio)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    # Attributes with closed quotes up to a >, else whatever comes before the next > or the end: each read once.
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+>?", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr br input button".split())
+    "span strike strong sub sup time tt u var wbr br input button "
+    "math mfrac mi mn mo mover mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+    "munderover semantics".split())
 _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
            "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset(
@@ -86,6 +89,12 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
         opened[tag] -= 1
         stack.pop()
 
+    def open_inline(name):
+        """Is an element of the name open inside the block at hand?"""
+        for x in reversed(stack):
+            if x[0] == name or x[0] not in _INLINE:
+                return x[0] == name
+
     def add(text):
         if text:
             block.parts.append(text)
@@ -111,7 +120,7 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
                     flush()
                     pop_to(pop_to_inline)
                     flush()
-                elif stack[-1][0] == name or name in (x[0] for x in stack[-8:]):
+                elif open_inline(name):
                     kept = []
                     while stack[-1][0] != name:
                         if stack[-1][0] not in _INLINE:
@@ -120,7 +129,8 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
                     if stack[-1][0] == name:
                         opened[name] -= 1
                         stack.pop()
-                    stack.extend(reversed(kept))
+                    for x in reversed(kept):  # they go on, without the link that ends here
+                        stack.append((x[0], stack[-1][1] or x[0] == "a", *x[2:]))
             elif name not in _INLINE:
                 flush()
             continue
@@ -134,7 +144,7 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
             closes = _CLOSES.get(name, set())
             if name in _ENDS_P and opened.get("p"):
                 closes = closes | {"p"}
-            for k in range(len(stack) - 1, max(0, len(stack) - 12), -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened.get(c) for c in closes) else ():
                 if stack[k][0] in closes:
                     pop_to(stack[k][0])
                     break

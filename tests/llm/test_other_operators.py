@@ -413,3 +413,21 @@ def test_every_stage_takes_odd_documents(spark):
             out = stage(spark, docs, "/root/testdata/sf0.001")
             assert out.columns == docs.columns
             assert out.count() <= 2 * len(data)
+
+
+def test_pages_that_break_off_and_formulas(spark):
+    import time
+
+    begin = time.perf_counter()
+    for n in (30, 200, 20_000):
+        for tail in ('<a ' + 'x="' * n, "<p title='" + "\"'" * n, "<" * n + '<b "' * n):
+            blocks = html_extract.blocks_of("<p>some words stay</p>" + tail)
+            assert [text for text, _ in blocks][:1] == ["some words stay"]
+    assert time.perf_counter() - begin < 5
+    text = lambda page: [t for t, _ in html_extract.blocks_of(page)]
+    assert text('<p>mass <math><mi>m</mi><mo>=</mo><msup><mi>c</mi><mn>2</mn></msup></math> here</p>') == ["mass m=c2 here"]
+    assert text('<p title="a > b">x</p><p data-html="<b>y</b>">z</p><a title="open>w</a>') == ["x", "z", "w"]
+    deep = '<p><a href="#">' + "<font>" * 30 + "linked</a> free</p><p class=notice>" + "<b>" * 30 + "note<p>plain text"
+    found = html_extract.blocks_of(deep)
+    assert [t for t, _ in found] == ["linked free", "note", "plain text"]
+    assert found[0][1].linked == len("linked") and found[1][1].region and not found[2][1].region
