@@ -78,15 +78,27 @@ def _places(text: bytes, piece: bytes) -> Iterator[int]:
         at = text.find(piece, at + 1)
 
 
+def _hits(pattern: regex.Pattern, text: bytes, a: int, b: int, least: int) -> Iterator[regex.Match]:
+    """The best hit in text[a:b], then those before and behind it, at least ``least`` bytes each."""
+    waiting = [(a, b)]
+    while waiting:
+        a, b = waiting.pop()
+        hit = pattern.search(text, a, b) if b - a >= least else None
+        if hit and hit.end() > hit.start():
+            yield hit
+            waiting += [(a, hit.start()), (hit.end(), b)]
+
+
 def scan_text(text: bytes) -> tuple[int, list[dict]]:
     """The number of words and all notices of one text, in order of their start."""
     plain, origin = words_only(text)
     n_words = len(plain.split())
+    gaps = np.flatnonzero(np.frombuffer(plain, dtype=np.uint8) == 32)
     found = []
 
     def add(label, start, end, errors, score, base):
         found.append({
-            "label": label, "start_word": plain.count(b" ", 0, start), "start_byte": int(origin[start]),
+            "label": label, "start_word": int(np.searchsorted(gaps, start)), "start_byte": int(origin[start]),
             "end_byte": int(origin[end - 1]) + 1, "errors": errors, "score": score, "base": base})
 
     for phrase, label in PHRASES.items():
@@ -106,7 +118,7 @@ def scan_text(text: bytes) -> tuple[int, list[dict]]:
             else:
                 regions.append([a, b])
         for a, b in regions:
-            for hit in _FUZZY[notice].finditer(plain, a, min(b, len(plain))):
+            for hit in _hits(_FUZZY[notice], plain, a, min(b, len(plain)), len(notice) - most):
                 start, end = hit.span()
                 while start < end and plain[start] == 32:
                     start += 1

@@ -431,3 +431,13 @@ def test_pages_that_break_off_and_formulas(spark):
     found = html_extract.blocks_of(deep)
     assert [t for t, _ in found] == ["linked free", "note", "plain text"]
     assert found[0][1].linked == len("linked") and found[1][1].region and not found[2][1].region
+
+
+def test_a_notice_in_front_of_a_better_one_is_found():
+    good = b"licensed under the apache license version 2 0"
+    bad = good.replace(b"under", b"undr")
+    for text, spans in ((bad + b" and " + good, 2), (good + b" and " + bad, 2), (bad + b" x " + good + b" y " + bad, 3)):
+        found = [f for f in licenses.scan_text(text)[1] if not f["base"] and f["label"] == "apache-2.0"] or [
+            f for f in licenses.scan_text(text)[1] if not f["base"]]
+        assert len({f["start_byte"] for f in found}) >= spans
+        assert all(f["start_word"] == text[:f["start_byte"]].count(b" ") for f in found)
