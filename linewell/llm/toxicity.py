@@ -3,30 +3,29 @@
 Features of a whole text: its words, word pairs, triples, and pairs with one word
 between, hashed to 2^19 places, each present or not.  Every coordinate has its own
 learning rate, and L1 keeps most weights at zero, so the weights are a small array
-of fixed size that every task can hold.  Replicas train on slices in parallel; after
-a slice their changes of state are added up.
+of fixed size that every task can hold.  One learner, a task an epoch, reads the bounded
+training rows in a fixed order: replicas whose changes are added or averaged score
+worse (README).  Scoring, which grows with the documents, runs in all tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewell.llm._common import map_arrow
+from linewell.llm._common import map_arrow, stored
 from linewell.llm._words import U, mix, text_chunks, words
-from linewell.sources.shared import fresh_path
 
 BITS = 19
 #: L1 grows with the square root of the number of training rows, as the noise of a gradient sum does.
 ALPHA, BETA, L1_RATE, L2 = 1.0, 1.0, 0.07, 0.1
 #: Labelled rows used at most, chosen by a hash of the id.
 TRAINING_ROWS = 40_000
-SLICES, REPLICAS, EPOCHS = 3, 4, 3
+EPOCHS = 3
 _BIAS = 1 << BITS  # one place more than the features have
 
 
@@ -58,11 +57,10 @@ def _weights(z: np.ndarray, n: np.ndarray, bias: np.ndarray | bool, l1: float) -
 
 
 def _train(batches: Iterator[pa.RecordBatch], z: np.ndarray, n: np.ndarray, l1: float) -> Iterator[pa.RecordBatch]:
-    """One replica: FTRL over its rows in order; the change of its state comes out as two arrays."""
-    z0, n0, z, n, replica = z, n, z.astype(float), n.astype(float), -1
+    """One epoch of FTRL over the rows in order; the state comes out as two arrays."""
+    z, n = z.copy(), n.copy()
     for batch in batches:
         for part in text_chunks(batch, "text"):
-            replica = part.column("replica")[0].as_py()
             of, places = features(part.column("text"))
             order = np.argsort(of, kind="stable")
             ends = np.searchsorted(of[order], np.arange(part.num_rows + 1))
@@ -73,25 +71,22 @@ def _train(batches: Iterator[pa.RecordBatch], z: np.ndarray, n: np.ndarray, l1:
                 root = np.sqrt(n[at])
                 z[at] += g - (np.sqrt(n[at] + g * g) - root) / ALPHA * w
                 n[at] += g * g
-    changed = [(z - z0).astype(np.float32).tobytes(), (n - n0).astype(np.float32).tobytes()]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([replica], pa.int32()), *[pa.array([c], pa.binary()) for c in changed]], names=["replica", "z", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (z, n)], names=["z", "n"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   label: str = "toxic", most: int = TRAINING_ROWS) -> DataFrame:
-    """``text, label, slice, replica``: at most ``most`` labelled ids outside the held-out fold.
+    """``text, label, at``: at most ``most`` labelled ids outside the held-out fold, a row each, to be read by ``at``.
 
     An id with several labels counts as toxic if one says so; null labels are left out.
+    Of an id with several texts the one of the least hash is taken, so the bound is one of rows.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(
         F.col(doc_id).alias("_id")).agg(F.max(F.col(label)).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    mixed = F.xxhash64("_id", F.lit("fold"))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
-    return rows.select("text", "label", F.pmod(mixed, F.lit(SLICES)).cast("int").alias("slice"),
-                       F.pmod(F.shiftright(mixed, 20), F.lit(REPLICAS)).cast("int").alias("replica"),
-                       F.xxhash64("_id").alias("at"))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").groupBy(
+        "_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"), F.max("label").alias("label"))
+    return rows.select("text", "label", F.xxhash64("_id").alias("at"))
 
 
 #: Places of non-zero weights, the weights, and the bias.
@@ -101,37 +96,22 @@ Model = tuple[np.ndarray, np.ndarray, float]
 def fit(rows: DataFrame) -> Model | None:
     """The trained model; None without rows."""
     spark = rows.sparkSession
-    path = fresh_path(spark, "toxicity-training")
-    rows.repartition("slice", "replica").sortWithinPartitions("slice", "replica", "at").select(
-        "text", "label", "replica", F.col("slice").alias("s"), F.col("replica").alias("r"),
-    ).write.partitionBy("s", "r").parquet(path)
-    schema = "text string, label int, replica int, s int, r int"
-    stored = spark.read.schema(schema).parquet(path)
-    parts = {(row["s"], row["r"]): row["k"] for row in stored.groupBy("s", "r").agg(F.count("*").alias("k")).collect()}
-    if not parts:
+    stored_rows = stored(rows, "toxicity-training")
+    count = stored_rows.count()
+    if not count:
         return None
-    l1 = L1_RATE * sum(parts.values()) ** 0.5
-    z, n = np.zeros(_BIAS + 1, np.float32), np.zeros(_BIAS + 1, np.float32)
+    l1 = L1_RATE * count ** 0.5
+    z, n = np.zeros(_BIAS + 1), np.zeros(_BIAS + 1)
     for _ in range(EPOCHS):
-        for k in range(SLICES):
-            replicas = [spark.read.schema("text string, label int, replica int").parquet(f"{path}/s={k}/r={r}").coalesce(1)
-                        for r in range(REPLICAS) if (k, r) in parts]
-            if not replicas:
-                continue
-            state = spark.sparkContext.broadcast((z, n, l1))
-            moves = map_arrow(reduce(DataFrame.union, replicas), lambda it, s=state: _train(it, *s.value),
-                              "replica int, z binary, n binary").toArrow().sort_by("replica")
-            state.destroy()
-            # Features move in few replicas: the sum of their changes counts.  The bias moves in all alike: the mean.
-            z, n = z.copy(), n.copy()
-            for total, column in ((z, "z"), (n, "n")):
-                for change in moves[column]:
-                    change = np.frombuffer(change.as_buffer(), dtype=np.float32)
-                    total[:_BIAS] += change[:_BIAS]
-                    total[_BIAS] += change[_BIAS] / len(moves)
-            del moves
+        state = spark.sparkContext.broadcast((z, n, l1))
+        in_order = stored_rows.coalesce(1).sortWithinPartitions("at").select("text", "label")
+        moved = map_arrow(in_order, lambda it, s=state: _train(it, *s.value), "z binary, n binary").toArrow()
+        state.destroy()
+        if len(moved) != 1:
+            raise RuntimeError(f"one learner was to return its state, {len(moved)} did")
+        z, n = (np.frombuffer(moved[c][0].as_buffer()) for c in ("z", "n"))
     bias = np.arange(_BIAS + 1) == _BIAS
-    weights = _weights(z.astype(float), n.astype(float), bias, l1)
+    weights = _weights(z, n, bias, l1)
     places = np.flatnonzero(weights[:_BIAS])
     return places.astype(np.int32), weights[places], float(weights[_BIAS])
 
