@@ -4,7 +4,7 @@ Features of a whole text: its words, word pairs, triples, and pairs with one wor
 between, hashed to 2^19 places, each present or not.  Every coordinate has its own
 learning rate, and L1 keeps most weights at zero, so the weights are a small array
 of fixed size that every task can hold.  One learner, a task an epoch, reads the bounded
-training rows in a fixed order: replicas whose changes are added or averaged score
+training rows, in another fixed order each epoch: replicas whose changes are added or averaged score
 worse (README).  Scoring, which grows with the documents, runs in all tasks.
 """
 
@@ -25,7 +25,7 @@ BITS = 19
 ALPHA, BETA, L1_RATE, L2 = 1.0, 1.0, 0.07, 0.1
 #: Labelled rows used at most, chosen by a hash of the id.
 TRAINING_ROWS = 40_000
-EPOCHS = 3
+EPOCHS = 4
 _BIAS = 1 << BITS  # one place more than the features have
 
 
@@ -76,7 +76,7 @@ def _train(batches: Iterator[pa.RecordBatch], z: np.ndarray, n: np.ndarray, l1:
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   label: str = "toxic", most: int = TRAINING_ROWS) -> DataFrame:
-    """``text, label, at``: at most ``most`` labelled ids outside the held-out fold, a row each, to be read by ``at``.
+    """``text, label, at``: at most ``most`` labelled ids outside the held-out fold, a row each.
 
     An id with several labels counts as toxic if one says so; null labels are left out.
     Of an id with several texts the one of the least hash is taken, so the bound is one of rows.
@@ -93,6 +93,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 Model = tuple[np.ndarray, np.ndarray, float]
 
 
+def in_order(rows: DataFrame, epoch: int) -> DataFrame:
+    """The training rows in one partition, in the order of an epoch."""
+    return rows.coalesce(1).sortWithinPartitions(F.xxhash64("at", F.lit(epoch)), "at").select("text", "label")
+
+
 def fit(rows: DataFrame) -> Model | None:
     """The trained model; None without rows."""
     spark = rows.sparkSession
@@ -102,10 +107,9 @@ def fit(rows: DataFrame) -> Model | None:
         return None
     l1 = L1_RATE * count ** 0.5
     z, n = np.zeros(_BIAS + 1), np.zeros(_BIAS + 1)
-    for _ in range(EPOCHS):
+    for epoch in range(EPOCHS):
         state = spark.sparkContext.broadcast((z, n, l1))
-        in_order = stored_rows.coalesce(1).sortWithinPartitions("at").select("text", "label")
-        moved = map_arrow(in_order, lambda it, s=state: _train(it, *s.value), "z binary, n binary").toArrow()
+        moved = map_arrow(in_order(stored_rows, epoch), lambda it, s=state: _train(it, *s.value), "z binary, n binary").toArrow()
         state.destroy()
         if len(moved) != 1:
             raise RuntimeError(f"one learner was to return its state, {len(moved)} did")
