@@ -7,7 +7,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -222,43 +221,6 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert clean.count() == sum(r["score"] < 0.5 for r in got)
 
 
-def test_weights_equal_plain_ftrl(spark):
-    rows, labels = toxic_corpus(300)
-    rows += [(k, f"another text of one id {k}", "s") for k in (0, 0, 6)]
-    training = toxicity.training_rows(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), most=200)
-    seen = sorted(((r["at"], r["text"], r["label"]) for r in training.collect()))
-    assert len(seen) == len({at for at, _, _ in seen}) == 200
-    z, n, l1 = defaultdict(float), defaultdict(float), toxicity.L1_RATE * 200 ** 0.5
-
-    def weight(i):
-        first = 0.0 if i == "bias" else l1
-        if abs(z[i]) <= first:
-            return 0.0
-        return -(z[i] - math.copysign(first, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
-
-    for _ in range(toxicity.EPOCHS):
-        for _, text, label in seen:
-            at = {*toxicity.features(pa.array([text]))[1].tolist(), "bias"}
-            w = {i: weight(i) for i in at}
-            g = 1 / (1 + math.exp(-sum(w.values()))) - label
-            for i in at:
-                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
-                n[i] += g * g
-    places, weights, bias = toxicity.fit(training)
-    want = {i: weight(i) for i in z if i != "bias" and weight(i)}
-    assert dict(zip(places.tolist(), weights.tolist(), strict=True)) == pytest.approx(want) and want
-    assert bias == pytest.approx(weight("bias"))
-
-
-def test_toxicity_of_a_very_long_text(spark):
-    rows, labels = toxic_corpus(300)
-    long = "w1 w2 w3 w4 w5 " * 200_000
-    got = {r["id"]: r["score"] for r in toxicity.score(
-        docs_of(spark, rows + [(7001, long, "s"), (7002, long + "vile nasty awful vile nasty", "s")]),
-        spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
-    assert got[7001] < got[7002]
-
-
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r["score"] for r in toxicity.score(docs_of(spark, [(1, "a", "s")]), none).collect()] == [0.0]
