@@ -2,7 +2,8 @@
 
 For every benchmark item, windows of its size slide over each whole text.  Windows that
 hold no shingle of an item of their size cannot be similar and are passed over.
-The others get a 128-bit SimHash of their weighted shingles.  An index of the items'
+The others get a 128-bit SimHash whose shingles count by the square root of their weight, so that
+its angle follows the weighted similarity also where many items share a long template.  An index of the items'
 fingerprints in 8 blocks of 16 bits finds every item within 31 bits: of 8 blocks one
 differs in at most 3 bits, and the index lists all values that near.  Candidates are
 verified by their exact weighted similarity.  A shingle's weight follows from the number
@@ -32,6 +33,11 @@ _UNIT = 840  # weight of a shingle that one item holds
 _NEAR = np.array([sum(1 << b for b in bits) for k in range(RADIUS // 8 + 1) for bits in combinations(range(16), k)], dtype=np.int64)
 
 
+def _roots(weights: np.ndarray) -> np.ndarray:
+    """Square roots in 64ths: whole numbers, so that running sums are exact."""
+    return np.rint(64 * np.sqrt(weights)).astype(np.int64)
+
+
 def _sums(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Running sums of +weight or -weight for each of 128 hash bits; one row more than hashes."""
     both = np.stack([hashes, mix(hashes + U(0x5851F42D))], axis=1).view(np.uint8)
@@ -64,13 +70,14 @@ class Items:
         self.known, own = np.unique(every, return_counts=True)
         self.shared, held = (self.known[own > 1], own[own > 1]) if shared is None else (shared, held)
         self.weight = np.maximum(1, _UNIT // held).astype(np.int64)
+        self.root = _roots(self.weight)
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.known >> U(44)).astype(np.int64)] = True
         self.held_by: dict[int, set[int]] = {}  # shingle number: sizes of the items that hold it
         for p in self.parts:
             for s in np.searchsorted(self.known, p).tolist():
                 self.held_by.setdefault(s, set()).add(len(p))
-        prints = [_fingerprints(_sums(p, self.weights(p))[-1:])[0] for p in self.parts]
+        prints = [_fingerprints(_sums(p, self.roots(p))[-1:])[0] for p in self.parts]
         self.prints = np.array(prints, dtype=np.uint16).reshape(-1, 8)
         self.index = []
         for b in range(8):
@@ -79,12 +86,19 @@ class Items:
             starts = np.searchsorted(values[order], np.arange((1 << 16) + 1))
             self.index.append((starts, (order // len(_NEAR)).astype(np.int32)))
 
-    def weights(self, hashes: np.ndarray) -> np.ndarray:
-        """A shingle weighs less the more items hold it; one that none holds weighs as if one did."""
+    def _of(self, hashes: np.ndarray, values: np.ndarray, else_: int) -> np.ndarray:
         if not len(self.shared):
-            return np.full(len(hashes), _UNIT, dtype=np.int64)
+            return np.full(len(hashes), else_, dtype=np.int64)
         at = np.minimum(np.searchsorted(self.shared, hashes), len(self.shared) - 1)
-        return np.where(self.shared[at] == hashes, self.weight[at], _UNIT)
+        return np.where(self.shared[at] == hashes, values[at], else_)
+
+    def weights(self, hashes: np.ndarray) -> np.ndarray:
+        """A shingle weighs less the more items hold it; one that none holds weighs as if one did."""
+        return self._of(hashes, self.weight, _UNIT)
+
+    def roots(self, hashes: np.ndarray) -> np.ndarray:
+        """What a shingle adds to a fingerprint's sums."""
+        return self._of(hashes, self.root, int(_roots(np.array([_UNIT]))[0]))
 
     def near(self, prints: np.ndarray) -> np.ndarray:
         """(window, item) pairs whose fingerprints differ in at most RADIUS bits."""
@@ -140,7 +154,7 @@ class Items:
                     groups = [part]
                 for group in groups:
                     low, high = int(group[0]), int(group[-1]) + n
-                    sums = _sums(hashes[low:high], self.weights(hashes[low:high]))
+                    sums = _sums(hashes[low:high], self.roots(hashes[low:high]))
                     prints = _fingerprints(sums[group - low + n] - sums[group - low])
                     for w, item in self.near(prints):
                         if self.sizes[item] == n:

@@ -294,6 +294,32 @@ def test_weights_count_the_items_of_all_blocks(spark, monkeypatch):
         assert sorted(str(r["doc_id"]) for r in decontaminate.without_matches(table(spark, docs), bench).collect()) == clean
 
 
+@pytest.mark.parametrize(("template", "unique"), [(2500, 8), (2500, 6), (1500, 20), (0, 40)])
+def test_recall_at_the_threshold_with_a_shared_template(template, unique):
+    rng = random.Random(3)
+    begin = [f"t{rng.randrange(10**9)}" for _ in range(template)]
+    texts = [begin + [f"u{rng.randrange(10**9)}" for _ in range(unique)] for _ in range(200)]
+    items = decontaminate.Items(list(range(200)), [" ".join(t) for t in texts])
+    similar = found = 0
+    for k, text in enumerate(texts):
+        edited = list(text)
+        edited[rng.randrange(template, template + unique)] = f"x{rng.randrange(10**9)}"
+        hashes, _ = shingles(*words(pa.array([" ".join(edited)])), 5)
+        if 0.8 <= items.similarity(hashes, items.parts[k]) < 0.9:
+            similar += 1
+            found += any(m[0] == k for m in items.matches(hashes, 0.8))
+    assert similar >= 15 and found >= 0.99 * similar
+
+
+def test_a_very_long_text_is_searched_to_its_end(spark):
+    rng = random.Random(12)
+    item = " ".join(prose(rng, 40, 5000))
+    long = " ".join(prose(rng, 300_000, 5000))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.matches(table(spark, [(1, f"{long} {item}"), (2, long)]), bench).collect()
+    assert [(r["id"], r["start_word"], r["similarity"]) for r in got] == [(1, 300_000, 1.0)]
+
+
 def test_hamming_index_finds_all_within_the_radius():
     rng = np.random.default_rng(2)
     items = decontaminate.Items(list(range(30)), [" ".join(prose(random.Random(k), 20)) for k in range(30)])
