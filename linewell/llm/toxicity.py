@@ -3,8 +3,9 @@
 Features of a whole text: its words, word pairs, triples, and pairs with one word
 between, hashed to 2^19 places, each present or not.  Every coordinate has its own
 learning rate, and L1 keeps most weights at zero, so the weights are a small array
-of fixed size that every task can hold.  Replicas train on slices in parallel; after
-a slice their changes of state are added up.
+of fixed size that every task can hold.  Training reads a bounded number of labelled
+ids in order, one task a slice: learners in tasks of their own, their changes added or
+averaged, scored worse (README).  Scoring, which grows with the documents, runs in all tasks.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def _weights(z: np.ndarray, n: np.ndarray, bias: np.ndarray | bool, l1: float) -
 
 
 def _train(batches: Iterator[pa.RecordBatch], z: np.ndarray, n: np.ndarray, l1: float) -> Iterator[pa.RecordBatch]:
-    """One replica: FTRL over its rows in order; the change of its state comes out as two arrays."""
+    """FTRL over the rows of a task in order; the change of the state comes out as two arrays."""
     z0, n0, z, n, replica = z, n, z.astype(float), n.astype(float), -1
     for batch in batches:
         for part in text_chunks(batch, "text"):
@@ -122,7 +123,7 @@ def fit(rows: DataFrame) -> Model | None:
             moves = map_arrow(reduce(DataFrame.union, replicas), lambda it, s=state: _train(it, *s.value),
                               "replica int, z binary, n binary").toArrow().sort_by("replica")
             state.destroy()
-            # Features move in few replicas: the sum of their changes counts.  The bias moves in all alike: the mean.
+            # One task read the slice, so there is one change; of several, features would be added and the bias averaged.
             z, n = z.copy(), n.copy()
             for total, column in ((z, "z"), (n, "n")):
                 for change in moves[column]:
