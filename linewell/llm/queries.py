@@ -129,16 +129,16 @@ _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLES = {
     "op6_top_k": """
-        WITH v AS (
-            SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS n, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
             FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            WHERE embedding IS NOT NULL
               AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
         pairs AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+            SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.n <> q.n),
         ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs)
+            SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NULLS LAST) AS r FROM pairs)
         SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5""",
     "op8_line_dedup": f"""
         WITH docs AS (

@@ -50,48 +50,50 @@ def _with_table(batches: Iterator[pa.RecordBatch], pivots: list[list[int]]) -> I
         x, p = _matrix(rows, width).astype(float), _matrix(pivots, width).astype(float)
         square = np.maximum(0, (x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * (x @ p.T))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("v"), pa.array(list(np.sqrt(square)), pa.list_(pa.float64()))],
-            names=["id", "v", "table"])
+            [*(batch.column(c) for c in ("row", "id", "asks", "v")),
+             pa.array(list(np.sqrt(square)), pa.list_(pa.float64()))],
+            names=["row", "id", "asks", "v", "table"])
 
 
-def _best(q: np.ndarray, q_table: np.ndarray, q_id, x: np.ndarray, table: np.ndarray, square: np.ndarray,
-          ids: np.ndarray, top: int) -> list[tuple[int, int]]:
-    """(score, id) of the best candidates of one query, in order."""
+def _best(q: np.ndarray, q_table: np.ndarray, own: int, x: np.ndarray, table: np.ndarray, square: np.ndarray,
+          rows: np.ndarray, ids: list[int | None], top: int) -> list[tuple[int, int | None]]:
+    """(score, id) of the best candidates of the query that is row ``own``, in order; null ids come last among ties."""
     apart = np.abs(table - q_table).max(axis=1) if table.shape[1] else np.zeros(len(x))
     bound = (square + float((q * q).sum()) - apart * apart) / 2
     bound += 1e-9 * (square + float((q * q).sum())) + 1e-3  # rounding of the table
     order = np.argsort(-bound, kind="stable")
-    found: list[tuple[int, int]] = []
+    found: list[tuple[int, bool, int]] = []
     at, step = 0, 64
     while at < len(order) and not (len(found) == top and -found[-1][0] > bound[order[at]]):
         part = order[at:at + step]
         scores = x[part] @ q
         if len(found) == top:
             part, scores = part[scores >= -found[-1][0]], scores[scores >= -found[-1][0]]
-        new = [(-int(s), int(i)) for s, i in zip(scores, ids[part], strict=True) if i != q_id]
+        new = [(-int(s), ids[k] is None, ids[k] or 0)
+               for s, k, r in zip(scores, part, rows[part], strict=True) if r != own]
         found = sorted(found + new)[:top]
         at, step = at + step, min(2 * step, 4096)
-    return [(-s, i) for s, i in found]
+    return [(-s, None if null else i) for s, null, i in found]
 
 
-def _search_block(rows: list[pa.RecordBatch], top: int) -> pa.RecordBatch | None:
-    block = pa.Table.from_batches(rows).to_pydict()
-    asks = [k for k, a in enumerate(block["ask"]) if a]
-    have = [k for k, a in enumerate(block["ask"]) if not a]
+def _search_block(held: list[pa.RecordBatch], top: int) -> pa.RecordBatch | None:
+    block = pa.Table.from_batches(held).to_pydict()
+    asks = [k for k, a in enumerate(block["asks"]) if a]
+    have = [k for k, a in enumerate(block["asks"]) if not a]
     if not asks or not have:
         return None
     width = max(max((len(v) for v in block["v"]), default=1), 1)
     x = _matrix([block["v"][k] for k in have], width)
     table = np.array([block["table"][k] for k in have], dtype=float)
-    ids = np.array([block["id"][k] for k in have], dtype=np.int64)
+    rows, ids = np.array([block["row"][k] for k in have], dtype=np.int64), [block["id"][k] for k in have]
     square = (x.astype(float) ** 2).sum(1)
     out = []
     for k in asks:
         q = _matrix([block["v"][k]], width)[0]
-        found = _best(q, np.array(block["table"][k]), block["id"][k], x, table, square, ids, top)
-        out += [(block["id"][k], block["ask"][k], i, s) for s, i in found]
+        found = _best(q, np.array(block["table"][k]), block["row"][k], x, table, square, rows, ids, top)
+        out += [(block["id"][k], block["row"][k], i, s) for s, i in found]
     return pa.RecordBatch.from_arrays(
-        [pa.array([o[j] for o in out], pa.int64()) for j in range(4)], names=["query_id", "ask", "vec_id", "score"])
+        [pa.array([o[j] for o in out], pa.int64()) for j in range(4)], names=["query_id", "row", "vec_id", "score"])
 
 
 def _search(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
@@ -118,32 +120,30 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
            top: int = TOP, scale: int = SCALE, pivots: int = PIVOTS) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``top`` best candidates of every query row.
 
-    Candidates are all rows of other ids; ties go to the smaller id; fewer candidates
-    give fewer ranks.  Null ids and vectors that are null or hold null or non-finite
-    components take no part; a shorter vector counts as filled up with zeros.  Equal
-    query rows ask once, equal candidate rows are found each.  Scores are exact while
-    they fit 63 bits.  Extra columns are not read; an empty table gives no rows.
-    Pivots are ``pivots`` rows chosen by a hash of the id; the result does not depend on them.
+    Candidates are all rows but the query's own, so rows of one id find each other and
+    repeated rows ask and are found once each.  Ties go to the smaller id, null ids last;
+    fewer candidates give fewer ranks.  A row of null id is no query unless ``is_query``
+    says so.  Vectors that are null or hold null or non-finite components take no part; a
+    shorter vector counts as filled up with zeros.  Scores are exact while they fit 63
+    bits.  Extra columns are not read; an empty table gives no rows.  Pivots are
+    ``pivots`` rows chosen by a hash of the id; the result does not depend on them.
     """
-    rows = vectors.filter(F.col(vec_id).isNotNull() & usable(F.col(vector))).select(
-        F.col(vec_id).cast("long").alias("id"), quantized(F.col(vector), scale).alias("v"),
-        F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = vectors.filter(usable(F.col(vector))).select(
+        F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("id"),
+        F.coalesce(is_query, F.lit(False)).alias("asks"), quantized(F.col(vector), scale).alias("v"))
     chosen = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()]
-    asking = rows.filter("asks").select("id", "v").distinct()
-    with_table = lambda df: map_arrow(
-        df, lambda it: _with_table(it, chosen), "id long, v array<long>, table array<double>")
-    table, asking = checkpointed(with_table(rows.select("id", "v"))), checkpointed(with_table(asking))
-    n, m = table.count(), asking.count()
+    # Row marks are stored with the table, so that both sides below read the same ones.
+    table = checkpointed(map_arrow(
+        rows, lambda it: _with_table(it, chosen), "row long, id long, asks boolean, v array<long>, table array<double>"))
+    n, m = table.count(), table.filter("asks").count()
     x_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
-    block = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # A query row is marked by a hash of its vector, never 0; candidates carry 0.
-    mark = F.when(F.xxhash64("v") == 0, F.lit(1).cast("long")).otherwise(F.xxhash64("v"))
-    have = table.select(every(q_blocks).alias("q_block"), block(x_blocks).alias("x_block"), F.lit(0).cast("long").alias("ask"), "id", "v", "table")
-    ask = asking.select(block(q_blocks).alias("q_block"), every(x_blocks).alias("x_block"), mark.alias("ask"), "id", "v", "table")
+    have = table.select(every(q_blocks).alias("q_block"), block(x_blocks).alias("x_block"), "row", "id", F.lit(False).alias("asks"), "v", "table")
+    ask = table.filter("asks").select(block(q_blocks).alias("q_block"), every(x_blocks).alias("x_block"), "row", "id", "asks", "v", "table")
     parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     placed = have.union(ask).repartition(parts, "q_block", "x_block").sortWithinPartitions("q_block", "x_block")
-    found = map_arrow(placed, lambda it: _search(it, top), "query_id long, ask long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
+    found = map_arrow(placed, lambda it: _search(it, top), "query_id long, row long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(
         "query_id", "rank", "vec_id", "score")
