@@ -25,6 +25,8 @@ from linewell.sources.shared import checkpointed
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 ROUNDS, STEPS, TOLERANCE = 25, 3, 1e-10
+#: Share of a target (and one word at least) that a tilt may miss when the steps end.
+MISSED = 1e-6
 #: Rates are counted in units of 1 / UNIT; documents of one size are rounded in runs of about RUN.
 UNIT, RUN, PHASES = 1 << 30, 1 << 12, 32
 
@@ -65,14 +67,15 @@ def tilts(histogram: DataFrame, goals: DataFrame, most: float = MOST) -> DataFra
     """``goals`` (key, source_size, target) with ``_scale`` and ``_tilt`` (lambda), by Newton steps.
 
     A source whose target is ``most`` times its size has no finite solution; its tilt
-    is null and means the greatest rate.  So has one without words.
+    is null and means the greatest rate.  So has one without words.  A source that the
+    steps leave off its target by more than ``MISSED`` is an error.
     """
     means = histogram.filter("size > 0").groupBy("key").agg(
         (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("_scale"))
     solvable = (F.col("source_size") > 0) & (F.col("target") < most * F.col("source_size")) & (F.col("target") > 0)
     state = goals.filter(solvable).join(means, "key").select(
         "key", "target", "_scale", F.log(F.col("target") / F.col("source_size")).alias("_tilt"),
-        F.lit(-1e4).alias("_low"), F.lit(1e4).alias("_high"), F.lit(1.0).alias("_miss"))
+        F.lit(-1e6).alias("_low"), F.lit(1e6).alias("_high"), F.lit(1.0).alias("_miss"))
     used = histogram.filter("size > 0")
 
     def step(state: DataFrame) -> DataFrame:
@@ -99,6 +102,10 @@ def tilts(histogram: DataFrame, goals: DataFrame, most: float = MOST) -> DataFra
         state = checkpointed(state)
         if (state.agg(F.max("_miss")).first()[0] or 0.0) <= TOLERANCE:
             break
+    else:
+        off = F.col("_miss") > F.greatest(F.lit(MISSED), 1 / F.col("target"))
+        if wrong := state.filter(off).orderBy(F.desc("_miss")).select("key", "_miss").first():
+            raise ArithmeticError(f"the tilt of source {wrong['key']} still misses its target by {wrong['_miss']:.1e} of it")
     return goals.join(state.select("key", "_scale", "_tilt"), "key", "left")
 
 

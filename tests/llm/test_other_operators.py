@@ -86,6 +86,15 @@ def test_rates_tilt_exponentially(spark):
     assert row["=b"]["_tilt"] is None
 
 
+def test_tilts_that_do_not_converge_are_an_error(spark, monkeypatch):
+    histogram = spark.createDataFrame([("=a", s, 10) for s in (1, 5, 20, 100)], "key string, size long, n long")
+    goals = spark.createDataFrame([("=a", 1260, 504.0)], "key string, source_size long, target double")
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(ArithmeticError, match="=a"):
+        mixing.tilts(histogram, goals)
+
+
 def test_rows_of_one_id_are_rounded_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RUN", 64)  # rows of one id in several runs
     rng = random.Random(5)
@@ -231,14 +240,20 @@ def test_toxicity_without_labels_or_rows(spark):
 
 
 def expected_top(rows, is_query, top=5):
-    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
-          if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    asks = {(i, tuple(v)) for i, v in ok if is_query(i)}
+    ok = [(n, i, [math.floor(256 * x) for x in v]) for n, (i, v) in enumerate(rows)
+          if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in asks:
-        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in ok if i != q)[:top]
-        out += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
-    return sorted(out)
+    for own, q, v in ok:
+        if q is None or not is_query(q):
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i is None, i or 0)
+                        for n, i, w in ok if n != own)[:top]
+        out += [(q, k + 1, None if null else i, -s) for k, (s, null, i) in enumerate(scored)]
+    return in_order(out)
+
+
+def in_order(found):
+    return sorted(found, key=lambda r: (r[0], r[1], r[2] is None, r[2] or 0, r[3]))
 
 
 @pytest.mark.parametrize("blocks", [(16_384, 1_024), (40, 3)])
@@ -250,9 +265,11 @@ def test_top_k_equals_brute_force(spark, monkeypatch, blocks):
     rows += [(300 + k, rows[5][1]) for k in range(20)]  # ties
     rows += [(400, None), (410, [1.0, None] * 4), (420, [float("nan")] * 8), (430, [float("inf")] * 8), (None, [1.0] * 8),
              (440, []), (450, [0.5, 0.5])]
+    # Repeated ids and repeated rows: only the query's own row is no candidate.
+    rows += [(0, rows[0][1]), (0, rows[7][1]), (10, rows[10][1]), (11, rows[10][1]), (None, rows[20][1]), (None, rows[20][1])]
     frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, id int, v string").repartition(3)
     got = topk.search(frame, F.col("vec_id") % 10 == 0)
-    assert sorted(tuple(r) for r in got.collect()) == expected_top(rows, lambda i: i % 10 == 0)
+    assert in_order(tuple(r) for r in got.collect()) == expected_top(rows, lambda i: i % 10 == 0)
     assert topk.search(frame.limit(0), F.col("vec_id") % 10 == 0).count() == 0
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert topk.search(few, F.col("vec_id") == 0).count() == 2
@@ -271,7 +288,8 @@ def test_elimination_stops_early():
             Counted.seen += len(at)
             return np.asarray(self)[at]
 
-    found = topk._best(x[0], table[0], 0, x.view(Counted), table, (x.astype(float) ** 2).sum(1), np.arange(len(x)), 5)
+    found = topk._best(x[0], table[0], 0, x.view(Counted), table, (x.astype(float) ** 2).sum(1),
+                       np.arange(len(x)), list(range(len(x))), 5)
     scores = x @ x[0]
     want = sorted((-int(s), i) for i, s in enumerate(scores) if i)[:5]
     assert found == [(-s, i) for s, i in want] and Counted.seen < 1000
