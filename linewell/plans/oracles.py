@@ -152,6 +152,40 @@ FROM (SELECT CAST(item_id AS VARCHAR) AS path, CAST(octet_length(encode(text)) A
 FULL OUTER JOIN
   (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents) n
 ON o.path = n.path""",
+    # Heads are hexadecimal here: two digits a byte.
+    "file_moves": """
+WITH d AS (SELECT doc_id % 5 AS kind, CAST(doc_id AS VARCHAR) AS name, coalesce(text, '') AS text FROM documents),
+o AS (SELECT name AS path, hex(encode(text)) AS h FROM d),
+n AS (SELECT CASE WHEN kind < 2 THEN 'old/' || name ELSE name END AS path,
+        hex(encode(CASE WHEN kind IN (1, 2) THEN text || chr(10) || 'more' WHEN kind = 4 THEN 'new ' || text ELSE text END)) AS h
+      FROM d WHERE kind <> 3),
+j AS (SELECT coalesce(o.path, n.path) AS path, CAST(length(o.h) // 2 AS BIGINT) AS old_size,
+        CAST(length(n.h) // 2 AS BIGINT) AS new_size, left(o.h, 2048) AS a, left(n.h, 2048) AS b,
+        least(length(a), length(b)) AS m,
+        coalesce(left(a, m) = left(b, m) AND (m > 0 OR old_size = new_size), FALSE) AS kept
+      FROM o FULL OUTER JOIN n ON o.path = n.path),
+s AS (SELECT path, old_size AS size, a AS head FROM j
+      WHERE old_size > 0 AND (new_size IS NULL OR NOT kept OR new_size < old_size)),
+t AS (SELECT path, new_size AS size, b AS head FROM j WHERE new_size > 0 AND (old_size IS NULL OR NOT kept)),
+e AS (SELECT s1.path AS f, t1.path AS g
+      FROM (SELECT head, size, min(path) AS path FROM s GROUP BY ALL HAVING count(*) = 1) s1
+      JOIN (SELECT head, size, min(path) AS path FROM t GROUP BY ALL HAVING count(*) = 1) t1
+        ON s1.head = t1.head AND s1.size = t1.size),
+s2 AS (SELECT head, min(path) AS path, min(size) AS size FROM s
+       WHERE length(head) >= 128 AND path NOT IN (SELECT f FROM e) GROUP BY head HAVING count(*) = 1),
+p AS (SELECT t.path AS g, arg_max(s2.path, length(s2.head)) AS f FROM t JOIN s2
+        ON t.size > s2.size AND starts_with(t.head, s2.head)
+      WHERE t.path NOT IN (SELECT g FROM e) GROUP BY t.path),
+v AS (SELECT f, g FROM e UNION ALL SELECT f, min(g) FROM p GROUP BY f HAVING count(*) = 1)
+SELECT j.path, CASE WHEN old_size IS NULL THEN CASE WHEN x.f IS NULL THEN 'CREATED' ELSE 'RENAMED' END
+    WHEN new_size IS NULL THEN 'DELETED' WHEN new_size < old_size THEN 'TRUNCATED'
+    WHEN NOT kept AND old_size > 0 THEN 'REPLACED' WHEN new_size > old_size THEN 'DATA_ADDED' ELSE 'UNCHANGED' END AS change,
+  old_size, new_size, FALSE AS touched, x.f AS moved_from, y.g AS moved_to
+FROM j LEFT JOIN v x ON j.path = x.g LEFT JOIN v y ON j.path = y.f""",
+    "list_tree": LINES + """
+SELECT file || '.0000000000.txt' AS name, CAST(octet_length(encode(whole)) AS BIGINT) AS size,
+  left(hex(encode(whole)), 2048) AS head
+FROM (SELECT file, string_agg(line || chr(10), '' ORDER BY line_no) AS whole FROM L GROUP BY file)""",
     "export_range": LINES + """
 SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY line_no) AS INTEGER) AS pos, substr(line, 1, 31) AS line
 FROM L WHERE line_no BETWEEN 2 AND 5""",

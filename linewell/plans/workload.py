@@ -221,6 +221,33 @@ def file_changes(spark, sf_dir):
     return src.file_changes(files("benchmark", "item_id"), files("documents", "doc_id"))
 
 
+@job
+def file_moves(spark, sf_dir):
+    """Documents as files of two listings: moved, moved and grown, grown, removed and replaced ones."""
+    kind, text, name = F.col("doc_id") % 5, F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")
+    docs = table(spark, sf_dir, "documents")
+
+    def files(rows, path, content):
+        return rows.select(
+            path.alias("path"), F.octet_length(content).cast("bigint").alias("size"),
+            F.lit("2024-01-01 00:00:00").cast("timestamp").alias("mtime"),
+            F.substring(F.encode(content, "UTF-8"), 1, 1024).alias("head"))
+
+    later = F.when(kind.isin(1, 2), F.concat(text, F.lit("\nmore"))).when(kind == 4, F.concat(F.lit("new "), text)).otherwise(text)
+    return src.file_moves(
+        files(docs, name, text),
+        files(docs.filter(kind != 3), F.when(kind < 2, F.concat(F.lit("old/"), name)).otherwise(name), later))
+
+
+@job
+def list_tree(spark, sf_dir):
+    """Documents written as a log each, then listed with their first bytes."""
+    path = fresh_path(spark, "tree")
+    src.write_logs(doc_lines(spark, sf_dir), path, 1 << 20)
+    return src.list_tree(spark, path).select(
+        F.regexp_extract("path", "[^/]+$", 0).alias("name"), "size", F.hex("head").alias("head"))
+
+
 @job
 def export_range(spark, sf_dir):
     """Parts of a range of lines, written per file and read back in order."""

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from linewell.operators import page, range_max_length, search_update
 from linewell.operators.ordered import dense_index, total_in_place
 from linewell.sources import (
-    append_ranged_table, detect_encoding, file_changes, file_info, line_positions, listing,
-    number_lines, raw_lines, read_lines_table, read_logs, read_ranged_table, read_ranges, scan_lines,
+    append_ranged_table, detect_encoding, file_changes, file_info, file_moves, line_positions, list_tree, listing,
+    number_lines, raw_lines, read_lines_table, read_logs, read_ranged_table, read_ranges, remember, scan_lines,
     synth_lines, write_lines_table, write_logs,
 )
 from linewell.sources.text_sink import TextWriter, Written, export_name
@@ -225,6 +225,48 @@ def test_file_changes(spark, tmp_path):
                    "e": "CREATED"}
 
 
+def test_tree_is_listed_as_spark_lists_it(spark, tmp_path):
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    for name in ("a", "with space", "per%cent", "h#sh", "caf\u00e9", "q?", "deep/b", "deep/er/[c]", "_hidden", ".hidden"):
+        (tmp_path / name).write_bytes(name.encode() * 300)
+    (tmp_path / "empty").write_bytes(b"")
+    got = {r.path: (r.size, r.mtime, bytes(r.head)) for r in list_tree(spark, str(tmp_path), head=10).collect()}
+    flat = {r.path: (r.size, r.mtime) for r in listing(spark, [str(tmp_path), str(tmp_path / "deep"), str(tmp_path / "deep" / "er")]).collect()}
+    assert {p: v[:2] for p, v in got.items()} == flat and len(got) == 9
+    heads = {p.rsplit("/", 1)[1]: h for p, (_, _, h) in got.items()}
+    assert heads["b"] == b"deep/bdeep" and heads["empty"] == b""
+    assert [r.size for r in list_tree(spark, [str(tmp_path / "a"), str(tmp_path / "a")]).collect()] == [300]
+    with pytest.raises(Exception, match="no%20such%20folder"):
+        list_tree(spark, str(tmp_path / "no such folder"))
+
+
+def test_moved_files_are_known_by_how_they_begin(spark):
+    long = "".join(f"first line of log {k}\n" for k in range(200))
+
+    def snapshot(files):
+        rows = [(p, len(t), bytearray(t[:1024].encode()), "x") for p, t in files.items()]
+        return spark.createDataFrame(rows, "path string, size long, head binary, k string").withColumn("mtime", F.lit(None).cast("timestamp"))
+
+    one = {"app": long, "app.1": "yesterday " * 20, "short": "tiny", "kept": "k" * 90, "twin.1": "t" * 70, "twin.2": "t" * 70,
+           "gone": "g" * 80, "reborn": "r" * 80, "empty": "", "cut": "c" * 50, "small": "s" * 10}
+    two = {"app": "a new day " * 2, "app.1": long + "last line\n", "app.2": "yesterday " * 20, "moved": "tiny", "kept": "k" * 90,
+           "copy": "k" * 90, "twin": "t" * 70, "empty": "", "cut": "c" * 20, "grown small": "s" * 30}
+    got = {r.path: (r.change, r.moved_from, r.moved_to) for r in file_moves(snapshot(one), snapshot(two)).collect()}
+    assert got == {
+        "app": ("TRUNCATED", None, "app.1"), "app.1": ("REPLACED", "app", "app.2"), "app.2": ("RENAMED", "app.1", None),
+        "short": ("DELETED", None, "moved"), "moved": ("RENAMED", "short", None), "kept": ("UNCHANGED", None, None),
+        "copy": ("CREATED", None, None), "twin.1": ("DELETED", None, None), "twin.2": ("DELETED", None, None),
+        "twin": ("CREATED", None, None), "gone": ("DELETED", None, None), "reborn": ("DELETED", None, None),
+        "empty": ("UNCHANGED", None, None), "cut": ("TRUNCATED", None, None), "small": ("DELETED", None, None),
+        "grown small": ("CREATED", None, None)}
+    known = remember(snapshot(one), snapshot(two))
+    three = {**two, "reborn": "another " * 20}
+    got = {r.path: r.change for r in file_moves(known, snapshot(three)).collect()}
+    assert got.pop("reborn") == "REAPPEARED" and set(got) == set(two) and set(got.values()) == {"UNCHANGED"}
+    none = snapshot(two).limit(0)
+    assert {r.change for r in file_moves(none, snapshot(two)).collect()} == {"CREATED"} and not file_moves(none, none).count()
+
+
 def test_totals_in_place_equal_totals_by_shuffle(spark):
     rows = [(f, k, "x" * (k * 7 % 11)) for f in ("a", "b", None) for k in range(500) if k % 3]
     lines = spark.createDataFrame(rows, "file string, line_no long, line string")
