@@ -109,6 +109,23 @@ def remember(prev: DataFrame, cur: DataFrame) -> DataFrame:
     return cur.select(*columns, F.lit(True).alias("present")).union(gone.select(*columns, F.lit(False)))
 
 
+def _asked(earlier: DataFrame, later: DataFrame, least: int) -> DataFrame:
+    """(moved_to, size, n, k): lengths at which a later file is compared, with the checksum of as many first bytes.
+
+    These are lengths of earlier files that begin as it does: with equal first bytes up to the last of the steps
+    ``least``, 2 ``least``, 4 ``least``, ... that their length reaches.  Only keys of the steps are shuffled to find them.
+    """
+    base = max(least, 1)
+    step = lambda n: F.expr(f"length(bin({n} div {base})) - 1")
+    begun = lambda head: F.sha2(_begin(F.col(head), F.expr(f"cast({base} * power(2, j) as int)")), 256).alias("b")
+    lengths = earlier.withColumn("j", step("n")).select("j", begun("_h"), "n").groupBy("j", "b").agg(F.collect_set("n").alias("ns"))
+    open_ = later.withColumn("_n", F.octet_length("_g")).filter(F.col("_n") >= base)
+    begins = open_.withColumn("j", F.explode(F.sequence(F.lit(0), step("_n")))).select("moved_to", "j", begun("_g"))
+    found = begins.join(lengths, ["j", "b"]).groupBy("moved_to").agg(F.flatten(F.collect_list("ns")).alias("ns"))
+    return open_.join(found, "moved_to").withColumn("n", F.explode("ns")).filter(F.col("n") <= F.col("_n")).select(
+        "moved_to", "size", "n", F.sha2(_begin(F.col("_g"), F.col("n")), 256).alias("k"))
+
+
 def file_moves(prev: DataFrame, cur: DataFrame, least: int = LEAST) -> DataFrame:
     """``path, change, old_size, new_size, touched, moved_from, moved_to`` of two listings with heads.
 
@@ -133,7 +150,7 @@ def file_moves(prev: DataFrame, cur: DataFrame, least: int = LEAST) -> DataFrame
     both = both.withColumn("_kept", F.coalesce(kept & (common > 0) | (F.col("old_size") == F.col("new_size")) & kept, F.lit(False)))
     sources = both.filter(F.col("present") & (F.octet_length("_h") > 0) & (
         F.col("new_size").isNull() | ~F.col("_kept") | (F.col("new_size") < F.col("old_size")))).select(
-        F.col("path").alias("moved_from"), F.col("old_size").alias("size"), F.octet_length("_h").alias("n"), F.sha2("_h", 256).alias("k"))
+        F.col("path").alias("moved_from"), F.col("old_size").alias("size"), F.octet_length("_h").alias("n"), "_h", F.sha2("_h", 256).alias("k"))
     targets = both.filter(F.col("new_size").isNotNull() & (F.octet_length("_g") > 0) & (appears | ~F.col("_kept"))).select(
         F.col("path").alias("moved_to"), F.col("new_size").alias("size"), "_g", F.sha2("_g", 256).alias("k"))
 
@@ -145,12 +162,8 @@ def file_moves(prev: DataFrame, cur: DataFrame, least: int = LEAST) -> DataFrame
     exact = checkpointed(sole(sources, "moved_from", "k", "size").join(
         sole(targets, "moved_to", "k", "size").drop("_size"), ["k", "size"]).select("moved_from", "moved_to"))
     left = sources.join(exact, "moved_from", "left_anti").filter(F.col("n") >= least)
-    # At most HEAD lengths occur; a later file is asked at those that it reaches.
-    lengths = left.agg(F.collect_set("n").alias("n")).scalar()
-    asked = targets.join(exact, "moved_to", "left_anti").withColumn("_l", lengths).withColumn(
-        "n", F.explode("_l")).filter(F.col("n") <= F.octet_length("_g")).select(
-        "moved_to", "size", "n", F.sha2(_begin(F.col("_g"), F.col("n")), 256).alias("k"))
-    grown = asked.join(sole(left, "moved_from", "n", "k"), ["n", "k"]).filter("size > _size").groupBy("moved_to").agg(
+    asked = _asked(left, targets.join(exact, "moved_to", "left_anti"), least)
+    grown = asked.join(sole(left.drop("_h"), "moved_from", "n", "k"), ["n", "k"]).filter("size > _size").groupBy("moved_to").agg(
         F.max_by("moved_from", "n").alias("moved_from")).groupBy("moved_from").agg(
         F.count("*").alias("_n"), F.min("moved_to").alias("moved_to")).filter("_n = 1").select("moved_from", "moved_to")
     moved = checkpointed(exact.union(grown))
