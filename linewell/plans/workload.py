@@ -808,10 +808,14 @@ def follow_upserted(spark, sf_dir):
 
 
 def _watched(spark, sf_dir) -> str:
-    """Where a search of a stored table, a file a step, has left its matches and progress."""
+    """Where a search of a stored table, about five steps, has left its matches and progress.
+
+    The table has as many files as its scan has tasks, five or more, so that no task's share grows with the input.
+    """
     path, out = fresh_path(spark, "lines"), fresh_path(spark, "watched")
-    src.write_lines_table(doc_lines(spark, sf_dir).repartition(5, "file"), path)
-    st.search_with_progress(spark, path, PATTERN, out, files_per_step=1).awaitTermination()
+    n_files = max(5, 4 * table(spark, sf_dir, "documents").rdd.getNumPartitions())
+    src.write_lines_table(doc_lines(spark, sf_dir).repartition(n_files, "file"), path)
+    st.search_with_progress(spark, path, PATTERN, out, files_per_step=-(-n_files // 5)).awaitTermination()
     return out
 
 

@@ -38,3 +38,14 @@ def test_files_that_begin_alike_are_asked_at_every_length(spark):
     # Another byte behind the first 200: of the lengths above, those below the next step are asked.
     other = spark.createDataFrame([("other", 5000, bytearray(head[:200] + b"\xff" + head[201:]))], later.schema)
     assert sorted(r["n"] for r in moves._asked(earlier, other, 64).collect()) == list(range(64, 256))
+
+
+def test_files_of_the_watched_table_grow_in_number(spark, parted, monkeypatch):
+    written, write = [], workload.src.write_lines_table
+    monkeypatch.setattr(workload.src, "write_lines_table", lambda lines, path: (written.append(path), write(lines, path)))
+    tasks = workload.table(spark, parted, "documents").rdd.getNumPartitions()
+    assert tasks > 5
+    out = workload._watched(spark, parted)
+    files = spark.read.parquet(written[0]).select(F.input_file_name()).distinct().count()
+    assert files > tasks
+    assert 1 < spark.read.parquet(f"{out}/progress").count() <= 6
