@@ -49,3 +49,10 @@ def test_files_of_the_watched_table_grow_in_number(spark, parted, monkeypatch):
     files = spark.read.parquet(written[0]).select(F.input_file_name()).distinct().count()
     assert files > tasks
     assert 1 < spark.read.parquet(f"{out}/progress").count() <= 6
+
+
+def test_written_files_grow_in_number(spark, parted, monkeypatch):
+    seen, info = [], workload.src.file_info
+    monkeypatch.setattr(workload.src, "file_info", lambda s, paths: (seen.append(info(s, paths)), seen[0])[1])
+    assert workload.JOBS["file_info"](spark, parted).count() == 5
+    assert seen[0].count() == 12 * 5
