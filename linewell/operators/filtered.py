@@ -9,6 +9,7 @@ from linewell.functions.patterns import Term, as_term, check_pattern, line_match
 from linewell.functions.text import visible_length
 from linewell.operators.ordered import CHUNK, PIECE, nearest, running_total, total_in_place
 from linewell.operators.search import KEY
+from linewell.shared import fresh_path
 
 VISIBILITIES = ("MATCHES", "MARKS", "BOTH")
 
@@ -54,12 +55,13 @@ def filtered_search(
     marked = marks.select(*KEY).distinct()
     if visibility == "MARKS":
         return lines.join(marked, KEY, "left_semi").withColumn("item_type", F.lit("MARK"))
-    flagged = lines.join(marked.withColumn("_marked", F.lit(True)), KEY, "left")
+    # Searched ahead of the join: where the text is not asked for, it stays with the scan.
+    flagged = lines.withColumn("_hit", hit).join(marked.withColumn("_marked", F.lit(True)), KEY, "left")
     is_mark = F.col("_marked").isNotNull()
     return (
-        flagged.filter(is_mark | hit)
+        flagged.filter(is_mark | F.col("_hit"))
         .withColumn("item_type", F.when(is_mark, "MARK").otherwise("MATCH"))
-        .drop("_marked")
+        .drop("_marked", "_hit")
     )
 
 
@@ -81,11 +83,15 @@ def index_to_line(indexed: DataFrame, idx: int | DataFrame) -> DataFrame:
 def line_to_index(anchors: DataFrame, items: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Anchors with ``idx``: the first item at or below the line.
 
-    Past the last item it is the last index; NULL when the file has no items.
+    Past the last item it is the last index; NULL when the file has no items.  The
+    places of both are computed and stored once; they are read twice.
     """
     # Each line is counted once, however many anchors name it.
     places = anchors.select(*KEY).distinct().withColumn("_item", F.lit(0))
     both = places.unionByName(items.select(*KEY, F.lit(1).alias("_item")))
+    path = fresh_path(anchors.sparkSession, "places")
+    both.write.parquet(path)
+    both = anchors.sparkSession.read.parquet(path)
     # Anchors first among equals: the total before an anchor counts smaller lines only.
     counted = running_total(
         both, F.col("_item"), "_below", tie=[F.col("_item").asc()], total_out="_all", chunk=chunk

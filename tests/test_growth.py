@@ -56,3 +56,15 @@ def test_written_files_grow_in_number(spark, parted, monkeypatch):
     monkeypatch.setattr(workload.src, "file_info", lambda s, paths: (seen.append(info(s, paths)), seen[0])[1])
     assert workload.JOBS["file_info"](spark, parted).count() == 5
     assert seen[0].count() == 12 * 5
+
+
+def test_text_that_is_not_asked_for_stays_with_the_scan(spark):
+    lines = spark.createDataFrame([("f", k, f"line {k}") for k in range(20)], "file string, line_no bigint, line string")
+    marks = lines.filter("line_no % 5 = 0").select("file", "line_no")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical_plan(filtered_search(lines, "line 1", marks).select("file", "line_no"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64m")
+    joins = [row for row in plan.splitlines() if "Project" in row and "_hit" in row]
+    assert joins and not any(part.strip().startswith("line#") for row in joins for part in row.split("[")[1].split(","))
