@@ -25,11 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from linewell.plans.session import ship
 from linewell.sources import uris
+from linewell.sources.moves import _entries
 
 FORMAT = "linewell_text"
 # File systems allow names of 255 bytes; the part and the attempt take some.
 NAME_BYTES = 160
+# Bytes and lines of files that a task holds when it reads them.
+READ_BYTES, READ_LINES = 1 << 22, 1 << 14
 # Below the staging folder: files that are being written.
 ATTEMPTS = "_attempts"
 
@@ -136,10 +140,48 @@ def write_logs(lines: DataFrame, path: str, part_lines: int) -> None:
         FORMAT).mode("append").option("target", target).option("staging", f"{target}.{uuid.uuid4().hex}.partial").save()
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, line) of the files of ``path``, each streamed; lines of small files share a batch."""
+    paths, lines, held = [], [], 0
+
+    def flush():
+        nonlocal held
+        out = pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lines, pa.binary())], names=["path", "line"])
+        paths.clear(), lines.clear()
+        held = 0
+        return out
+
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            fs, inner = uris.open_fs(path)
+            with fs.open_input_file(inner) as file:
+                rest = b""
+                while data := file.read(READ_BYTES):
+                    *whole, rest = (rest + data).split(b"\n")
+                    paths += [path] * len(whole)
+                    lines += whole
+                    held += len(data)
+                    if held >= READ_BYTES or len(lines) >= READ_LINES:
+                        yield flush()
+                if rest:
+                    paths.append(path)
+                    lines.append(rest)
+    if lines:
+        yield flush()
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, part, line) of what ``write_logs`` wrote; long names are given as they were shortened."""
-    name = F.col("_metadata.file_name")
+    """(file, part, line) of what ``write_logs`` wrote; long names are given as they were shortened.
+
+    The folder is listed by one task and the files are dealt to tasks by name, however many
+    they are; a file is streamed by one task, its lines in order.
+    """
+    ship(spark)
+    folder = spark.createDataFrame([(uris.qualified(spark, path),)], "path string")
+    found = folder.mapInArrow(_entries, "path string, size long, ms long, folder boolean").filter("not folder")
+    rows = found.select("path").repartition(2 * spark.sparkContext.defaultParallelism, "path").mapInArrow(_read, "path string, line binary")
+    name = F.regexp_extract("path", "[^/]+$", 0)
     written = F.url_decode(F.url_decode(F.regexp_extract(name, r"^(.*)\.\d+\.txt$", 1)))
-    return spark.read.option("lineSep", "\n").text(path).select(
+    return rows.select(
         F.when(written == "\0", "").otherwise(written).alias("file"),
-        F.regexp_extract(name, r"\.(\d+)\.txt$", 1).cast("bigint").alias("part"), F.col("value").alias("line"))
+        F.regexp_extract(name, r"\.(\d+)\.txt$", 1).cast("bigint").alias("part"), F.col("line").cast("string").alias("line"))

@@ -1,12 +1,15 @@
 """Jobs whose tasks must not take a fixed share of an input that grows."""
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linewell.operators import filtered_search
 from linewell.plans import workload
 from linewell.plans.inspect import physical_plan
-from linewell.sources import moves
+from linewell.sources import moves, text_sink
+from linewell.sources.text_sink import read_logs, write_logs
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -68,3 +71,24 @@ def test_text_that_is_not_asked_for_stays_with_the_scan(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64m")
     joins = [row for row in plan.splitlines() if "Project" in row and "_hit" in row]
     assert joins and not any(part.strip().startswith("line#") for row in joins for part in row.split("[")[1].split(","))
+
+
+def test_many_small_logs_are_read_by_few_tasks(spark, tmp_path):
+    lines = spark.range(3000).selectExpr("cast(id div 3 as string) as file", "id % 3 as line_no", "concat('é line ', id) as line")
+    write_logs(lines, str(tmp_path / "out"), part_lines=2)
+    logs = read_logs(spark, str(tmp_path / "out"))
+    assert logs.rdd.getNumPartitions() <= 16  # 2,000 files
+    order = Window.partitionBy("file").orderBy("part", F.monotonically_increasing_id())
+    got = {(r["file"], r["pos"], r["line"]) for r in logs.select("file", F.row_number().over(order).alias("pos"), "line").collect()}
+    assert got == {(str(k // 3), k % 3 + 1, f"é line {k}") for k in range(3000)}
+
+
+def test_logs_larger_than_a_read_keep_their_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_sink, "READ_BYTES", 7)
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.0000000000.txt").write_bytes(b"one long line\n\nx\r\nopen end")
+    (folder / "b.0000000001.txt").write_bytes(b"")
+    batch = pa.RecordBatch.from_pydict({"path": [f.as_uri() for f in sorted(folder.iterdir())]})
+    got = [r["line"] for b in text_sink._read(iter([batch])) for r in b.to_pylist()]
+    assert got == [b"one long line", b"", b"x\r", b"open end"]
