@@ -5,9 +5,10 @@ falls into compact windows: a token and the longest run around it in which it ha
 least hash (a node of the Cartesian tree over the hashes).  Only windows as long as a
 passage are kept, about two for each passage length of text.
 
-1. Windows are grouped by (function, token) with pre-aggregated first and last text;
-   a group of one text is dropped.  Every window of a group is joined to its first
-   and last, never to all, and the join asks that the two intervals, laid over each
+1. Windows are grouped by (function, token); a group of one text is dropped.  Windows of
+   a group that hold the same tokens around theirs, as far as a passage reaches, are
+   copies and joined to the first of them alone.  The first ones of a group are joined each to
+   each, however many they are, and the join asks that the two intervals, laid over each
    other at the token, still hold a passage.
 2. Text pairs that any function supports are verified; the number of functions follows
    from the recall wanted at the threshold.  Only the blocks of tokens
@@ -40,6 +41,7 @@ WORDS, PASSAGE, SIMILAR, RECALL = 5, 50, 0.8, 0.998
 BLOCK = 64
 #: Bits of the filters that spare windows and texts without candidates the shuffle (only speed depends on them).
 LEAST_BITS, MOST_BITS = 20, 28
+_BASE = 0x9E3779B97F4A7C15  # odd: of the sums that tell contexts apart
 _AT = 28  # bits for a token's place
 _REACH = 12  # bits for the tokens of a window before and after its place
 
@@ -79,9 +81,17 @@ def compact_windows(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     return place, np.array(first, np.int64), np.array(last, np.int64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to n - 1, modulo 2^64."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
 def _windows(batches: Iterator[pa.RecordBatch], length: int, functions: int,
              wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """(sig, t, at): function and token, text, and the window as place, tokens before and after (clipped beyond passages).
+    """(sig, t, at, context): function and token, text, the window as place, tokens before and after (clipped beyond
+    passages), and a hash of its tokens up to ``length`` before and after the place.
 
     With a filter only windows whose ``sig`` may be in it.
     """
@@ -92,25 +102,31 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, functions: int,
         for part in text_chunks(batch, "text", 1 << 20):
             tokens, begin = shingles(*words(part.column("text")), WORDS)
             hashed = [mix(tokens ^ seed) for seed in seeds]
-            sigs, texts, ats = [], [], []
+            sigs, texts, ats, contexts = [], [], [], []
             for k, t in enumerate(part.column("t").to_pylist()):
                 if t in seen:
                     continue
                 seen.add(t)
                 a, b = begin[k], begin[k + 1]
+                # Sums of token * base^place; a stretch's difference, shifted to place 0, tells its tokens.
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens[a:b] * _powers(_BASE, b - a))])
+                back = _powers(pow(_BASE, -1, 1 << 64), b - a)
                 for f in range(functions):
                     place, first, last = compact_windows(hashed[f][a:b], length)
                     sig = hashed[f][a:b][place] >> U(3) << U(3) | U(f & 7)
                     if wanted is not None:
                         held = _held(wanted, sig)
                         place, first, last, sig = place[held], first[held], last[held], sig[held]
+                    low, high = np.maximum(first, place - length), np.minimum(last, place + length) + 1
+                    contexts.append(mix((sums[high] - sums[low]) * back[low] ^ mix((place - low).astype(np.uint64))))
                     sigs.append(sig)
                     texts.append(np.full(len(place), t, dtype=np.int64))
                     ats.append(place << 2 * _REACH | np.minimum(place - first, most) << _REACH | np.minimum(last - place, most))
             if sigs:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.concatenate(texts)),
-                    pa.array(np.concatenate(ats))], names=["sig", "t", "at"])
+                    pa.array(np.concatenate(ats)), pa.array(np.concatenate(contexts).astype(np.int64))],
+                    names=["sig", "t", "at", "context"])
 
 
 def _wanted_texts(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -255,22 +271,26 @@ def links(texts: DataFrame, passage: int = PASSAGE, similar: float = SIMILAR) ->
     spark, length = texts.sparkSession, passage - WORDS + 1
     if length >= 1 << _REACH:
         raise ValueError(f"passages of {1 << _REACH} words or more are not looked for")
-    functions, schema = functions_for(similar), "sig long, t long, at long"
+    functions, schema = functions_for(similar), "sig long, t long, at long, context long"
     # Stored, so that the join below meets two plain shuffles and Spark can split a common token's rows.
-    ends_path, windows_path = fresh_path(spark, "window-ends"), fresh_path(spark, "windows")
+    ends_path, windows_path, firsts_path = (fresh_path(spark, x) for x in ("window-ends", "windows", "window-firsts"))
     map_arrow(texts, lambda it: _windows(it, length, functions), schema).groupBy("sig").agg(
-        F.min(F.struct("t", "at")).alias("low"), F.max(F.struct("t", "at")).alias("high"),
-    ).filter("low.t < high.t").write.parquet(ends_path)
+        F.min("t").alias("low"), F.max("t").alias("high"),
+    ).filter("low < high").select("sig").write.parquet(ends_path)
     ends = spark.read.parquet(ends_path)
     # Most windows stand in one text alone: they are made again and passed by, never stored.
-    shared = spark.sparkContext.broadcast(_bitmap(ends.select("sig")))
+    shared = spark.sparkContext.broadcast(_bitmap(ends))
     map_arrow(texts, lambda it: _windows(it, length, functions, shared.value), schema).write.parquet(windows_path)
     windows = spark.read.parquet(windows_path)
     before = lambda c: F.shiftright(c, _REACH).bitwiseAND((1 << _REACH) - 1)
     after = lambda c: c.bitwiseAND((1 << _REACH) - 1)
-    joined = windows.join(ends, "sig").select(
-        "sig", "t", "at", F.explode(F.array("low", "high")).alias("o")).select(
-        "sig", "t", "at", F.col("o.t").alias("u"), F.col("o.at").alias("v")).filter("t != u")
+    # The filter lets windows of one text by: those drop out with their groups.
+    windows.join(ends, "sig", "left_semi").groupBy("sig", "context").agg(F.min(F.struct("t", "at")).alias("o")).select(
+        "sig", "context", F.col("o.t").alias("u"), F.col("o.at").alias("v")).write.parquet(firsts_path)
+    firsts = spark.read.parquet(firsts_path)
+    copies = windows.join(firsts, ["sig", "context"])
+    others = firsts.select("sig", F.col("u").alias("t"), F.col("v").alias("at")).join(firsts, "sig")
+    joined = copies.select("t", "at", "u", "v").union(others.select("t", "at", "u", "v")).filter("t > u")
     # Laid over each other at the token, both intervals must still hold (nearly) a passage.
     common = F.least(before(F.col("at")), before(F.col("v"))) + F.least(after(F.col("at")), after(F.col("v"))) + 1
     placed = joined.filter(common >= int(similar * length)).select(
@@ -283,8 +303,8 @@ def links(texts: DataFrame, passage: int = PASSAGE, similar: float = SIMILAR) ->
         "t", "u", around("cs").alias("own"), around("ds").alias("other")))
     # The pairs are checkpointed: what they were made from can go.
     shared.destroy()
-    del joined, placed, windows, ends
-    for path in (ends_path, windows_path):
+    del joined, placed, copies, others, windows, firsts, ends
+    for path in (ends_path, windows_path, firsts_path):
         dropped(spark, path)
     needs = pairs.select("t", "u", F.col("t").alias("x"), F.explode("own").alias("block")).union(
         pairs.select("t", "u", F.col("u").alias("x"), F.explode("other").alias("block"))).filter("block >= 0")

@@ -450,3 +450,25 @@ def test_long_passages_are_found(spark, passage):
     assert got == set(range(80))
     with pytest.raises(ValueError, match="4096"):
         substring.passages(table(spark, rows), passage=5000)
+
+
+def test_texts_between_the_first_and_last_of_a_group_are_linked(spark, monkeypatch):
+    """A phrase of least hash stands in 14 texts; only two in the middle share the words around it."""
+    monkeypatch.setattr(substring, "functions_for", lambda similar: 1)
+    rng, seed = random.Random(3), np.random.default_rng(7).integers(1, 1 << 63, 1, dtype=np.uint64)[0]
+
+    def hashes(text):
+        part = pa.array([text])
+        return substring.mix(shingles(*words(part), substring.WORDS)[0] ^ seed)
+
+    def some(n):
+        return " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(n))
+
+    phrase = next(p for p in iter(lambda: some(5), None) if hashes(p)[0] < np.uint64(1 << 55))
+    around = iter(lambda: f"{some(30)} {phrase} {some(30)}", None)
+    around = (t for t in around if hashes(t).min() == hashes(phrase)[0])
+    passage = next(around)
+    texts = [(k, f"{some(9)} {passage} {some(9)}" if k in (6, 7) else next(around)) for k in range(14)]
+    found = substring.links(spark.createDataFrame(texts, "t long, text string")).collect()
+    assert {frozenset((r["t"], r["u"])) for r in found} == {frozenset((6, 7))}
+    assert all(r["stop"] - r["start"] >= 61 for r in found)
