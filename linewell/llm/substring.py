@@ -6,15 +6,13 @@ least hash (a node of the Cartesian tree over the hashes).  Only windows as long
 passage are kept, about two for each passage length of text.
 
 1. Windows are grouped by (function, token); a group of one text is dropped.  Windows of
-   a group that hold the same tokens around theirs, as far as a passage reaches, are
-   copies and joined to the first of them alone.  The first ones of a group are joined each to
-   each, however many they are, and the join asks that the two intervals, laid over each
-   other at the token, still hold a passage.
-2. Text pairs that any function supports are verified; the number of functions follows
-   from the recall wanted at the threshold.  Only the blocks of tokens
-   around their windows travel, once a pair.  A passage is a longest run of the
-   text whose tokens the other holds so densely that the Jaccard similarity is 0.8
-   or more.
+   a group that hold the same tokens around theirs, as far as a passage reaches, are one
+   context: a passage as it stands, linked to the first of them.
+2. The different contexts of a group are compared each to each, however many they are, with the
+   tokens of their windows; the number of functions follows from the recall wanted at the
+   threshold.  Contexts without a passage of tokens that other texts of the group hold are passed by.
+   A passage is a run of the text whose tokens the other holds so densely that the
+   Jaccard similarity is 0.8 or more.  Written out are places covered, and a forest of links.
 3. Passages of a text are merged; texts linked by passages form classes.
 
 Equal texts are one text from the start: copies are counted, never paired.
@@ -30,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewell.llm._common import dropped, map_arrow, released, stored
+from linewell.llm._common import dropped, map_arrow, released
 from linewell.llm._components import components
 from linewell.llm._words import U, mix, shingles, text_chunks, words
 from linewell.sources.shared import checkpointed, fresh_path
 
 #: RECALL: chance that two windows of similarity SIMILAR share a token of least hash.
 WORDS, PASSAGE, SIMILAR, RECALL = 5, 50, 0.8, 0.998
-#: Tokens of a block.
-BLOCK = 64
+#: Contexts of a part of a large group, and of a small group (bits of a word).
+GROUP, FEW = 4096, 64
+#: Partners that are tried first for what a context shares (only speed depends on it).
+FIRST = 8
 #: Bits of the filters that spare windows and texts without candidates the shuffle (only speed depends on them).
 LEAST_BITS, MOST_BITS = 20, 28
 _BASE = 0x9E3779B97F4A7C15  # odd: of the sums that tell contexts apart
@@ -81,6 +81,50 @@ def compact_windows(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     return place, np.array(first, np.int64), np.array(last, np.int64)
 
 
+def _lesser(value: np.ndarray) -> np.ndarray:
+    """For each entry the nearest one before it that is less; the first must be the least."""
+    at = np.arange(-1, len(value) - 1)
+    at[0] = 0
+    going = np.flatnonzero(value[at] > value)
+    while len(going):
+        # All entries between an entry and its pointer are greater, so pointers can be followed at once.
+        at[going] = at[at[going]]
+        going = going[value[at[going]] > value[going]]
+    return at
+
+
+def all_compact_windows(hashes: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(text, place, first, last) of the ``compact_windows`` of many texts put together, places counted through all."""
+    n, none = len(hashes), np.zeros(0, np.int64)
+    if n < length:
+        return none, none, none, none
+    packed = (hashes >> U(_AT) << U(_AT)) | np.arange(n, dtype=np.uint64)
+    least, span = packed, 1
+    while span < length:
+        step = min(span, length - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    stop = np.repeat(begin[1:], np.diff(begin))
+    mark = np.zeros(n, np.bool_)
+    mark[(least[np.arange(len(least)) + length <= stop[:len(least)]] & U((1 << _AT) - 1)).astype(np.int64)] = True
+    place = np.flatnonzero(mark)
+    if not len(place):
+        return none, none, none, none
+    text = np.searchsorted(begin, place, "right") - 1
+    # A least entry before each text and behind the last one ends all runs.
+    opens = np.flatnonzero(np.diff(text, prepend=-1))
+    value = np.append(np.insert(packed[place], opens, U(0)), U(0))
+    own = np.ones(len(value), np.bool_)
+    own[np.append(opens + np.arange(len(opens)), len(value) - 1)] = False
+    where = np.zeros(len(value), np.int64)
+    where[own] = place
+    left = _lesser(value)[own]
+    right = (len(value) - 1 - _lesser(value[::-1]))[::-1][own]
+    first = np.where(own[left], where[left] + 1, begin[text])
+    last = np.where(own[right], where[right] - 1, begin[text + 1] - 1)
+    return text, place, first, last
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     """``base`` to the powers 0 to n - 1, modulo 2^64."""
     out = np.full(n, base, dtype=np.uint64)
@@ -90,42 +134,39 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int, functions: int,
              wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """(sig, t, at, context): function and token, text, the window as place, tokens before and after (clipped beyond
-    passages), and a hash of its tokens up to ``length`` before and after the place.
+    """(sig, t) of all windows: function and token, text.  Each text is read once a task.
 
-    With a filter only windows whose ``sig`` may be in it.
+    With a filter only windows whose ``sig`` may be in it, and also ``at``: the window as place, tokens before and
+    after (clipped beyond passages), and ``context``: a hash of its tokens up to ``length`` before and after the place.
     """
     seen: set[int] = set()
     most = (1 << _REACH) - 1
     seeds = np.random.default_rng(7).integers(1, 1 << 63, functions, dtype=np.uint64)
+    up = back = np.zeros(0, np.uint64)
     for batch in batches:
-        for part in text_chunks(batch, "text", 1 << 20):
+        new = [k for k, t in enumerate(batch.column("t").to_pylist()) if not (t in seen or seen.add(t))]
+        for part in text_chunks(batch.take(pa.array(new, pa.int64())), "text", 1 << 20):
             tokens, begin = shingles(*words(part.column("text")), WORDS)
-            hashed = [mix(tokens ^ seed) for seed in seeds]
-            sigs, texts, ats, contexts = [], [], [], []
-            for k, t in enumerate(part.column("t").to_pylist()):
-                if t in seen:
-                    continue
-                seen.add(t)
-                a, b = begin[k], begin[k + 1]
+            t = part.column("t").to_numpy()
+            if wanted is not None:
+                if len(up) < len(tokens):
+                    up, back = _powers(_BASE, len(tokens)), _powers(pow(_BASE, -1, 1 << 64), len(tokens))
                 # Sums of token * base^place; a stretch's difference, shifted to place 0, tells its tokens.
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens[a:b] * _powers(_BASE, b - a))])
-                back = _powers(pow(_BASE, -1, 1 << 64), b - a)
-                for f in range(functions):
-                    place, first, last = compact_windows(hashed[f][a:b], length)
-                    sig = hashed[f][a:b][place] >> U(3) << U(3) | U(f & 7)
-                    if wanted is not None:
-                        held = _held(wanted, sig)
-                        place, first, last, sig = place[held], first[held], last[held], sig[held]
-                    low, high = np.maximum(first, place - length), np.minimum(last, place + length) + 1
-                    contexts.append(mix((sums[high] - sums[low]) * back[low] ^ mix((place - low).astype(np.uint64))))
-                    sigs.append(sig)
-                    texts.append(np.full(len(place), t, dtype=np.int64))
-                    ats.append(place << 2 * _REACH | np.minimum(place - first, most) << _REACH | np.minimum(last - place, most))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.concatenate(texts)),
-                    pa.array(np.concatenate(ats)), pa.array(np.concatenate(contexts).astype(np.int64))],
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * up[:len(tokens)])])
+            for f, seed in enumerate(seeds):
+                hashed = mix(tokens ^ seed)
+                text, place, first, last = all_compact_windows(hashed, begin, length)
+                sig = hashed[place] >> U(3) << U(3) | U(f & 7)
+                if wanted is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(t[text])], names=["sig", "t"])
+                    continue
+                held = _held(wanted, sig)
+                text, place, first, last, sig = text[held], place[held], first[held], last[held], sig[held]
+                low, high = np.maximum(first, place - length), np.minimum(last, place + length) + 1
+                context = mix((sums[high] - sums[low]) * back[low] ^ mix((place - low).astype(np.uint64)))
+                at = (place - begin[text]) << 2 * _REACH | np.minimum(place - first, most) << _REACH | np.minimum(last - place, most)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sig.view(np.int64)), pa.array(t[text]), pa.array(at), pa.array(context.view(np.int64))],
                     names=["sig", "t", "at", "context"])
 
 
@@ -140,30 +181,34 @@ def _wanted_texts(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iter
             yield batch.take(pa.array(keep))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, block, tokens) of the blocks asked for; 32 bits a token tell those of a few blocks apart."""
+def _regions(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """(sig, part, parts, low, high, begin, tokens) of the contexts asked for: the tokens of their windows up to
+    ``reach`` before and after the place; 32 bits a token tell those of a group apart."""
+    seen: set[int] = set()
+    side = (1 << _REACH) - 1
     for batch in batches:
-        for part in text_chunks(batch, "text", 1 << 20):
-            tokens, begin = shingles(*words(part.column("text")), WORDS)
-            out = []
-            for k, (t, asked) in enumerate(zip(part.column("t").to_pylist(), part.column("blocks").to_pylist(), strict=True)):
-                own = tokens[begin[k]:begin[k + 1]]
-                out += [(t, b, (own[b * BLOCK:(b + 1) * BLOCK] >> U(32)).astype(np.uint32).tobytes()) for b in asked if 0 <= b * BLOCK < len(own)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
-                pa.array([x[2] for x in out], pa.binary())], names=["x", "block", "tokens"])
-
-
-def _runs(blocks: list[tuple[int, bytes]]) -> list[tuple[int, np.ndarray]]:
-    """Neighbouring blocks put together: (place of the first token, tokens)."""
-    out: list[tuple[int, list]] = []
-    end = -1
-    for b, data in sorted(blocks):
-        if b != end:
-            out.append((b * BLOCK, []))
-        out[-1][1].append(np.frombuffer(data, dtype=np.uint32))
-        end = b + 1
-    return [(at, np.concatenate(parts)) for at, parts in out]
+        new = [k for k, t in enumerate(batch.column("t").to_pylist()) if not (t in seen or seen.add(t))]
+        for chunk in text_chunks(batch.take(pa.array(new, pa.int64())), "text", 1 << 20):
+            tokens, begin = shingles(*words(chunk.column("text")), WORDS)
+            tokens = (tokens >> U(32)).astype(np.uint32)
+            asked = chunk.column("asked")
+            own, count = asked.flatten(), np.diff(asked.offsets.to_numpy())
+            text = np.repeat(np.arange(len(count)), count)
+            at = own.field("at").to_numpy()
+            place = (at >> 2 * _REACH)
+            low = place - np.minimum(at >> _REACH & side, reach)
+            high = place + np.minimum(at & side, reach) + 1
+            for k in range(0, len(at), 1 << 12):
+                some = slice(k, k + (1 << 12))
+                size, open_ = high[some] - low[some], (low + begin[text])[some]
+                end = np.cumsum(size)
+                taken = tokens[np.repeat(open_ - end + size, size) + np.arange(end[-1])]
+                data = pa.Array.from_buffers(pa.binary(), len(size), [
+                    None, pa.py_buffer(np.concatenate([[0], 4 * end]).astype(np.int32)), pa.py_buffer(taken)])
+                yield pa.RecordBatch.from_arrays(
+                    [own.field("sig")[some], own.field("part")[some], own.field("parts")[some],
+                     pa.array(chunk.column("t").to_numpy()[text[some]]), own.field("high")[some], pa.array(low[some]), data],
+                    names=["sig", "part", "parts", "low", "high", "begin", "tokens"])
 
 
 def dense_runs(hit: np.ndarray, length: int, similar: float) -> list[tuple[int, int]]:
@@ -198,52 +243,289 @@ def dense_runs(hit: np.ndarray, length: int, similar: float) -> list[tuple[int,
     return out
 
 
-def _verify_pair(own: list[tuple[int, np.ndarray]], other: list[tuple[int, np.ndarray]], length: int,
-                 similar: float) -> list[tuple[int, int, int, int]]:
-    """(start, stop, other's start, other's stop) in tokens of the passages of one pair."""
-    held = np.concatenate([r for _, r in other])
-    place = np.concatenate([at + np.arange(len(r)) for at, r in other])
-    order = np.argsort(held, kind="stable")
-    held, place = held[order], place[order]
-    out = []
-    for at, run in own:
-        number = np.minimum(np.searchsorted(held, run), len(held) - 1)
-        hit = held[number] == run
-        for a, b in dense_runs(hit, length, similar):
-            part = hit[a:b]
-            theirs = place[number[a:b][part]]
-            middle = int(np.median(theirs - (np.flatnonzero(part) + a)))
-            near = theirs[np.abs(theirs - (np.flatnonzero(part) + a) - middle) <= length]
-            if len(near):
-                out.append((at + a, at + b, int(near.min()), int(near.max()) + 1))
+def _scores(hit: np.ndarray, length: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``hit`` the score before each place that is a hit (else infinite), and after each.
+
+    As in ``dense_runs`` a stretch is dense if its score does not fall: a hit counts 1, a miss as much as a hit weighs up.
+    """
+    share = 2 * similar / (1 + similar)
+    after = np.cumsum(np.where(hit, np.float32(1), np.float32(-share / (1 - share))), axis=1, dtype=np.float32)
+    return np.where(hit, after - 1, np.float32(np.inf)), np.where(hit, after + np.float32(1e-3), np.float32(-np.inf))
+
+
+def _runs(hit: np.ndarray, length: int, similar: float) -> np.ndarray:
+    """For each row of ``hit`` whether it has a dense stretch of ``length`` or more between two hits."""
+    before, after = _scores(hit, length, similar)
+    if hit.shape[1] < length:
+        return np.zeros(len(hit), np.bool_)
+    return (after[:, length - 1:] >= np.minimum.accumulate(before[:, :hit.shape[1] - length + 1], axis=1)).any(axis=1)
+
+
+def _may_cover(hit: np.ndarray, length: int, similar: float) -> np.ndarray:
+    """For each row of ``hit`` the places in dense stretches, also shorter ones."""
+    before, after = _scores(hit, length, similar)
+    most = np.maximum.accumulate(after[:, ::-1], axis=1)[:, ::-1]
+    return most >= np.minimum.accumulate(before, axis=1)
+
+
+def covers(hit: np.ndarray, length: int, similar: float) -> np.ndarray:
+    """For each row of ``hit`` the places in any dense stretch of ``length`` or more between two hits."""
+    n, width = hit.shape
+    out = np.zeros((n, width), np.bool_)
+    if not n or width < length:
+        return out
+    before, after = _scores(hit, length, similar)
+    starts = width - length + 1
+    # The farthest start for each end, looked up in all rows at once: their scores lie apart.
+    far = np.float64(4 * width / (1 - similar) + 4) * np.arange(n)[:, None]
+    least = np.minimum.accumulate(np.minimum(before[:, :starts], np.float32(width + 2)), axis=1)
+    row, end = np.nonzero(hit[:, length - 1:])
+    keys = (far - least).ravel()
+    start = np.searchsorted(keys, far[row, 0] - after[row, end + length - 1], "left") - row * starts
+    good = start <= end
+    row, start, end = row[good], start[good], end[good] + length
+    change = np.bincount(row * (width + 1) + start, minlength=n * (width + 1)) - np.bincount(
+        row * (width + 1) + end, minlength=n * (width + 1))
+    np.greater(np.cumsum(change.reshape(n, width + 1), axis=1)[:, :width], 0, out=out)
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch], length: int, similar: float) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by pair; only the pair at hand is held."""
-    pair, sides, found = None, ([], []), []
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted (a plain sort is faster here than the hash table of ``np.unique``)."""
+    values = np.sort(values)
+    return values[np.flatnonzero(np.diff(values, prepend=values[:1] - 1))]
+
+
+def _stretches(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop) of the stretches of true entries of each row."""
+    padded = np.zeros((mark.shape[0], mark.shape[1] + 2), np.int8)
+    padded[:, 1:-1] = mark
+    change = np.diff(padded, axis=1)
+    row, start = np.nonzero(change == 1)
+    return row, start, np.nonzero(change == -1)[1]
+
+
+def group_links(group: np.ndarray, side: np.ndarray, low: np.ndarray, high: np.ndarray, begin: np.ndarray,
+                regions: list[np.ndarray], length: int, similar: float) -> np.ndarray:
+    """Rows (t, u, start, stop): passages that contexts have in common with contexts of other texts of their group.
+
+    Contexts come sorted by group, of one large or several small groups (``FEW``).  ``low`` and ``high`` are the least
+    and greatest text of a context, ``begin`` the place of its region in ``low``.  Contexts of different sides are
+    compared if there are two sides, else all.  Every pair is tested.  Written out are, for each context of one text,
+    the places in passages shared with any other, and a forest of the links between texts; contexts of several texts are
+    passages as they are.
+    """
+    share = 2 * similar / (1 + similar)
+    need, alone = math.ceil(share * length - 1e-3), low == high
+    keep = np.arange(len(low))
+    while True:
+        # Tokens of one text alone are no hits; contexts that hold no passage without them drop out.
+        size = np.array([len(regions[k]) for k in keep])
+        row = np.repeat(np.arange(len(keep)), size)
+        tokens = np.concatenate([regions[k] for k in keep]) | group[keep][row].astype(np.uint64) << U(32)
+        tokens, number = np.unique(tokens, return_inverse=True)
+        v = len(tokens)
+        names, text = np.unique(low[keep], return_inverse=True)
+        useful = np.bincount(_distinct(number * len(names) + text[row]) // len(names), minlength=v + 1) > 1
+        useful[number[~alone[keep][row]]] = True
+        useful[v] = False
+        ids = np.full((len(keep), size.max()), v)
+        ids[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = number
+        stay = _runs(useful[ids], length, similar)
+        if stay.sum() < 2:
+            return np.zeros((0, 4), np.int64)
+        if stay.all():
+            break
+        keep = keep[stay]
+    group, side, low, high, begin, alone = (x[keep] for x in (group, side, low, high, begin, alone))
+    n, two = len(keep), bool((side != side[0]).any())
+    linked = text.copy()  # a name for each text's class
+    covered = (ids == v) | ~alone[:, None]
+    partner = np.zeros(n, np.int64)
+    edges = []
+    begins = np.flatnonzero(np.diff(group, prepend=-1))
+    count = np.diff(np.append(begins, n))
+    small = count.max() <= FEW and not two
+    found = np.zeros((n, n) if small else (0, 0), np.bool_)
+
+    def other(a, b):
+        return np.where(low[b] != low[a], low[b], np.where(alone[b], high[a], high[b]))
+
+    def settle(a, b, hit):
+        """Pairs sorted by a, with the tokens of a that b holds."""
+        run = _runs(hit, length, similar)
+        a, b, hit = a[run], b[run], hit[run]
+        if not len(a):
+            return
+        if small:
+            found[a, b] = True
+        partner[a] = other(a, b)
+        forest = []
+        for k in np.flatnonzero(linked[a] != linked[b]).tolist():
+            if linked[a[k]] != linked[b[k]]:
+                linked[linked == linked[b[k]]] = linked[a[k]]
+                forest.append(k)
+        if forest:
+            row, start, stop = _stretches(covers(hit[forest], length, similar))
+            k = np.array(forest)[row]
+            edges.append(np.stack([low[a[k]], low[b[k]], begin[a[k]] + start, begin[a[k]] + stop], axis=1))
+        # What all partners together may cover; partners that may add to what is covered, the likeliest first.
+        first = np.flatnonzero(np.diff(a, prepend=-1))
+        bound = covers(np.logical_or.reduceat(hit, first, axis=0), length, similar)
+        bound = np.repeat(bound, np.diff(np.append(first, len(a))), axis=0)
+        hits, best = hit.sum(axis=1), True
+        while len(a):
+            more = bound & ~covered[a]
+            open_ = more.any(axis=1)
+            a, hit, bound, hits, more = a[open_], hit[open_], bound[open_], hits[open_], more[open_]
+            if not len(a):
+                break
+            able = (_may_cover(hit, length, similar) & more).any(axis=1)
+            a, hit, bound, hits = a[able], hit[able], bound[able], hits[able]
+            if not len(a):
+                break
+            now = np.ones(len(a), np.bool_)
+            if best:
+                order = np.lexsort((-hits, a))
+                now[:] = False
+                now[order[np.flatnonzero(np.diff(a[order], prepend=-1))]] = True
+            some = a[now]
+            first = np.flatnonzero(np.diff(some, prepend=-1))
+            covered[some[first]] |= np.logical_or.reduceat(covers(hit[now], length, similar), first, axis=0)
+            a, hit, bound, hits, best = a[~now], hit[~now], bound[~now], hits[~now], False
+
+    def fits(a, b):
+        return ~(alone[a] & alone[b] & (low[a] == low[b])) & (a != b)
+
+    if small:
+        rank = np.arange(n) - np.repeat(begins, count)
+        entry = _distinct(ids[ids < v] * FEW + np.repeat(rank, (ids < v).sum(axis=1)))
+        opens = np.flatnonzero(np.diff(entry // FEW, prepend=-1))
+        holders = np.zeros(v + 1, np.uint64)
+        holders[entry[opens] // FEW] = np.add.reduceat(U(1) << (entry % FEW).astype(np.uint64), opens)
+        a = np.repeat(np.arange(n), np.repeat(count, count))
+        b = np.arange(len(a)) - np.repeat(np.cumsum(np.repeat(count, count)) - np.repeat(count, count), np.repeat(count, count))
+        b += np.repeat(begins, count)[a]
+        good = fits(a, b)
+        a, b = a[good], b[good]
+        cuts = np.flatnonzero(np.diff(a // max(1, 2048 // int(count.max())), prepend=-1))
+        for x, y in zip(cuts, np.append(cuts, len(a))[1:], strict=True):
+            hit = (holders[ids[a[x:y]]] >> rank[b[x:y]].astype(np.uint64)[:, None] & U(1)).astype(np.bool_)
+            near = hit.sum(axis=1) >= need
+            settle(a[x:y][near], b[x:y][near], hit[near])
+    else:
+        step = max(1, min(n, (1 << 25) // (v + 1)))
+        for at in range(0, n, step):
+            some = np.arange(at, min(at + step, n))
+            holds = np.zeros((v + 1, len(some)), np.bool_)
+            holds[ids[some], (some - at)[:, None]] = True
+            holds[v] = False
+
+            def nearby(a, some=some, holds=holds):
+                hit = holds[ids[a]]
+                hits = hit.sum(axis=0, dtype=np.uint16)
+                near = (hits >= need) & fits(np.int64(a), some)
+                if two:
+                    near &= side[some] != side[a]
+                near = np.flatnonzero(near)
+                return some[near], hits[near], hit[:, near].T
+
+            # First the partners with most hits; then whichever can still link a or cover more of it.
+            for likeliest in (True, False):
+                waiting, pairs = [], 0
+                for a in range(n):
+                    near, hits, hit = nearby(a)
+                    if likeliest and len(near) > FIRST:
+                        most = np.argpartition(-hits.astype(np.int64), FIRST)[:FIRST]
+                        near, hit = near[most], hit[most]
+                    elif not likeliest and len(near):
+                        if len(near) <= FIRST:
+                            continue
+                        if not (covers(hit.any(axis=0)[None], length, similar)[0] & ~covered[a]).any():
+                            apart = linked[near] != linked[a]
+                            near, hit = near[apart], hit[apart]
+                    if len(near):
+                        waiting.append((np.full(len(near), a), near, hit))
+                        pairs += len(near)
+                    if pairs > 1024:
+                        settle(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                        waiting, pairs = [], 0
+                if waiting:
+                    settle(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+    # What a holds of b may be no passage the other way round: then b takes the places of a's passage.
+    lacks = useful[ids] & ~covered
+    open_ = lacks.any(axis=1)
+    if small:
+        found &= ~found.T
+        open_ &= found.any(axis=0)
+    held = _distinct(ids[ids < v] * n + np.repeat(np.arange(n), (ids < v).sum(axis=1))) if open_.any() else None
+
+    def holding(values, among):
+        return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+    for b in np.flatnonzero(open_).tolist():
+        if small:
+            near = np.flatnonzero(found[:, b])
+        else:
+            # All contexts that hold a token that b lacks.
+            wanted = _distinct(ids[b][lacks[b]])
+            ends = np.searchsorted(held, np.stack([wanted * n, (wanted + 1) * n]))
+            near = _distinct(np.concatenate([held[x:y] for x, y in ends.T.tolist()]) % n)
+            near = near[fits(near, np.int64(b)) & ((side[near] != side[b]) | (not two))]
+        for k in range(0, len(near), 1024):
+            a = near[k:k + 1024]
+            hit = holding(ids[a] * n + b, held) & (ids[a] < v)
+            some = hit.sum(axis=1) >= need
+            a, hit = a[some], hit[some]
+            theirs = holding(ids[b] * n + a[:, None], held) & (ids[b] < v)
+            some = (theirs & ~covered[b]).any(axis=1) & _runs(hit, length, similar) & ~_runs(theirs, length, similar)
+            for c, cover, mine in zip(a[some], covers(hit[some], length, similar), theirs[some], strict=True):
+                mine = np.flatnonzero(mine & np.isin(ids[b], ids[c][cover]))
+                if len(mine):
+                    covered[b, mine[0]:mine[-1] + 1] = True
+                    partner[b] = other(b, c)
+    row, start, stop = _stretches(covered & (ids < v) & alone[:, None])
+    spans = np.stack([low[row], partner[row], begin[row] + start, begin[row] + stop], axis=1)
+    return np.concatenate([*edges, spans])
 
-    def finish():
-        if pair is not None and sides[0] and sides[1]:
-            found.extend((*pair, *x) for x in _verify_pair(_runs(sides[0]), _runs(sides[1]), length, similar))
 
-    def flush():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[i] for x in found], pa.int64()) for i in range(6)],
-            names=["t", "u", "start", "stop", "u_start", "u_stop"])
+def _verify(batches: Iterator[pa.RecordBatch], length: int, similar: float) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by group; only the group at hand and a batch are held."""
+    tail: list[pa.RecordBatch] = []
+
+    def cuts(key):
+        return np.flatnonzero((np.diff(key) != 0).any(axis=0)) + 1
+
+    def done(table):
+        columns = [table.column(c).to_numpy() for c in ("part", "low", "high", "begin")]
+        edges = [0, *cuts(np.stack([table.column(c).to_numpy() for c in ("sig", "i", "j")])).tolist(), table.num_rows]
+        group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        tokens = [np.frombuffer(x, np.uint32) for x in table.column("tokens").to_pylist()]
+        found, a = [np.zeros((0, 4), np.int64)], 0
+        for k in range(1, len(edges)):
+            # Small groups are put together.
+            after = edges[k + 1] - edges[k] if k + 1 < len(edges) else FEW + 1
+            if after > FEW or edges[k] - edges[k - 1] > FEW or edges[k] - a > 16 * FEW:
+                if edges[k] - a > 1:
+                    found.append(group_links(group[a:edges[k]] - group[a], *(c[a:edges[k]] for c in columns), tokens[a:edges[k]], length, similar))
+                a = edges[k]
+        found = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(4)], names=["t", "u", "start", "stop"])
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("t", "u", "x", "block", "tokens")]
-        for t, u, x, block, tokens in zip(*columns, strict=True):
-            if (t, u) != pair:
-                finish()
-                pair, sides = (t, u), ([], [])
-                if len(found) > 4096:
-                    yield flush()
-                    found.clear()
-            sides[0 if x == t else 1].append((block, tokens))
-    finish()
-    yield flush()
+        if not batch.num_rows:
+            continue
+        ends = cuts(np.stack([batch.column(c).to_numpy() for c in ("sig", "i", "j")]))
+        if tail and any(tail[-1].column(c)[-1] != batch.column(c)[0] for c in ("sig", "i", "j")):
+            yield done(pa.Table.from_batches(tail))
+            tail = []
+        if len(ends):
+            yield done(pa.Table.from_batches([*tail, batch.slice(0, int(ends[-1]))]))
+            tail = [batch.slice(int(ends[-1]))]
+        else:
+            tail.append(batch)
+    if tail:
+        yield done(pa.Table.from_batches(tail))
 
 
 def _held(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -267,57 +549,61 @@ def _bitmap(values: DataFrame) -> np.ndarray:
 
 
 def links(texts: DataFrame, passage: int = PASSAGE, similar: float = SIMILAR) -> DataFrame:
-    """``t, u, start, stop, u_start, u_stop`` (tokens) of verified passages of ``texts`` (t, text)."""
+    """``t, u, start, stop`` (tokens of t) of passages that texts of ``texts`` (t, text) share.
+
+    Each passage of a text is covered by its rows, and linked texts are joined by rows, directly or through others.
+    """
     spark, length = texts.sparkSession, passage - WORDS + 1
     if length >= 1 << _REACH:
         raise ValueError(f"passages of {1 << _REACH} words or more are not looked for")
     functions, schema = functions_for(similar), "sig long, t long, at long, context long"
     # Stored, so that the join below meets two plain shuffles and Spark can split a common token's rows.
     ends_path, windows_path, firsts_path = (fresh_path(spark, x) for x in ("window-ends", "windows", "window-firsts"))
-    map_arrow(texts, lambda it: _windows(it, length, functions), schema).groupBy("sig").agg(
+    map_arrow(texts, lambda it: _windows(it, length, functions), "sig long, t long").groupBy("sig").agg(
         F.min("t").alias("low"), F.max("t").alias("high"),
     ).filter("low < high").select("sig").write.parquet(ends_path)
+    released(spark)
     ends = spark.read.parquet(ends_path)
     # Most windows stand in one text alone: they are made again and passed by, never stored.
     shared = spark.sparkContext.broadcast(_bitmap(ends))
     map_arrow(texts, lambda it: _windows(it, length, functions, shared.value), schema).write.parquet(windows_path)
     windows = spark.read.parquet(windows_path)
-    before = lambda c: F.shiftright(c, _REACH).bitwiseAND((1 << _REACH) - 1)
-    after = lambda c: c.bitwiseAND((1 << _REACH) - 1)
-    # The filter lets windows of one text by: those drop out with their groups.
-    windows.join(ends, "sig", "left_semi").groupBy("sig", "context").agg(F.min(F.struct("t", "at")).alias("o")).select(
-        "sig", "context", F.col("o.t").alias("u"), F.col("o.at").alias("v")).write.parquet(firsts_path)
+    # The filter lets windows of one text by: they are groups of one context and one text.
+    windows.groupBy("sig", "context").agg(F.min(F.struct("t", "at")).alias("o"), F.max("t").alias("high")).select(
+        "sig", "context", F.col("o.t").alias("low"), F.col("o.at").alias("at"), "high").write.parquet(firsts_path)
     firsts = spark.read.parquet(firsts_path)
-    copies = windows.join(firsts, ["sig", "context"])
-    others = firsts.select("sig", F.col("u").alias("t"), F.col("v").alias("at")).join(firsts, "sig")
-    joined = copies.select("t", "at", "u", "v").union(others.select("t", "at", "u", "v")).filter("t > u")
-    # Laid over each other at the token, both intervals must still hold (nearly) a passage.
-    common = F.least(before(F.col("at")), before(F.col("v"))) + F.least(after(F.col("at")), after(F.col("v"))) + 1
-    placed = joined.filter(common >= int(similar * length)).select(
-        "t", "u", F.shiftright("at", 2 * _REACH).alias("c"), F.shiftright("v", 2 * _REACH).alias("d"))
-    around = lambda cs: F.array_distinct(F.flatten(F.transform(cs, lambda c: F.sequence(
-        F.floor((c - length) / BLOCK), F.floor((c + length) / BLOCK)))))
-    pairs = checkpointed(placed.groupBy("t", "u").agg(
-        F.collect_set("c").alias("cs"), F.collect_set("d").alias("ds"),
-    ).select(
-        "t", "u", around("cs").alias("own"), around("ds").alias("other")))
-    # The pairs are checkpointed: what they were made from can go.
+    # Windows of one context are passages as they are, up to ``length`` around the place.
+    place, side = F.shiftright("at", 2 * _REACH), (1 << _REACH) - 1
+    before = F.least(F.shiftright("at", _REACH).bitwiseAND(side), F.lit(length))
+    after = F.least(F.col("at").bitwiseAND(side), F.lit(length))
+    copies = checkpointed(windows.join(
+        firsts.filter("low < high").select("sig", "context", "low", "high"), ["sig", "context"]).select(
+        "t", F.when(F.col("t") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("u"),
+        (place - before).alias("start"), (place + after + 1).alias("stop")).distinct())
     shared.destroy()
-    del joined, placed, copies, others, windows, firsts, ends
-    for path in (ends_path, windows_path, firsts_path):
+    del windows, ends
+    for path in (ends_path, windows_path):
         dropped(spark, path)
-    needs = pairs.select("t", "u", F.col("t").alias("x"), F.explode("own").alias("block")).union(
-        pairs.select("t", "u", F.col("u").alias("x"), F.explode("other").alias("block"))).filter("block >= 0")
-    asked = needs.groupBy(F.col("x").alias("t")).agg(F.collect_set("block").alias("blocks"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(pairs.select("t").union(pairs.select("u")).distinct()))
+    # Different contexts of a group are compared each to each, those of a large group by pairs of its parts.
+    groups = firsts.groupBy("sig").agg(F.count("*").alias("n"), F.min("low").alias("least"), F.max("high").alias("greatest")).filter(
+        "n > 1 and least < greatest").select("sig", F.ceil(F.col("n") / GROUP).alias("parts"))
+    nodes = firsts.join(groups, "sig").select("low", F.struct(
+        "sig", "at", "high", "parts", F.pmod(F.xxhash64("context"), "parts").alias("part")).alias("one"))
+    asked = checkpointed(nodes.groupBy(F.col("low").alias("t")).agg(F.collect_list("one").alias("asked")))
+    del firsts, groups, nodes
+    dropped(spark, firsts_path)
+    bitmap = spark.sparkContext.broadcast(_bitmap(asked.select("t")))
     sources = map_arrow(texts, lambda it: _wanted_texts(it, bitmap.value), "t long, text string")
-    blocks = stored(map_arrow(sources.join(asked, "t"), _blocks, "x long, block long, tokens binary").dropDuplicates(["x", "block"]), "blocks")
-    released(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = needs.join(blocks, ["x", "block"]).select("t", "u", "x", "block", "tokens").repartition(
-        parts, "t", "u").sortWithinPartitions("t", "u")
-    return map_arrow(sent, lambda it: _verify(it, length, similar),
-                     "t long, u long, start long, stop long, u_start long, u_stop long")
+    reach = length + length // 2
+    regions = map_arrow(
+        sources.join(asked, "t"), lambda it: _regions(it, reach),
+        "sig long, part long, parts long, low long, high long, begin long, tokens binary")
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = regions.withColumn("o", F.explode(F.expr("sequence(0, parts - 1)"))).select(
+        "sig", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "low", "high", "begin",
+        "tokens").repartition(count, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return copies.union(map_arrow(
+        sent, lambda it: _verify(it, length, similar), "t long, u long, start long, stop long"))
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passage: int = PASSAGE,
@@ -340,8 +626,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passag
     copies = ids.groupBy("t").agg(F.count("*").alias("rows"), F.max("n").alias("n"), F.min("id").alias("least"))
     copied = copies.filter((F.col("rows") > 1) & (F.col("n") >= passage)).select(
         "t", F.lit(0).cast("long").alias("start"), (F.col("n") - WORDS + 1).alias("stop"))
-    spans = found.select("t", "start", "stop").union(
-        found.select("u", "u_start", "u_stop")).union(copied).distinct()
+    spans = found.select("t", "start", "stop").union(copied).distinct()
     # Overlapping spans of a text: a new passage begins where none before reaches.
     order = Window.partitionBy("t").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -353,6 +353,19 @@ def test_compact_windows_are_the_long_nodes_of_the_tree(values, length):
     assert list(zip(place.tolist(), first.tolist(), last.tolist(), strict=True)) == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 9), max_size=30), min_size=1, max_size=6), st.integers(1, 8))
+def test_windows_of_many_texts_are_those_of_each(texts, length):
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    # As texts come one behind another, equal hashes are ordered by place in both.
+    hashes = np.array([v + 1 for x in texts for v in x], dtype=np.uint64) << np.uint64(40)
+    want = []
+    for k, (a, b) in enumerate(zip(begin[:-1], begin[1:], strict=True)):
+        want += [(k, a + p, a + f, a + e) for p, f, e in zip(*substring.compact_windows(hashes[a:b], length), strict=True)]
+    got = substring.all_compact_windows(hashes, begin, length)
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.booleans(), max_size=40), st.integers(1, 12))
 def test_dense_runs_hold_enough_hits(bits, length):
@@ -403,6 +416,78 @@ def test_recall_of_passages_at_the_threshold(spark):
     assert len(found) >= 594  # 0.99: six deviations below the recall of 0.998
 
 
+@pytest.mark.parametrize("few", [1, 64])
+def test_contexts_of_a_group_are_linked_as_all_pairs_are(monkeypatch, few):
+    monkeypatch.setattr(substring, "FEW", few)
+    monkeypatch.setattr(substring, "FIRST", 2)
+    rng = random.Random(few)
+    length = 12
+    for _ in range(60):
+        bases = [[rng.randrange(10 ** 6) for _ in range(24)] for _ in range(3)]
+        low, high, regions = [], [], []
+        for _ in range(rng.randrange(2, 30)):
+            region = list(rng.choice(bases))
+            for _ in range(rng.randrange(4)):
+                region[rng.randrange(24)] = rng.randrange(10 ** 6)
+            t = rng.randrange(12)
+            low.append(t), high.append(t if rng.random() < 0.8 else t + 1 + rng.randrange(3))
+            regions.append(np.array(region[rng.randrange(6):24 - rng.randrange(6)], np.uint32))
+        low, high, n = np.array(low), np.array(high), len(low)
+        group = np.sort(np.array([rng.randrange(2) if few > 1 else 0 for _ in range(n)]))
+        begin = np.arange(n) * 1000
+        got = substring.group_links(group, np.zeros(n, int), low, high, begin, regions, length, 0.8)
+        want, edges = defaultdict(set), set()
+        for a in range(n):
+            for b in range(n):
+                if a == b or group[a] != group[b] or low[a] == high[a] == low[b] == high[b]:
+                    continue
+                hit = np.isin(regions[a], regions[b])
+                for x in range(len(hit)):
+                    for y in range(x + length, len(hit) + 1):
+                        if hit[x] and hit[y - 1] and hit[x:y].sum() - 8 * (~hit[x:y]).sum() >= -1e-6:
+                            edges.add((int(low[a]), int(low[b])))
+                            if low[a] == high[a]:
+                                want[a] |= set(range(x, y))
+        places = defaultdict(set)
+        for t, u, start, stop in got.tolist():
+            assert t != u and low[start // 1000] == t
+            places[start // 1000] |= set(range(start % 1000, (stop - 1) % 1000 + 1))
+        for a in range(n):
+            if low[a] == high[a]:
+                assert want[a] <= places[a] and (not places[a] or len(regions[a]) >= length)
+                # More than that only where a partner's passage is none the other way round.
+                assert want[a] == places[a] or any(low[a] in e for e in edges)
+        assert classes({(low[a], low[a]) for a in range(n)} | edges) == classes(
+            {(low[a], low[a]) for a in range(n)} | {(low[s // 1000], u) for _, u, s, _ in got.tolist()}
+            | set()) or any(h != w for h, w in zip(high, low, strict=True))
+
+
+def test_groups_whose_contexts_are_of_one_text_each_have_no_links():
+    region = np.arange(20, dtype=np.uint32)
+    group, low, high = np.array([0, 0, 1, 1]), np.array([1, 1, 2, 2]), np.array([1, 1, 2, 2])
+    got = substring.group_links(group, group * 0, low, high, group * 0, [region, region] * 2, 12, 0.8)
+    assert got.shape == (0, 4)
+    # Contexts alone in their groups meet no other, though both are of two texts.
+    got = substring.group_links(np.array([0, 1]), np.zeros(2, int), low[1:3], high[1:3] + 1, np.zeros(2, int), [region] * 2, 12, 0.8)
+    assert got.shape == (0, 4)
+
+
+def classes(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    out = defaultdict(set)
+    for x in root:
+        out[find(x)].add(int(x))
+    return sorted(map(sorted, out.values()))
+
+
 # -- line dedup ----------------------------------------------------------------------
 
 
