@@ -3,7 +3,9 @@
 Tokens are the five-word shingles of a text.  For each of several hash functions a text
 falls into compact windows: a token and the longest run around it in which it has the
 least hash (a node of the Cartesian tree over the hashes).  Only windows as long as a
-passage are kept, about two for each passage length of text.
+passage are kept, about two for each passage length of text.  Where a token soon comes
+again (a word said many times over) the windows of its places are one: they are put
+together over half a passage, and hold what each of them holds.
 
 1. Windows are grouped by (function, token); a group of one text is dropped.  Windows of
    a group that hold the same tokens around theirs, as far as a passage reaches, are one
@@ -43,7 +45,8 @@ FIRST = 8
 LEAST_BITS, MOST_BITS = 20, 28
 _BASE = 0x9E3779B97F4A7C15  # odd: of the sums that tell contexts apart
 _AT = 28  # bits for a token's place
-_REACH = 12  # bits for the tokens of a window before and after its place
+_REACH = 12  # bits for the tokens of a window before its first place and after its last
+_SIDES = 3 * _REACH - 1  # bits behind a window's place: from its first to its last place, and both sides
 
 
 def functions_for(similar: float = SIMILAR, recall: float = RECALL) -> int:
@@ -125,6 +128,20 @@ def all_compact_windows(hashes: np.ndarray, begin: np.ndarray, length: int) -> t
     return text, place, first, last
 
 
+def _together(text: np.ndarray, place: np.ndarray, first: np.ndarray, sig: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last window of each set of windows that are put together, over ``length // 2`` tokens at most.
+
+    They are of one token, and each begins behind the place of the one before it.
+    """
+    apart = np.ones(len(place), np.bool_)
+    apart[1:] = (np.diff(text) != 0) | (sig[1:] != sig[:-1]) | (first[1:] != place[:-1] + 1) | (np.diff(place) > length // 2)
+    opens = np.flatnonzero(apart)
+    step = (place - np.repeat(place[opens], np.diff(np.append(opens, len(place))))) // (length // 2 + 1)
+    apart[1:] |= np.diff(step) != 0
+    opens = np.flatnonzero(apart)
+    return opens, np.append(opens[1:], len(place))[:len(opens)] - 1
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     """``base`` to the powers 0 to n - 1, modulo 2^64."""
     out = np.full(n, base, dtype=np.uint64)
@@ -136,8 +153,9 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, functions: int,
              wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """(sig, t) of all windows: function and token, text.  Each text is read once a task.
 
-    With a filter only windows whose ``sig`` may be in it, and also ``at``: the window as place, tokens before and
-    after (clipped beyond passages), and ``context``: a hash of its tokens up to ``length`` before and after the place.
+    With a filter only windows whose ``sig`` may be in it, and also ``at``: the window as place, tokens from there to its
+    last place, tokens before and after these (clipped beyond passages), and ``context``: a hash of its tokens up to
+    ``length`` before and after its places.
     """
     seen: set[int] = set()
     most = (1 << _REACH) - 1
@@ -158,13 +176,18 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, functions: int,
                 text, place, first, last = all_compact_windows(hashed, begin, length)
                 sig = hashed[place] >> U(3) << U(3) | U(f & 7)
                 if wanted is None:
+                    ours, _ = _together(text, place, first, sig, length)
+                    text, sig = text[ours], sig[ours]
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(t[text])], names=["sig", "t"])
                     continue
                 held = _held(wanted, sig)
                 text, place, first, last, sig = text[held], place[held], first[held], last[held], sig[held]
-                low, high = np.maximum(first, place - length), np.minimum(last, place + length) + 1
+                ours, ends = _together(text, place, first, sig, length)
+                text, sig, first, last, place, end = text[ours], sig[ours], first[ours], last[ends], place[ours], place[ends]
+                low, high = np.maximum(first, place - length), np.minimum(last, end + length) + 1
                 context = mix((sums[high] - sums[low]) * back[low] ^ mix((place - low).astype(np.uint64)))
-                at = (place - begin[text]) << 2 * _REACH | np.minimum(place - first, most) << _REACH | np.minimum(last - place, most)
+                at = (place - begin[text]) << _SIDES | (end - place) << 2 * _REACH
+                at |= np.minimum(place - first, most) << _REACH | np.minimum(last - end, most)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sig.view(np.int64)), pa.array(t[text]), pa.array(at), pa.array(context.view(np.int64))],
                     names=["sig", "t", "at", "context"])
@@ -183,7 +206,7 @@ def _wanted_texts(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iter
 
 def _regions(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
     """(sig, part, parts, low, high, begin, tokens) of the contexts asked for: the tokens of their windows up to
-    ``reach`` before and after the place; 32 bits a token tell those of a group apart."""
+    ``reach`` before and after its places; 32 bits a token tell those of a group apart."""
     seen: set[int] = set()
     side = (1 << _REACH) - 1
     for batch in batches:
@@ -195,9 +218,9 @@ def _regions(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.Recor
             own, count = asked.flatten(), np.diff(asked.offsets.to_numpy())
             text = np.repeat(np.arange(len(count)), count)
             at = own.field("at").to_numpy()
-            place = (at >> 2 * _REACH)
+            place = at >> _SIDES
             low = place - np.minimum(at >> _REACH & side, reach)
-            high = place + np.minimum(at & side, reach) + 1
+            high = place + (at >> 2 * _REACH & side >> 1) + np.minimum(at & side, reach) + 1
             for k in range(0, len(at), 1 << 12):
                 some = slice(k, k + (1 << 12))
                 size, open_ = high[some] - low[some], (low + begin[text])[some]
@@ -463,7 +486,10 @@ def group_links(group: np.ndarray, side: np.ndarray, low: np.ndarray, high: np.n
     def holding(values, among):
         return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
+    own = np.zeros(v + 1, np.bool_)
     for b in np.flatnonzero(open_).tolist():
+        own[ids[b]] = True
+        own[v] = False
         if small:
             near = np.flatnonzero(found[:, b])
         else:
@@ -474,16 +500,19 @@ def group_links(group: np.ndarray, side: np.ndarray, low: np.ndarray, high: np.n
             near = near[fits(near, np.int64(b)) & ((side[near] != side[b]) | (not two))]
         for k in range(0, len(near), 1024):
             a = near[k:k + 1024]
-            hit = holding(ids[a] * n + b, held) & (ids[a] < v)
+            hit = own[ids[a]]
             some = hit.sum(axis=1) >= need
             a, hit = a[some], hit[some]
+            some = _runs(hit, length, similar)
+            a, hit = a[some], hit[some]
             theirs = holding(ids[b] * n + a[:, None], held) & (ids[b] < v)
-            some = (theirs & ~covered[b]).any(axis=1) & _runs(hit, length, similar) & ~_runs(theirs, length, similar)
+            some = (theirs & ~covered[b]).any(axis=1) & ~_runs(theirs, length, similar)
             for c, cover, mine in zip(a[some], covers(hit[some], length, similar), theirs[some], strict=True):
                 mine = np.flatnonzero(mine & np.isin(ids[b], ids[c][cover]))
                 if len(mine):
                     covered[b, mine[0]:mine[-1] + 1] = True
                     partner[b] = other(b, c)
+        own[ids[b]] = False
     row, start, stop = _stretches(covered & (ids < v) & alone[:, None])
     spans = np.stack([low[row], partner[row], begin[row] + start, begin[row] + stop], axis=1)
     return np.concatenate([*edges, spans])
@@ -572,14 +601,15 @@ def links(texts: DataFrame, passage: int = PASSAGE, similar: float = SIMILAR) ->
     windows.groupBy("sig", "context").agg(F.min(F.struct("t", "at")).alias("o"), F.max("t").alias("high")).select(
         "sig", "context", F.col("o.t").alias("low"), F.col("o.at").alias("at"), "high").write.parquet(firsts_path)
     firsts = spark.read.parquet(firsts_path)
-    # Windows of one context are passages as they are, up to ``length`` around the place.
-    place, side = F.shiftright("at", 2 * _REACH), (1 << _REACH) - 1
+    # Windows of one context are passages as they are, up to ``length`` around their places.
+    place, side = F.shiftright("at", _SIDES), (1 << _REACH) - 1
+    end = place + F.shiftright("at", 2 * _REACH).bitwiseAND(side >> 1)
     before = F.least(F.shiftright("at", _REACH).bitwiseAND(side), F.lit(length))
     after = F.least(F.col("at").bitwiseAND(side), F.lit(length))
     copies = checkpointed(windows.join(
         firsts.filter("low < high").select("sig", "context", "low", "high"), ["sig", "context"]).select(
         "t", F.when(F.col("t") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("u"),
-        (place - before).alias("start"), (place + after + 1).alias("stop")).distinct())
+        (place - before).alias("start"), (end + after + 1).alias("stop")).distinct())
     shared.destroy()
     del windows, ends
     for path in (ends_path, windows_path):

@@ -366,6 +366,39 @@ def test_windows_of_many_texts_are_those_of_each(texts, length):
     assert list(zip(*(x.tolist() for x in got), strict=True)) == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=60), min_size=1, max_size=4), st.integers(1, 12))
+def test_windows_put_together_hold_what_each_holds(texts, length):
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    hashes = np.array([v + 1 for x in texts for v in x], dtype=np.uint64) << np.uint64(40)
+    text, place, first, last = substring.all_compact_windows(hashes, begin, length)
+    opens, ends = substring._together(text, place, first, hashes[place], length)
+    assert [k for a, b in zip(opens, ends, strict=True) for k in range(a, b + 1)] == list(range(len(place)))
+    for a, b in zip(opens, ends, strict=True):
+        assert place[b] - place[a] <= length // 2 and len(set(text[a:b + 1])) == 1
+        assert len(set(hashes[place[a:b + 1]])) == 1
+        assert (first[a:b + 1] >= first[a]).all() and (last[a:b + 1] <= last[b]).all()
+
+
+def test_a_word_said_many_times_over_has_few_windows(spark):
+    rng = random.Random(4)
+    own = lambda n=60: " ".join(prose(rng, n, 10_000))
+    many = own() + " the" * 400 + " " + own()
+    batch = pa.RecordBatch.from_pydict({"t": [1], "text": [many]})
+    every = np.full(1 << 14, 2**64 - 1, np.uint64)
+    for wanted in (None, every):
+        found = pa.Table.from_batches(substring._windows(iter([batch]), 46, 1, wanted))
+        assert max(Counter(found["sig"].to_pylist()).values()) <= 400 // 24 + 1
+    shared = own()
+    docs = [(1, many), (2, f"{own()}{' the' * 30} {own()}"), (3, f"{own()}{' the' * 90} {own()}"),
+            (4, f"{own()}{' the' * 20} {shared}"), (5, f"{own()}{' the' * 8} {shared} {own()}"), (6, own(200))]
+    got = {r["id"]: r for r in substring.passages(table(spark, docs)).collect()}
+    assert {k: r["class_id"] for k, r in got.items()} == {1: 1, 3: 1, 4: 4, 5: 4}
+    assert got[1]["start_word"] in range(55, 62) and got[1]["n_words"] in range(398, 408)
+    assert got[3]["start_word"] in range(55, 62) and got[3]["n_words"] in range(88, 98)
+    assert got[5]["start_word"] + got[5]["n_words"] in range(128, 130)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.booleans(), max_size=40), st.integers(1, 12))
 def test_dense_runs_hold_enough_hits(bits, length):
